@@ -270,5 +270,5 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 def near_dedup(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The documents, with all their columns, that have the smallest doc_id of their group. Rows without doc_id stay."""
-    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = stored(near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.decontaminate import UNITS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,13 +31,19 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op5_minhash": op5_minhash}
+QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_minhash": op5_minhash}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -74,4 +82,27 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM w JOIN m ON m.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
-SQL = {"op5_minhash": OP5_SQL, "op1_quality": OP1_SQL}
+OP4_SQL = r"""
+WITH unit AS (SELECT [UNITS] AS u),
+txt AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+tok AS (SELECT side, id, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+') AS ws FROM txt),
+frm AS (SELECT side, id, list_transform(ws, lambda t: lower(t)) AS raw, list_transform(ws, lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN '<num>'
+    WHEN list_contains(u, lower(t)) THEN '<unit>' WHEN lower(t) <> t THEN '<name>' ELSE t END) AS tmpl FROM tok, unit WHERE len(ws) > 0),
+pos AS (SELECT side, id, raw, tmpl, unnest(range(1, greatest(len(raw) - 4, 1) + 1)) AS p FROM frm),
+win AS (SELECT side, id, p, raw[p:p + 4] AS r, tmpl[p:p + 4] AS t FROM pos),
+lit AS (SELECT *, len(list_filter(t, lambda x: x NOT IN ('<num>', '<unit>', '<name>'))) AS n FROM win),
+k AS (SELECT side, id, p, 'raw' AS kind, array_to_string(r, ' ') AS form, r, t FROM lit
+  UNION ALL SELECT side, id, p, 'template', array_to_string(t, ' '), r, t FROM lit WHERE n BETWEEN 2 AND len(t) - 1),
+met AS (SELECT d.id, i.id AS item, d.kind, i.p AS place, d.p - i.p AS shift, i.t, i.r AS was, d.r AS raw
+  FROM k d JOIN k i ON d.side = 'd' AND i.side = 'i' AND d.kind = i.kind AND d.form = i.form),
+slot AS (SELECT id, item, shift, place, was[x] AS was, raw[x] AS raw FROM (SELECT *, unnest(range(1, len(t) + 1)) AS x FROM met WHERE kind = 'template')
+  WHERE t[x] IN ('<num>', '<unit>', '<name>')),
+bad AS (SELECT id, item, shift, was, min(raw) <> max(raw) AS bad FROM slot GROUP BY ALL),
+judged AS (SELECT id, item, shift, place FROM slot JOIN bad USING (id, item, shift, was) GROUP BY ALL HAVING NOT bool_or(bad)),
+good AS (SELECT id, item, place, place AS exact FROM met WHERE kind = 'raw' UNION ALL SELECT id, item, place, NULL FROM judged),
+n AS (SELECT id AS item, CAST(count(*) AS BIGINT) AS n FROM win WHERE side = 'i' GROUP BY id)
+SELECT id AS doc_id, item AS item_id, n AS n_windows, count(DISTINCT place) AS n_found, count(DISTINCT exact) AS n_exact
+FROM good JOIN n USING (item) GROUP BY ALL HAVING 100 * count(DISTINCT place) >= 80 * n
+"""
+
+SQL = {"op4_decontaminate": OP4_SQL.replace("[UNITS]", str(UNITS)), "op5_minhash": OP5_SQL, "op1_quality": OP1_SQL}
