@@ -43,7 +43,24 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_minhash": op5_minhash}
+def op6_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store holds after 16 arrivals and their merges."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.shards import compacted
+
+    _, rows = compacted(table(spark, sf_dir, "documents"), arrivals=16, target_bytes=32 << 20)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "lang", "source", "n_chars", F.sha2(text, 256).alias("text_sha256"), F.octet_length(text).cast("long").alias("text_bytes"))
+
+
+def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.quotes import reply_ordered
+
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_minhash": op5_minhash, "op6_compaction": op6_compaction, "op10_quotes": op10_quotes}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -105,4 +122,37 @@ SELECT id AS doc_id, item AS item_id, n AS n_windows, count(DISTINCT place) AS n
 FROM good JOIN n USING (item) GROUP BY ALL HAVING 100 * count(DISTINCT place) >= 80 * n
 """
 
-SQL = {"op4_decontaminate": OP4_SQL.replace("[UNITS]", str(UNITS)), "op5_minhash": OP5_SQL, "op1_quality": OP1_SQL}
+OP6_SQL = """
+SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256, CAST(strlen(coalesce(text, '')) AS BIGINT) AS text_bytes FROM documents
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS raw FROM conversations),
+lv AS (SELECT *, list_transform(raw, lambda x: length(regexp_replace(regexp_extract(x, '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g'))) AS lv FROM m),
+n AS (SELECT *, list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN lv[i] = 0 AND coalesce(lv[i + 1], 0) > 0
+    AND regexp_matches(raw[i], '^.{1,200}\b(?:wrote|writes|schrieb|escribió|a écrit) ?:[ \t]*$') THEN -1 ELSE lv[i] END) AS l FROM lv),
+p AS (SELECT conv_id, turn, role, raw, l, regexp_replace(array_to_string(list_transform(list_filter(range(1, len(raw) + 1), lambda i: l[i] = 0), lambda i: raw[i]), chr(10)), '^\s+|\s+$', '', 'g') AS text FROM n),
+pc AS (SELECT conv_id, turn, raw, l, unnest(list_distinct(l)) AS level FROM p WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, turn, level, l, list_transform(raw, lambda x: trim(regexp_replace(x, '^(?:[ \t]{0,3}>)+', ''))) AS c FROM pc WHERE level >= 0),
+g AS (SELECT conv_id, turn, level, array_to_string(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN l[i] <> level THEN ''
+    WHEN i = 1 OR c[i] = '' OR l[i - 1] <> level THEN chr(10) || c[i] ELSE ' ' || c[i] END), '') AS t FROM c),
+s AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS s
+  FROM (SELECT conv_id, turn, level, unnest(regexp_split_to_array(t, '[.!?]+\s+|\n')) AS x FROM g)),
+q AS (SELECT DISTINCT conv_id, turn, s, len(string_split(s, ' ')) AS w FROM s WHERE level = 1 AND s <> ''),
+f AS (SELECT conv_id, s, min(turn) AS t FROM s WHERE level = 0 AND s <> '' GROUP BY ALL),
+v AS (SELECT q.conv_id, q.turn, f.t, sum(w) AS w FROM q JOIN f ON q.conv_id = f.conv_id AND q.s = f.s AND f.t < q.turn GROUP BY ALL),
+i AS (SELECT conv_id, turn, arg_max(t, (w, t)) AS t FROM v GROUP BY ALL),
+a AS (SELECT s, min((conv_id, t)) AS org FROM f GROUP BY s),
+ov AS (SELECT q.conv_id, q.turn, org, sum(w) AS w FROM q JOIN a USING (s) ANTI JOIN i ON q.conv_id = i.conv_id AND q.turn = i.turn WHERE org[1] <> q.conv_id GROUP BY ALL),
+o AS (SELECT conv_id, turn, arg_max(org, (w, org)) AS org FROM ov GROUP BY ALL),
+r AS (SELECT conv_id, turn, conv_id AS lc, t AS lt FROM i UNION ALL SELECT conv_id, turn, org[1], org[2] FROM o),
+up AS (SELECT conv_id, turn, lt AS root, CAST(1 AS BIGINT) AS depth FROM r WHERE lc = conv_id
+  UNION ALL SELECT up.conv_id, up.turn, i.t, depth + 1 FROM up JOIN i ON up.conv_id = i.conv_id AND up.root = i.turn),
+top AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM up GROUP BY ALL),
+j AS (SELECT p.conv_id, p.turn, p.role, p.text, CAST(len(list_filter(l, lambda x: x > 0)) AS BIGINT) AS quoted_lines, CAST(greatest(list_max(l), 0) AS BIGINT) AS quote_levels,
+  CASE WHEN r.lc = p.conv_id THEN r.lt END AS reply_to, r.lc AS linked_conv, r.lt AS linked_turn, coalesce(top.root, p.turn) AS root, coalesce(top.depth, 0) AS depth
+  FROM p LEFT JOIN r ON p.conv_id = r.conv_id AND p.turn = r.turn LEFT JOIN top ON p.conv_id = top.conv_id AND p.turn = top.turn)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY root NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text) - 1 AS position FROM j
+"""
+
+SQL = {"op6_compaction": OP6_SQL, "op10_quotes": OP10_SQL, "op4_decontaminate": OP4_SQL.replace("[UNITS]", str(UNITS)), "op5_minhash": OP5_SQL, "op1_quality": OP1_SQL}
