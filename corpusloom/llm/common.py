@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+# White space as in Unicode-aware patterns of the tokenizers (\s), which leaves out \x1c-\x1f.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Rows in one Arrow batch; a batch of long texts stays small enough for a Python worker.
 ROWS_PER_BATCH = 500
 
