@@ -54,6 +54,12 @@ def op6_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "n_chars", F.sha2(text, 256).alias("text_sha256"), F.octet_length(text).cast("long").alias("text_bytes"))
 
 
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.hmm import scores
+
+    return scores(table(spark, sf_dir, "documents"), held_out=2)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.warc import round_trip
 
@@ -74,7 +80,7 @@ def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_minhash": op5_minhash, "op6_compaction": op6_compaction, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_quotes": op10_quotes}
+QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_minhash": op5_minhash, "op6_compaction": op6_compaction, "op7_hmm": op7_hmm, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_quotes": op10_quotes}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
