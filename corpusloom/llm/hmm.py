@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import arrow_schema, bytes_text, map_rows, small_batches, stored
 
-STATES, BUCKETS, ROUNDS = 4, 1 << 15, 3
+STATES, BUCKETS, ROUNDS = 4, 1 << 12, 4
 #: A token is common that makes up one in so many tokens; so there are at most as many.
 COMMON = 1 << 17
-SEGMENT, SEED, SMOOTHING = 96, 3, 0.1
+SEGMENT, SEED, SMOOTHING, STAY = 96, 3, 0.1, 0.9
 #: Tokens that a task computes at once; a longer text is computed by itself.
 AT_ONCE = 400_000
 #: Distinct tokens that a task counts before it sends the counts on, and words remembered by a worker.
@@ -82,16 +82,16 @@ class Model:
 
     @staticmethod
     def begin(share: np.ndarray, states: int = STATES, seed: int = SEED) -> "Model":
-        """From the classes' shares, made a little different from state to state."""
+        """From the classes' shares, made a little different from state to state; a state mostly stays."""
         rng = np.random.default_rng(seed)
-        emit = (share + SMOOTHING / len(share))[:, None] * rng.uniform(0.5, 1.5, (len(share), states))
-        trans = rng.uniform(0.5, 1.5, (states, states))
+        emit = share[:, None] * rng.uniform(0.5, 1.5, (len(share), states))
+        trans = np.where(np.eye(states, dtype=bool), STAY, (1 - STAY) / max(1, states - 1)) * rng.uniform(0.9, 1.1, (states, states))
         return Model(np.full(states, 1 / states), trans / trans.sum(1, keepdims=True), emit / emit.sum(0))
 
     @staticmethod
-    def estimate(first: np.ndarray, trans: np.ndarray, emit: np.ndarray) -> Model:
-        first, trans = first + SMOOTHING, trans + SMOOTHING
-        emit = emit + SMOOTHING / 100
+    def estimate(first: np.ndarray, trans: np.ndarray, emit: np.ndarray, unseen: np.ndarray) -> "Model":
+        """From expected counts; of each class, its add-one counts are dealt to the states in equal parts."""
+        first, trans, emit = first + SMOOTHING, trans + SMOOTHING, emit + unseen[:, None] / emit.shape[1]
         return Model(first / first.sum(), trans / trans.sum(1, keepdims=True), emit / emit.sum(0))
 
 
@@ -238,9 +238,10 @@ def token_counts(docs: DataFrame, held_out: int) -> DataFrame:
     return stored(counts.groupBy("key").agg(F.first("class").alias("class"), F.sum("n").alias("c")), "tokens")
 
 
-def baum_welch(docs: DataFrame, share: np.ndarray, held_out: int, rounds: int = ROUNDS, states: int = STATES) -> Model:
-    """The model after some rounds over all training texts. Each round's sums come to the driver: K * (BUCKETS + K + 2) numbers, whatever the corpus."""
-    model = Model.begin(share, states)
+def baum_welch(docs: DataFrame, per_class: np.ndarray, held_out: int, rounds: int = ROUNDS, states: int = STATES) -> Model:
+    """The model after some rounds over all training texts. per_class: tokens and distinct tokens of each class. Each round's sums come to the driver: K * (BUCKETS + K + 2) numbers, whatever the corpus."""
+    unseen, size = per_class[:, 1] + 1, len(per_class)
+    model = Model.begin((per_class[:, 0] + unseen) / (per_class[:, 0] + unseen).sum(), states)
     small_batches(docs.sparkSession)
     schema = arrow_schema("at int, x double")
     texts = bytes_text(docs)
@@ -260,9 +261,9 @@ def baum_welch(docs: DataFrame, share: np.ndarray, held_out: int, rounds: int =
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], schema=schema)
 
         sums = texts.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum(F.col("x").cast("decimal(30,9)")).cast("double").alias("x")).toPandas()
-        flat = np.zeros(states + states * states + len(share) * states)
+        flat = np.zeros(states + states * states + size * states)
         flat[sums["at"].to_numpy(int)] = sums["x"].to_numpy(float)
-        model = Model.estimate(flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(-1, states))
+        model = Model.estimate(flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(-1, states), unseen)
     return model
 
 
@@ -274,7 +275,7 @@ def scores(docs: DataFrame, held_out: int = 2, rounds: int = ROUNDS, states: int
     per_class = np.zeros((BUCKETS + 1, 2))
     for r in counts.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         per_class[r["class"]] = r.c, r.v
-    model = baum_welch(docs, per_class[:, 0] / max(1, total), held_out, rounds, states)
+    model = baum_welch(docs, per_class, held_out, rounds, states)
     share = np.log10(per_class.sum(1) + 1)  # of a class: its tokens, one more for each, and one for the unknown
     common = counts.where(F.col("c") * F.lit(COMMON) >= F.lit(total)).select("key", "c").toPandas()
     shared = spark.sparkContext.broadcast((model, share, dict(zip(map(bytes, common["key"]), np.log10(common["c"].to_numpy(float) + 1).tolist(), strict=True))))
