@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token's bytes form a linked list. Each merge rank has a bucket of list positions; a bitmap of three levels
+A pre-token's bytes form a linked list. Each merge rank has a bucket of list positions; a bitmap of two levels
 marks the buckets that are not empty, and find-first-set gives the next rank. An entry whose pair has changed since
 it was filed is stale and is skipped. Every operation costs a constant number of word operations (and the log of a
 bucket), so a pre-token of n bytes takes O(n log n), not O(n²). Ids of short chunks are remembered, within a bound.
 
-A text is first cut into chunks whose pre-tokens do not depend on what stands around them: a run of characters
-that are no white space with at most one space before it, or a piece of white space.
+A text is first cut into chunks whose pre-tokens do not depend on what stands around them: before each space where no
+white space follows a space; else runs of characters that are no white space with at most one space before, and the
+pieces of white space between.
 
 Defined cases: a null text is empty; an empty text has no ids; a null doc_id is kept as null; repeated rows are
 encoded one by one; extra columns do not matter.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from array import array
 from collections.abc import Iterable
 
@@ -24,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bytes_text, map_rows, small_batches
+from corpusloom.llm.common import SPACE, bytes_text, map_rows, small_batches
 
-#: Chunks up to this length are remembered, up to so many of them in each worker.
-REMEMBER_CHARS, REMEMBER = 48, 300_000
+#: Chunks and pre-tokens up to this length are remembered: in each worker the last so many, and as many older ones.
+REMEMBER_CHARS, REMEMBER = 48, 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,41 +38,45 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank. Three levels of 64-bit words mark the ranks that have positions."""
+    """Positions by rank: two levels of 256-bit words mark the ranks that have positions. A bucket is one position, or a heap of more."""
 
     def __init__(self, ranks: int):
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (ranks // 4096 + 1)
+        self.low = [0] * (ranks // 256 + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.bit = [1 << k for k in range(max(256, len(self.low)))]
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] |= 1 << (rank & 63)
-            self.mid[b] |= 1 << (a & 63)
-            self.top |= 1 << b
+        buckets = self.buckets
+        if rank not in buckets:
+            buckets[rank] = at
+            a = rank >> 8
+            if not self.low[a]:
+                self.top |= self.bit[a]
+            self.low[a] |= self.bit[rank & 255]
+        elif isinstance(bucket := buckets[rank], int):
+            buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
         else:
             heapq.heappush(bucket, at)
 
-    def pop(self) -> tuple[int, int] | None:
-        """The leftmost position of the lowest rank."""
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        a = b << 6 | (self.mid[b] & -self.mid[b]).bit_length() - 1
-        rank = a << 6 | (self.low[a] & -self.low[a]).bit_length() - 1
+    def pop(self) -> tuple[int, int]:
+        """The leftmost position of the lowest rank; only while top is not 0."""
+        top = self.top
+        a = (top & -top).bit_length() - 1
+        low = self.low[a]
+        first = low & -low
+        rank = (a << 8) + first.bit_length() - 1
         bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] &= self.low[a] - 1
-            if not self.low[a]:
-                self.mid[b] &= self.mid[b] - 1
-                if not self.mid[b]:
-                    self.top &= self.top - 1
+        if not isinstance(bucket, int):
+            at = heapq.heappop(bucket)
+            if bucket:
+                return rank, at
+        else:
+            at = bucket
+        del self.buckets[rank]
+        self.low[a] = low = low ^ first
+        if not low:
+            self.top = top & (top - 1)
         return rank, at
 
 
@@ -80,79 +86,113 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.pattern = regex.compile(pattern)
-        # White space as in the pattern's \s, which leaves out \x1c-\x1f.
-        space = "\t-\r \x85\xa0  -     　"
-        self.chunks = regex.compile(f" ?[^{space}]+|[{space}]+(?![^{space}])|[{space}]")
-        self.pretokens = self.pattern.findall
+        self.single = [ranks.get(bytes([i])) for i in range(256)]
+        self.pairs: dict[int, int] = {}  # (left id, right id) in one number: the id of both, or -1
+        self.pretokens = regex.compile(pattern).findall
+        self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]").findall
+        self.space_space = re.compile(f" [{SPACE}]").search
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
 
+    def pair(self, a: int, b: int) -> int:
+        r = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
+        if len(self.pairs) < REMEMBER:
+            self.pairs[a << 32 | b] = r
+        return r
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, ranks, queue = len(piece), self.ranks, self.queue
-        part = [piece[i : i + 1] for i in range(n)]
+        n, known, pair, queue = len(piece), self.pairs.get, self.pair, self.queue
+        push, pop = queue.push, queue.pop
+        ids = [self.single[x] for x in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         filed = [-1] * n  # the rank under which the pair that begins here is filed
         for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
+            r = known(ids[i] << 32 | ids[i + 1])
+            if r is None:
+                r = pair(ids[i], ids[i + 1])
+            if r >= 0:
                 filed[i] = r
-                queue.push(r, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+                push(r, i)
+        while queue.top:
+            rank, i = pop()
             if filed[i] != rank:
                 continue  # stale
             j = after[i]
-            part[i] += part[j]
+            ids[i] = rank
             filed[j] = -1
             k = after[i] = after[j]
-            r = None
+            r = -1
             if k < n:
                 before[k] = i
-                r = ranks.get(part[i] + part[k])
-            filed[i] = -1 if r is None else r
-            if r is not None:
-                queue.push(r, i)
+                r = known(rank << 32 | ids[k])
+                if r is None:
+                    r = pair(rank, ids[k])
+                if r >= 0:
+                    push(r, i)
+            filed[i] = r
             h = before[i]
             if h >= 0:
-                r = ranks.get(part[h] + part[i])
+                r = known(ids[h] << 32 | rank)
                 if r is None:
-                    filed[h] = -1
-                elif r != filed[h]:
+                    r = pair(ids[h], rank)
+                if r != filed[h]:
                     filed[h] = r
-                    queue.push(r, h)
+                    if r >= 0:
+                        push(r, h)
         out, i = [], 0
         while i < n:
-            out.append(ranks[part[i]])
+            out.append(ids[i])
             i = after[i]
         return out
 
-    def chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk as little-endian unsigned 32-bit integers."""
-        ids = array("I")
-        for p in self.pretokens(chunk):
-            ids.extend(self.merge(p.encode("utf-8", "surrogatepass")))
-        got = ids.tobytes()
-        if len(chunk) <= REMEMBER_CHARS:
+    def remember(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= REMEMBER_CHARS:
             if len(self.memory) >= REMEMBER:
-                self.memory.clear()
-            self.memory[chunk] = got
+                self.older, self.memory = self.memory, {}
+            self.memory[text] = ids
+        return ids
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a pre-token as little-endian unsigned 32-bit integers."""
+        got = self.memory.get(text)
+        if got is None:
+            got = self.older.get(text) or array("I", self.merge(text.encode("utf-8", "surrogatepass"))).tobytes()
+            self.remember(text, got)
         return got
 
+    def chunk(self, text: str) -> bytes:
+        """Ids of a chunk. What is remembered of a pre-token and of a chunk that reads the same is the same."""
+        got = self.older.get(text)
+        if got is None:
+            pieces = self.pretokens(text)
+            if len(pieces) == 1:
+                return self.piece(text)
+            got = b"".join(map(self.piece, pieces))
+        return got if "\n" in text else self.remember(text, got)
+
     def encode(self, text: str) -> bytes:
-        get, make = self.memory.get, self.chunk
-        return b"".join([get(c) or make(c) for c in self.chunks.findall(text)])
+        chunks = self.chunks(text) if "\0" in text or self.space_space(text) else text.replace(" ", "\0 ").split("\0")
+        make = self.chunk
+        return b"".join([self.memory.get(c) or make(c) for c in chunks])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+#: Tokenizers of this process, with what they remember: a Python worker keeps them from task to task.
+_HELD: dict[tuple[str, str], Tokenizer] = {}
+
+
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    return Tokenizer(load_ranks(path), pattern)
+    """The process's tokenizer of these ranks and this pattern."""
+    if (path, pattern) not in _HELD:
+        _HELD[path, pattern] = Tokenizer(load_ranks(path), pattern)
+    return _HELD[path, pattern]
 
 
 def ids_of(raw: bytes) -> array:
@@ -180,13 +220,11 @@ def encode_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def encode_documents(docs: DataFrame, path: str, pattern: str, output: str = "ids") -> DataFrame:
     """The documents with a column of ids (array<int>), in place of any column of that name."""
     small_batches(docs.sparkSession)
-    held: list[Tokenizer] = []
 
     @F.pandas_udf("array<int>")
     def encode(texts):
-        if not held:
-            held.append(tokenizer(path, pattern))
-        return texts.map(lambda x: ids_of(held[0].encode(x)).tolist())
+        t = tokenizer(path, pattern)
+        return texts.map(lambda x: ids_of(t.encode(x)).tolist())
 
     return docs.withColumn(output, encode(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
@@ -194,12 +232,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, output: str = "id
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """The documents with the bytes to which their ids decode."""
     small_batches(docs.sparkSession)
-    held: list[Tokenizer] = []
 
     @F.pandas_udf("binary")
     def decode(lists):
-        if not held:
-            held.append(tokenizer(path, pattern))
-        return lists.map(lambda x: b"" if x is None else held[0].decode(x.tolist() if hasattr(x, "tolist") else x))
+        t = tokenizer(path, pattern)
+        return lists.map(lambda x: b"" if x is None else t.decode(x.tolist() if hasattr(x, "tolist") else x))
 
     return docs.withColumn(output, decode(F.col(ids)))
