@@ -27,58 +27,64 @@ UNITS = "kg km cm mm ml kb mb gb mph meter meters metre metres kilometer kilomet
 PLACEHOLDERS = ("<num>", "<unit>", "<name>")
 
 
-def _template(t: Column) -> Column:
+def _form(t: Column, otherwise: Column) -> Column:
+    """A token's placeholder, or else what stands for a literal."""
     first, low = F.substring(t, 1, 1), F.lower(t)
-    return F.when((first >= "0") & (first <= "9"), "<num>").when(low.isin(UNITS), "<unit>").when(low != t, "<name>").otherwise(t)
+    return F.when((first >= "0") & (first <= "9"), F.lit(PLACEHOLDERS[0])).when(low.isin(UNITS), F.lit(PLACEHOLDERS[1])).when(low != t, F.lit(PLACEHOLDERS[2])).otherwise(otherwise)
 
 
-def _tokens(df: DataFrame, key: str) -> DataFrame:
-    """(id, raw, tmpl) of texts with a token."""
-    words = df.select(F.col(key).alias("id"), F.expr(f"regexp_extract_all(coalesce(cast(text as string), ''), r'{TOKEN}', 0)").alias("words")).where(F.size("words") > 0)
-    return words.select("id", F.transform("words", F.lower).alias("raw"), F.transform("words", _template).alias("tmpl"))
+def _literal() -> Column:
+    return F.xxhash64(F.lit(""))
 
 
-def _literals(window: Column) -> Column:
-    return F.size(F.filter(window, lambda t: ~t.isin(*PLACEHOLDERS)))
+def _words(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key).alias("id"), F.expr(f"regexp_extract_all(coalesce(cast(text as string), ''), r'{TOKEN}', 0)").alias("words"))
 
 
 def _places(tokens: str) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.size(tokens) - (WINDOW - 1), F.lit(1)))
-
-
-def _hashes(tokens: DataFrame) -> DataFrame:
-    """(id, at, key): hashes of raw windows, and of template windows with a placeholder and two literals."""
-    raw = F.transform(_places("raw"), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("raw", i, WINDOW)).alias("key")))
-    window = lambda i: F.slice("tmpl", i, WINDOW)
-    some = F.filter(_places("tmpl"), lambda i: _literals(window(i)).between(2, F.size(window(i)) - 1))
-    tmpl = F.transform(some, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit("template"), window(i)).alias("key")))
-    return tokens.select("id", F.inline(F.concat(raw, tmpl)))
-
-
-def _windows(tokens: DataFrame) -> DataFrame:
-    """(id, at, kind, key, form, raw): the same windows with their tokens; only for what is known to be a candidate."""
+    """1, 2, … of the windows; null without tokens. Outer generators stand above, for Spark would compute an inner one's array twice."""
+    return F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.greatest(F.size(tokens) - (WINDOW - 1), F.lit(1))))
+
+
+def _hashes(df: DataFrame, key: str, place: bool = False) -> DataFrame:
+    """(id, key), or (id, at, key): hashes of raw windows, and of template windows with a placeholder and two literals."""
+    words = _words(df, key)
+    raw = words.select("id", "words", F.transform("words", lambda t: F.xxhash64(F.lower(t))).alias("raw"))
+    slots = raw.select("id", "raw", F.transform("words", lambda t: F.xxhash64(_form(t, F.lit("")))).alias("form"))
+    slots = slots.select("id", "raw", F.transform("form", lambda f, i: F.when(f == _literal(), F.get("raw", i)).otherwise(f)).alias("form"), F.concat(F.transform("form", lambda f: F.when(f == _literal(), 0).otherwise(1)), F.array_repeat(F.lit(0), WINDOW)).alias("held"))
+    held = lambda i: sum((F.get("held", i + k) for k in range(0, WINDOW - 1)), F.get("held", i - 1))
+    kept = lambda i: held(i).between(1, F.least(F.size("form"), F.lit(WINDOW)) - 2)
+    pick = (lambda i, k: F.struct(i.alias("at"), k.alias("key"))) if place else (lambda i, k: k)
+    whole = F.transform(_places("raw"), lambda i: pick(i, F.xxhash64(F.slice("raw", i, WINDOW))))
+    other = F.transform(F.filter(_places("form"), kept), lambda i: pick(i, F.xxhash64(F.lit("template"), F.slice("form", i, WINDOW))))
+    keys = slots.select("id", F.concat(whole, other).alias("keys"))
+    return keys.select("id", F.inline_outer("keys")).where("key is not null") if place else keys.select("id", F.explode_outer("keys").alias("key")).where("key is not null")
+
+
+def _windows(df: DataFrame, key: str) -> DataFrame:
+    """(id, at, kind, form, raw): the same windows with their tokens; only for what is known to be a candidate."""
+    words = _words(df, key).select("id", F.transform("words", F.lower).alias("raw"), F.transform("words", lambda t: _form(t, t)).alias("tmpl"))
     made = F.transform(_places("raw"), lambda i: F.struct(i.alias("at"), F.slice("raw", i, WINDOW).alias("raw"), F.slice("tmpl", i, WINDOW).alias("tmpl")))
-    w = tokens.select("id", F.inline(made))
-    raw = w.select("id", "at", F.lit("raw").alias("kind"), F.col("raw").alias("form"), "raw")
-    tmpl = w.where(_literals(F.col("tmpl")).between(2, F.size("tmpl") - 1)).select("id", "at", F.lit("template").alias("kind"), F.col("tmpl").alias("form"), "raw")
-    return raw.union(tmpl)
+    w = words.select("id", F.inline_outer(made)).where("at is not null")
+    literals = F.size(F.filter("tmpl", lambda t: ~t.isin(*PLACEHOLDERS)))
+    two = F.array(F.struct(F.lit("raw").alias("kind"), F.col("raw").alias("form")), F.struct(F.when(literals.between(2, F.size("tmpl") - 1), "template").alias("kind"), F.col("tmpl").alias("form")))
+    return w.select("id", "at", "raw", F.inline_outer(two)).where("kind is not null").select("id", "at", "kind", "form", "raw")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, n_exact): pairs of a document and an item of which it holds PERCENT of the windows."""
-    items = _tokens(benchmark, "item_id")
-    sizes = items.groupBy("id").agg(F.max(F.size(_places("raw"))).cast("long").alias("n")).select(F.col("id").alias("item"), "n")
-    keys = stored(_hashes(items).select(F.col("id").alias("item"), F.col("at").alias("place"), "key").distinct(), "benchmark")
+    sizes = _words(benchmark, "item_id").groupBy("id").agg(F.max(F.size(_places("words"))).cast("long").alias("n")).select(F.col("id").alias("item"), "n")
+    keys = stored(_hashes(benchmark, "item_id", place=True).select(F.col("id").alias("item"), F.col("at").alias("place"), "key").distinct(), "benchmark")
     if keys.count() <= BROADCAST_WINDOWS:
         keys = F.broadcast(keys)
     enough = F.lit(100) * F.col("found") >= F.lit(PERCENT) * F.col("n")
-    found = _hashes(_tokens(docs, "doc_id")).join(keys, "key").groupBy("id", "item").agg(F.count_distinct("place").alias("found"))
+    found = _hashes(docs, "doc_id").join(keys, "key").groupBy("id", "item").agg(F.count_distinct("place").alias("found"))
     candidates = stored(_with(found, sizes).where(enough).select("id", "item"), "suspects")
 
     ids = candidates.select(F.col("id").alias("__id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    there = _windows(_tokens(texts, "doc_id")).alias("d")
-    mine = _windows(items).select(F.col("id").alias("item"), F.col("at").alias("place"), "kind", "form", F.col("raw").alias("was"))
+    there = _windows(texts, "doc_id")
+    mine = _windows(benchmark, "item_id").select(F.col("id").alias("item"), F.col("at").alias("place"), "kind", "form", F.col("raw").alias("was"))
     met = there.join(mine, ["kind", "form"]).join(candidates.withColumnRenamed("id", "__id").withColumnRenamed("item", "__item"), F.col("id").eqNullSafe(F.col("__id")) & F.col("item").eqNullSafe(F.col("__item")), "left_semi")
     met = stored(met.select("id", "item", "kind", "place", (F.col("at") - F.col("place")).alias("shift"), "form", "was", "raw"), "aligned")
 
