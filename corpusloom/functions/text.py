@@ -12,7 +12,7 @@ MAIN_CHARS, EXCERPT_CHARS = 6000, 800
 
 def title_from_url(url: Column) -> Column:
     """The last part of the path, in words that begin with capitals; the host where there is none."""
-    last = F.element_at(F.filter(F.split(urls.path(url), "/"), lambda x: x != ""), -1)
+    last = F.try_element_at(F.filter(F.split(urls.path(url), "/"), lambda x: x != ""), F.lit(-1))
     plain = F.regexp_replace(F.regexp_replace(last, "[-_]+", " "), r"\.[A-Za-z0-9_]+\z", "")
     marked = F.regexp_replace(plain, "(?<![A-Za-z0-9_])([A-Za-z0-9_])", "\u0001$1")
     parts = F.split(marked, "\u0001")
@@ -38,7 +38,7 @@ def empty_shell(word_count: Column, html: Column) -> Column:
 
 
 def _seconds(a: Column, b: Column) -> Column:
-    return (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
+    return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(1e6)
 
 
 def relative_time(t: Column, now: Column) -> Column:

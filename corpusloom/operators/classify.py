@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +33,7 @@ KEYWORDS = (
 )
 WEIGHTS = {"Getting Started": 30, "Documentation": 28, "API Reference": 26, "Guides": 22, "Product": 18, "Resources": 12, "Support": 12, "Blog": 10, "Company": 8}
 OTHER_WEIGHT = 5
+HIGH, MEDIUM = 45, 20
 
 
 def rule_category(url: Column, title: Column, headings: Column) -> Column:
@@ -53,16 +52,17 @@ def category(url: Column, title: Column, headings: Column) -> Column:
 
 def rank(name: Column) -> Column:
     """Place of a category, from 1; null for others."""
-    return F.nullif(F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), name), F.lit(0))
+    return F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c, i + 1)]), name)
 
 
 def importance(is_home: Column, cat: Column, depth: Column, words: Column, inbound: Column, has_markdown: Column) -> Column:
     """A whole number, 0 at least, as double."""
-    weight = reduce(lambda w, kv: w.when(cat == kv[0], float(kv[1])), list(WEIGHTS.items())[1:], F.when(cat == "Getting Started", float(WEIGHTS["Getting Started"]))).otherwise(float(OTHER_WEIGHT))
+    table = F.create_map(*[F.lit(x) for c, w in WEIGHTS.items() for x in (c, float(w))])  # one reference to cat: it may be a long expression
+    weight = F.coalesce(F.try_element_at(table, cat), F.lit(float(OTHER_WEIGHT)))
     length = F.when(words < 60, -25.0).when(words > 800, 15.0).when(words > 300, 10.0).otherwise(0.0)
     score = F.when(is_home, 40.0).otherwise(0.0) + weight - depth * 4.0 + F.least(inbound, F.lit(20)) * 1.5 + length + F.when(has_markdown, 3.0).otherwise(0.0)
     return F.greatest(F.lit(0.0), js.rounded(score).cast("double"))
 
 
 def band(score: Column) -> Column:
-    return F.when(score >= 45, "high").when(score >= 20, "medium").otherwise("low")
+    return F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low")

@@ -76,7 +76,7 @@ def with_verdicts(working: DataFrame, verdicts: DataFrame) -> DataFrame:
     return j.withColumns(
         {
             "category": F.when(hit, F.col("__category")).otherwise(F.col("category")),
-            "description": F.when(hit, js.or_else(F.col("__description"), F.col("description"))).otherwise(F.col("description")),
+            "description": F.when(hit, js.text(js.or_else(F.col("__description"), F.col("description")))).otherwise(F.col("description")),
             "analysis_source": F.when(hit, F.lit("llm")).otherwise(F.col("analysis_source")),
             "included": F.when(out, False).otherwise(F.col("included")),
             "exclude_reason": F.when(out, F.lit("llm-excluded")).otherwise(F.col("exclude_reason")),

@@ -30,12 +30,12 @@ def curated(candidates: DataFrame) -> DataFrame:
     the optional ones. A page of an unknown category that is not optional is neither listed nor curated out."""
     c = candidates.withColumn("__manual", F.when(~F.col("is_home"), _override()))
     auto = c.where(~F.col("is_home") & _override().isNull())
-    low = classify.band(F.col("importance_score")) == "low"
+    low = F.col("importance_score") < classify.MEDIUM
     auto = auto.select("site_id", "ord", F.col("importance_score").alias("score"), F.when(low, OPTIONAL).otherwise(F.col("category")).alias("sec"))
-    auto = auto.withColumn("sr", F.when(F.col("sec") == OPTIONAL, 0).otherwise(classify.rank(F.col("sec")))).where("sr is not null")
+    auto = auto.withColumn("sr", F.when(F.col("sec") == OPTIONAL, 0).otherwise(classify.rank(F.col("sec"))))
 
     by_score = [F.col("score").desc(), F.col("ord")]
-    near = auto.withColumn("rn", F.row_number().over(Window.partitionBy("site_id", "sec").orderBy(*by_score))).where(F.col("rn") <= MOST_IN_SECTION + MOST_OPTIONAL)
+    near = auto.withColumn("rn", F.row_number().over(Window.partitionBy("site_id", "sec").orderBy(*by_score))).where((F.col("rn") <= MOST_IN_SECTION + MOST_OPTIONAL) & F.col("sr").isNotNull())
     near = near.withColumn("first", (F.col("sr") > 0) & (F.col("rn") <= MOST_IN_SECTION))
     in_all = F.row_number().over(Window.partitionBy("site_id", "first").orderBy("sr", *by_score))
     spare = F.row_number().over(Window.partitionBy("site_id", "first").orderBy(F.col("score").desc(), "sr", "ord"))

@@ -4,7 +4,580 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from corpusloom.functions import js, net, text, urls
+from corpusloom.operators import classify, filters, lifecycle, links, markdown, refine, render, sections, validate
+from corpusloom.plans import api, corpus, site
+from corpusloom.plans.corpus import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def over(sql: str, *ctes: str) -> str:
+    return "WITH " + ",\n".join((corpus.SQL, *ctes)) + sql
+
+
+NOW = "TIMESTAMP '2024-06-01 00:00:00'"
+
+
+# --- URLs ----------------------------------------------------------------------------------------------------------------------
+
+URL_PARTS = r"""
+u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host,
+  regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p0, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM pages),
+v AS (SELECT *, CASE WHEN p0 = '' THEN '/' ELSE p0 END AS path FROM u)
+"""
+
+
+@query(
+    "WITH "
+    + URL_PARTS
+    + r""", q AS (SELECT *, array_to_string(list_sort(list_transform(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_|mc_|ga_)|^(fbclid|gclid|gclsrc|dclid|msclkid|igshid|mkt_tok|ref|ref_src|referrer|_hsenc|_hsmi|trk|spm|si)(=|$)')),
+  lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)), '&') AS kept FROM v)
+SELECT page_id, scheme || '://' || host || CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS url FROM q"""
+)
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalized(F.col("url")).alias("url"))
+
+
+@query("WITH " + URL_PARTS + " SELECT page_id, scheme || '://' || host AS origin, regexp_replace(host, '^www\\.', '') AS display_host FROM v")
+def url_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", urls.origin(u).alias("origin"), urls.display_host(u).alias("display_host"))
+
+
+@query("WITH " + URL_PARTS + " SELECT page_id, regexp_replace(host, '^www\\.', '') = 'blog.theron.example.org' AS same FROM v")
+def url_same_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.same_site(F.col("url"), F.lit("http://www.blog.theron.example.org")).alias("same"))
+
+
+@query(
+    "WITH "
+    + URL_PARTS
+    + r""", n AS (SELECT *, regexp_extract(query, '(?:^|&)page=([^&]*)', 1) AS pg, regexp_matches(query, '(?:^|&)page(=|&|$)') AS has_pg, regexp_extract(query, '(?:^|&)p=([^&]*)', 1) AS pp FROM v)
+SELECT page_id, lower(regexp_extract(path, '(\.[^.]*)$', 1)) IN ('.png', '.jpg', '.jpeg', '.gif', '.svg', '.webp', '.ico', '.bmp', '.pdf', '.zip', '.tar', '.gz', '.rar', '.7z', '.mp4', '.mp3', '.mov', '.avi', '.webm', '.wav', '.woff', '.woff2', '.ttf', '.eot', '.css', '.js', '.json', '.xml', '.csv', '.doc', '.docx', '.xls', '.xlsx', '.ppt', '.pptx') AS asset,
+CASE WHEN regexp_matches(path, '(?i)/((logout|sign[-_]?out|login|sign[-_]?in|sign[-_]?up|register|wp-admin)\b|account/(password|reset|delete)|wp-login)') THEN 'auth'
+  WHEN regexp_matches(path, '(?i)/search\b') OR regexp_matches(query, '(?:^|&)(q|query)(=|&|$)') THEN 'search-results'
+  WHEN regexp_matches(path, '(?i)/page/[0-9]+/?$') OR (CASE WHEN has_pg THEN regexp_matches(pg, '^[0-9]+$') AND NOT regexp_matches(pg, '^0*1?$') ELSE regexp_matches(pp, '^[0-9]+$') AND NOT regexp_matches(pp, '^0*1?$') END)
+    OR regexp_matches(query, '(?:^|&)(offset|start)=[0-9]+(&|$)') THEN 'pagination'
+  WHEN regexp_matches(path, '(?i)/((cart|checkout|privacy(-policy)?|terms|legal|unsubscribe|search|print)\b|cookies?-policy)') THEN 'low-priority-utility' END AS reason FROM n"""
+)
+def url_exclusion_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.is_asset(F.col("url")).alias("asset"), urls.exclusion_reason(F.col("url"), F.lit(True)).alias("reason"))
+
+
+PRIORITY_SQL = r"""
+pr AS (SELECT site_id, ord, url, CAST(CASE k WHEN 'docs' THEN 22 WHEN 'guides' THEN 20 WHEN 'api' THEN 20 WHEN 'pricing' THEN 12 WHEN 'changelog' THEN 10 WHEN 'support' THEN 12 WHEN 'about' THEN 10
+  WHEN 'blog' THEN 8 WHEN 'getting-started' THEN 22 ELSE 0 END + CASE WHEN ord % 3 = 0 THEN 0 ELSE ord % 11 END - depth * 3 AS DOUBLE) AS priority FROM b)
+"""
+
+
+def _priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("ord") % 3 == 0, None).otherwise((F.col("ord") % 11) / 10.0)
+    return corpus.pages(spark, sf_dir).select("site_id", "ord", "url", F.round(urls.discovery_priority(F.col("url"), F.col("depth"), said), 6).alias("priority"))
+
+
+@query(over(" SELECT * FROM pr", PRIORITY_SQL))
+def discovery_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _priorities(spark, sf_dir)
+
+
+@query(over(" SELECT site_id, ord, CAST(rk AS INT) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY priority DESC, ord) AS rk FROM pr) WHERE rk <= 8", PRIORITY_SQL))
+def frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rk = F.row_number().over(Window.partitionBy("site_id").orderBy(F.col("priority").desc(), "ord"))
+    return _priorities(spark, sf_dir).withColumn("rk", rk).where("rk <= 8").select("site_id", "ord", "rk")
+
+
+ROBOTS = "User-agent: *\nDisallow: /docs\nAllow: /docs/1\nDisallow: /*9$\nDisallow: /blog/\nAllow: /blog/\nDisallow:\nSitemap: https://x.example.com/map.xml\n"
+
+
+@query(
+    over(r""" SELECT site_id, ord, CASE WHEN regexp_matches(p, '^/docs/1') THEN TRUE WHEN regexp_matches(p, '^/blog/') THEN FALSE WHEN regexp_matches(p, '^/docs') THEN FALSE WHEN regexp_matches(p, '9$') THEN FALSE ELSE TRUE END AS allowed
+FROM (SELECT site_id, ord, '/' || k || '/' || ord AS p FROM b)""")
+)
+def robots_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.sources import robots
+
+    p = corpus.pages(spark, sf_dir).select("site_id", "ord", urls.path_and_query(F.col("url")).alias("path"))
+    rules = p.select("site_id").distinct().withColumn("r", robots.parsed(F.lit(ROBOTS))).select("site_id", "r.*")
+    return robots.decided(p, rules).select("site_id", "ord", "allowed")
+
+
+@query()
+def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.sources import robots
+
+    return table(spark, sf_dir, "region").select("r_regionkey", robots.parsed(F.lit(ROBOTS)).alias("r")).select("r_regionkey", "r.*")
+
+
+IP = "concat((ord * 7919) % 256, '.', (ord * 104729) % 256, '.', (ord * 31) % 256, '.', ord % 256)"
+
+
+@query(
+    over(f""", i AS (SELECT ord, {IP} AS ip FROM b), n AS (SELECT *, CAST(split_part(ip, '.', 1) AS BIGINT) AS a, CAST(split_part(ip, '.', 2) AS BIGINT) AS c, CAST(split_part(ip, '.', 3) AS BIGINT) AS d FROM i)
+SELECT ord, ip, a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND c BETWEEN 64 AND 127) OR (a = 169 AND c = 254) OR (a = 172 AND c BETWEEN 16 AND 31) OR (a = 192 AND c = 0 AND d IN (0, 2)) OR (a = 192 AND c = 168)
+  OR (a = 198 AND c IN (18, 19)) OR (a = 198 AND c = 51 AND d = 100) OR (a = 203 AND c = 0 AND d = 113) AS private FROM n""")
+)
+def cidr_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ips = corpus.pages(spark, sf_dir).select("ord", F.expr(IP).alias("ip"))
+    return ips.withColumn("private", net.is_private(F.col("ip")))
+
+
+@query(over(f""", i AS (SELECT ord, {IP} AS ip FROM b) SELECT '10.0.0.0/8' AS cidr, count(*) AS n FROM i WHERE ip LIKE '10.%' UNION ALL SELECT '224.0.0.0/4', count(*) FROM i WHERE CAST(split_part(ip, '.', 1) AS INT) BETWEEN 224 AND 239"""))
+def cidr_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ips = corpus.pages(spark, sf_dir).select("ord", F.expr(IP).alias("ip"))
+    return net.matching_ranges(ips).where(F.col("cidr").isin("10.0.0.0/8", "224.0.0.0/4")).groupBy("cidr").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH " + URL_PARTS + r""" SELECT page_id, CASE WHEN host = 'localhost' OR host LIKE '%.local' THEN 'Hostname "' || host || '" is not allowed' END AS problem FROM v""")
+def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", net.url_problem(F.col("url")).alias("problem"))
+
+
+@query("WITH " + URL_PARTS + r""" SELECT page_id, scheme || '://' || host || CASE WHEN path = '/' THEN '/index.md' ELSE path || '.md' END AS added, CASE WHEN regexp_matches(path, '\.[A-Za-z0-9_]+$') AND path NOT LIKE '%.md' THEN scheme || '://' || host || regexp_replace(path, '\.[A-Za-z0-9_]+$', '.md') END AS swapped FROM v""")
+def markdown_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = urls.markdown_candidates(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.get(c, F.lit(0)).alias("added"), F.get(c, F.lit(1)).alias("swapped"))
+
+
+@query(over(""", r AS (SELECT site_id, ord, url || '.md' AS cand, ord % 4 AS m FROM b) SELECT site_id, ord, CASE WHEN m IN (1, 2) THEN cand END AS markdown_url FROM r"""))
+def markdown_first_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = corpus.pages(spark, sf_dir)
+    m = F.col("ord") % 4
+    responses = p.select(
+        F.concat("url", F.lit(".md")).alias("url"),
+        F.lit(True).alias("ok"),
+        F.when(m == 0, "text/html").when(m == 1, "text/markdown").otherwise("application/octet-stream").alias("content_type"),
+        F.when(m == 2, "# Title").otherwise("plain").alias("body"),
+        F.lit(None).cast("long").alias("content_length"),
+    )
+    found = markdown.verified(p, responses)
+    return p.select("site_id", "ord", "url").join(found, ["site_id", "url"], "left").select("site_id", "ord", "markdown_url")
+
+
+# --- texts, categories, scores ---------------------------------------------------------------------------------------------------
+
+
+@query(over(""" SELECT ord, sha256(trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) || chr(10) || '---' || chr(10) || trim(regexp_replace(lower(description), '\\s+', ' ', 'g')) || chr(10) || '---' || chr(10) || trim(regexp_replace(lower(main_content), '\\s+', ' ', 'g'))) AS content_hash FROM b"""))
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.pages(spark, sf_dir).select("ord", text.content_hash(F.col("title"), F.col("description"), F.col("main_content")).alias("content_hash"))
+
+
+@query(over(" SELECT site_id, content_hash, count(*) AS n FROM s GROUP BY ALL"))
+def hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.scored(spark, sf_dir).groupBy("site_id", "content_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(over(" SELECT site_id, url FROM (SELECT *, row_number() OVER (PARTITION BY site_id, content_hash ORDER BY importance_score DESC, length(url), ord) AS rn FROM s) WHERE rn > 1"))
+def dedup_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.duplicate_urls(corpus.scored(spark, sf_dir))
+
+
+@query(
+    over(""" SELECT site_id, ord, CASE WHEN rn > 1 THEN 'duplicate' WHEN word_count < 50 THEN 'thin-content' WHEN regexp_matches(title, '(?i)\\b(sitemap|site ?map|table of contents|all (articles|pages|posts)|archive index)\\b') AND word_count < 150 THEN 'navigation' END AS reason
+FROM (SELECT *, row_number() OVER (PARTITION BY site_id, content_hash ORDER BY importance_score DESC, length(url), ord) AS rn FROM s)""")
+)
+def thin_nav_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.content_reasons(corpus.scored(spark, sf_dir)).select("site_id", "ord", "reason")
+
+
+GENERIC_SQL = """
+g AS (SELECT *, CASE WHEN ord % 3 = 0 THEN left(text, 50) ELSE 'About ' || site_id END AS said FROM b),
+n AS (SELECT site_id, count(*) AS n FROM g GROUP BY 1), k AS (SELECT site_id, said, count(*) AS c FROM g WHERE said <> '' GROUP BY ALL)
+"""
+
+
+@query(
+    over(
+        r""" SELECT g.site_id, ord, CASE WHEN c < greatest(3, ceil(n * 0.3)) OR c IS NULL THEN g.said WHEN trim(first_paragraph, E' \t\n\r') = '' OR trim(first_paragraph, E' \t\n\r') = g.said THEN ''
+ WHEN length(fp) <= 180 THEN fp WHEN length(left(fp, 180)) - length(regexp_extract(left(fp, 180), '[^ ]*$')) - 1 > 108 THEN left(fp, 180 - length(regexp_extract(left(fp, 180), '[^ ]*$')) - 1) || '…' ELSE left(fp, 180) || '…' END AS description
+FROM (SELECT *, trim(first_paragraph, E' \t\n\r') AS fp FROM g) g JOIN n USING (site_id) LEFT JOIN k ON k.site_id = g.site_id AND k.said = g.said""",
+        GENERIC_SQL,
+    )
+)
+def generic_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("ord") % 3 == 0, js.cut(F.col("text"), 50)).otherwise(F.concat(F.lit("About "), F.col("site_id")))
+    w = corpus.pages(spark, sf_dir).withColumns({"description": said, "reused": F.lit(False), "manual_edit": F.lit(False)})
+    return refine.without_generic_descriptions(w).select("site_id", "ord", "description")
+
+
+@query(over(" SELECT site_id, ord, category FROM s"))
+def classify_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.scored(spark, sf_dir).select("site_id", "ord", "category")
+
+
+@query(over(" SELECT site_id, ord, importance_score, CASE WHEN importance_score >= 45 THEN 'high' WHEN importance_score >= 20 THEN 'medium' ELSE 'low' END AS band FROM s"))
+def importance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.scored(spark, sf_dir).select("site_id", "ord", "importance_score", classify.band(F.col("importance_score")).alias("band"))
+
+
+@query(over(" SELECT site_id, CASE WHEN importance_score >= 45 THEN 'high' WHEN importance_score >= 20 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM s GROUP BY ALL"))
+def importance_band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.scored(spark, sf_dir).groupBy("site_id", classify.band(F.col("importance_score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(over(""", e AS (SELECT s.site_id, s.url AS source, unnest([s.ord + 20, s.ord + 40, s.ord + 20, s.ord]) AS t FROM s) SELECT s.site_id, s.url, count(*) AS inbound_links FROM e JOIN s ON e.site_id = s.site_id AND e.t = s.ord WHERE s.url <> e.source GROUP BY ALL"""))
+def inbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = corpus.pages(spark, sf_dir)
+    at = lambda d: F.concat(F.lit("/"), F.element_at(F.array(*[F.lit(x) for x in corpus.PATHS]), ((F.col("ord") + d) % 10 + 1).cast("int")), F.lit("/"), (F.col("ord") + d).cast("string"))
+    return links.inbound_counts(p.withColumn("internal_links", F.array(at(20), at(40), F.concat(at(20), F.lit("/?utm_source=x#top")), at(0))), odd=False)
+
+
+@query(
+    "SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&') AS title, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&') AS h1, "
+    "CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_links FROM pages"
+)
+def extract_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.sources import html
+
+    p = table(spark, sf_dir, "pages").select("page_id", html.raw_page(F.col("html")).alias("p"))
+    return p.select("page_id", js.clean("p.title_tag").alias("title"), js.clean("p.first_h1").alias("h1"), F.size("p.hrefs").cast("long").alias("n_links"))
+
+
+@query()
+def extract_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.sources import html
+
+    return html.extracted(table(spark, sf_dir, "pages")).select("page_id", "title", "description", "first_paragraph", "word_count", F.sha2("main_content", 256).alias("main_sha256"), "empty_shell")
+
+
+# --- sections, files -------------------------------------------------------------------------------------------------------------
+
+AUTO = "m AS (SELECT *, CAST(NULL AS VARCHAR) AS section_override FROM s)"
+MANUAL = "m AS (SELECT *, CASE WHEN ord % 17 = 0 THEN ' my section ' WHEN ord % 19 = 0 THEN 'Guides' WHEN ord % 23 = 0 THEN '  ' END AS section_override FROM s)"
+
+
+def _curated(spark: SparkSession, sf_dir: str, manual: bool = False) -> DataFrame:
+    o = F.col("ord")
+    override = F.when(o % 17 == 0, " my section ").when(o % 19 == 0, "Guides").when(o % 23 == 0, "  ") if manual else F.lit(None).cast("string")
+    return sections.curated(corpus.scored(spark, sf_dir).withColumn("section_override", override))
+
+
+@query(over(" SELECT site_id, section, ord, CAST(place AS INT) AS place FROM l", AUTO, corpus.SECTIONS_SQL))
+def sections_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _curated(spark, sf_dir)
+    return sections.links(c).join(c.select("site_id", F.col("url").alias("page_url"), "ord"), ["site_id", "page_url"]).select("site_id", "section", "ord", "place")
+
+
+@query(over(" SELECT site_id, url FROM o WHERE curated_out", AUTO, corpus.SECTIONS_SQL))
+def sections_curated_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curated(spark, sf_dir).where("curated_out").select("site_id", "url")
+
+
+@query(over(" SELECT site_id, section, count(*) AS n FROM l GROUP BY ALL", AUTO, corpus.SECTIONS_SQL))
+def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curated(spark, sf_dir).where("section is not null").groupBy("site_id", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(over(" SELECT site_id, section, ord, is_manual, curated_out FROM o", MANUAL, corpus.SECTIONS_SQL))
+def section_manual_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curated(spark, sf_dir, manual=True).select("site_id", "section", "ord", "is_manual", "curated_out")
+
+
+@query(over(" SELECT site_id, section, CAST(row_number() OVER (PARTITION BY site_id ORDER BY section_rank, section) AS INT) AS place FROM (SELECT DISTINCT site_id, section, section_rank FROM l)", MANUAL, corpus.SECTIONS_SQL))
+def section_name_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.ordered_names(_curated(spark, sf_dir, manual=True).where("section is not null"))
+
+
+RENDER = r"""
+ln AS (SELECT site_id, section, section_rank, string_agg('- [' || trim(title, E' \t\n\r') || '](' || url || ')' || CASE WHEN trim(description, E' \t\n\r') <> '' THEN ': ' || trim(description, E' \t\n\r') ELSE '' END, chr(10) ORDER BY place) AS x FROM l GROUP BY ALL),
+bd AS (SELECT site_id, string_agg('## ' || section || chr(10) || chr(10) || x || chr(10), chr(10) ORDER BY section_rank, section) AS body FROM ln GROUP BY site_id),
+rd AS (SELECT site_id, trim(regexp_replace('# ' || site_id || '.example.com' || chr(10) || chr(10) || '> A curated map of the most useful pages on ' || site_id || '.example.com for AI agents.' || chr(10) || chr(10) || body, E'\n{3,}', E'\n\n', 'g'), E' \t\n\r') || chr(10) AS content FROM bd)
+"""
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _curated(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    sites = c.select("site_id").distinct().select("site_id", F.concat(F.lit("https://"), "site_id", F.lit(".example.com")).alias("origin"), none.alias("site_name"), none.alias("site_description"))
+    return render.rendered(render.site_metadata(sites), sections.links(c))
+
+
+@query(over(" SELECT * FROM rd", AUTO, corpus.SECTIONS_SQL, RENDER))
+def render_llms_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir)
+
+
+DRAFT = r"""
+concat(CASE WHEN doc_id % 2 = 0 THEN '# T' ELSE '' END, chr(10), '## A ', chr(10), '- [x](https://e.com/', doc_id % 5, ')', chr(10), '- [y](https://e.com/', doc_id % 3, '): about', chr(10), '* loose', chr(10),
+CASE WHEN doc_id % 7 = 0 THEN '# Second' ELSE '' END, chr(10), '## B', chr(10), CASE WHEN doc_id % 3 = 0 THEN '- [z](nourl)' ELSE '- z' END, chr(10), '## C', chr(10), CASE WHEN doc_id % 4 = 0 THEN '- [u](http://h/1)' ELSE '' END, chr(10), coalesce(text, ''))
+"""
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, {DRAFT} AS content FROM documents),
+x AS (SELECT doc_id, p, trim(r, E' \\t\\n\\r') AS line FROM (SELECT doc_id, unnest(regexp_split_to_array(content, '\\r?\\n')) AS r, generate_subscripts(regexp_split_to_array(content, '\\r?\\n'), 1) - 1 AS p FROM f) WHERE trim(r, E' \\t\\n\\r') <> ''),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '^#\\s+.+$') THEN 'h1' WHEN regexp_matches(line, '^##\\s+.+$') THEN 'h2' WHEN regexp_matches(line, '^-\\s+\\[[^\\]]+\\]\\([^)\\s]+\\)(:\\s*.*)?$') THEN 'link' WHEN regexp_matches(line, '^[-*]\\s+') THEN 'loose' ELSE 'o' END AS kind,
+  regexp_extract(line, '^##\\s+(.+)$', 1) AS h, regexp_extract(line, '^-\\s+\\[[^\\]]+\\]\\(([^)\\s]+)\\)', 1) AS u FROM x),
+s AS (SELECT *, count(*) FILTER (kind = 'h2') OVER w AS sec, count(*) FILTER (kind = 'h1') OVER w AS t FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT doc_id, sec, count(*) FILTER (kind = 'link') AS n, max(h) FILTER (kind = 'h2') AS h FROM s WHERE sec > 0 GROUP BY ALL),
+i AS (SELECT e.doc_id, coalesce(s.p, 1099511627776) AS p, 0 AS sub, 'error' AS lv, 'Section "' || trim(e.h) || '" has no links' AS msg FROM e LEFT JOIN s ON s.doc_id = e.doc_id AND s.kind = 'h2' AND s.sec = e.sec + 1 WHERE e.n = 0
+  UNION ALL SELECT doc_id, p, 1, 'error', 'Section "' || h || '" appears before the H1 title' FROM s WHERE kind = 'h2' AND t = 0
+  UNION ALL SELECT doc_id, p, 1, 'error', 'Invalid link URL: "' || u || '"' FROM s WHERE kind = 'link' AND NOT regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:')
+  UNION ALL SELECT doc_id, p, 1, 'warning', 'List item doesn''t match "- [Title](url): description": "' || left(line, 80) || '"' FROM s WHERE kind = 'loose' AND sec > 0
+  UNION ALL SELECT doc_id, 1099511627776, 2, 'error', CASE WHEN n = 0 THEN 'Missing the required H1 site/project title' ELSE 'Found ' || n || ' H1 headings — exactly one is allowed' END FROM (SELECT doc_id, count(*) FILTER (kind = 'h1') AS n FROM s GROUP BY 1) WHERE n <> 1
+  UNION ALL SELECT doc_id, 1099511627776, 3, 'error', 'Duplicate URLs: ' || array_to_string(l[1:5], ', ') || CASE WHEN len(l) > 5 THEN '…' ELSE '' END FROM (SELECT doc_id, list(u ORDER BY p2) AS l FROM (SELECT doc_id, u, list_sort(list(p))[2] AS p2 FROM s WHERE kind = 'link' GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_id)),
+g AS (SELECT doc_id, bool_or(lv = 'error') AS bad, string_agg(msg, ' | ' ORDER BY p, sub) AS messages FROM i GROUP BY 1)
+SELECT f.doc_id, NOT coalesce(bad, FALSE) AS valid, coalesce(messages, '') AS messages, coalesce(lc, 0) AS link_count, coalesce(sc, 0) AS section_count
+FROM f LEFT JOIN g USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) FILTER (kind = 'link') AS lc, count(*) FILTER (kind = 'h2') AS sc FROM s GROUP BY 1) USING (doc_id)"""
+)
+def validate_llms_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(DRAFT).alias("content"))
+    v = validate.validated(files, "doc_id")
+    return v.select("doc_id", "valid", F.array_join(F.transform("issues", lambda i: i["message"]), " | ").alias("messages"), "link_count", "section_count")
+
+
+# --- stats, lifecycle ------------------------------------------------------------------------------------------------------------
+
+REASONED = """
+rz AS (SELECT site_id, ord, CASE WHEN rn > 1 THEN 'duplicate' WHEN word_count < 50 THEN 'thin-content' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY site_id, content_hash ORDER BY importance_score DESC, length(url), ord) AS rn FROM s))
+"""
+
+
+def _reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.content_reasons(corpus.scored(spark, sf_dir))
+
+
+@query(over(" SELECT site_id, reason, CASE reason WHEN 'duplicate' THEN 'duplicate pages' ELSE 'low-content pages' END AS label, count(*) AS n FROM rz WHERE reason IS NOT NULL GROUP BY ALL", REASONED))
+def exclusion_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.breakdown(site.exclusion_breakdown(_reasons(spark, sf_dir).where("reason is not null").select("site_id", "reason"))).select("site_id", "reason", "label", "n")
+
+
+@query(
+    over(
+        """ SELECT site_id, count(*) AS discovered, count(*) FILTER (ord % 13 <> 0 AND ord % 29 <> 0) AS crawled, count(*) FILTER (ord % 13 <> 0 AND ord % 29 <> 0 AND reason IS NULL) AS included,
+count(*) FILTER (ord % 13 = 0) + count(*) FILTER (ord % 13 <> 0 AND ord % 29 <> 0 AND reason IS NOT NULL) AS excluded, count(*) FILTER (ord % 13 <> 0 AND ord % 29 = 0 AND ord % 2 = 0) AS failed,
+count(*) FILTER (ord % 13 <> 0 AND ord % 29 = 0 AND ord % 2 = 1) AS not_reached FROM rz GROUP BY site_id""",
+        REASONED,
+    )
+)
+def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _reasons(spark, sf_dir)
+    pre, late = F.col("ord") % 13 == 0, F.col("ord") % 29 == 0
+    working = p.where(~pre & ~late).select("site_id", F.col("reason").isNull().alias("included"), F.col("reason").alias("exclude_reason"))
+    out = p.where(pre).select("site_id", F.lit("auth").alias("reason"))
+    failed = p.where(~pre & late & (F.col("ord") % 2 == 0)).select("site_id")
+    discovered = p.groupBy("site_id").agg(F.count(F.lit(1)).alias("discovered"))
+    events = spark.createDataFrame([], "site_id string, type string")
+    return site.crawl_stats(working, out, failed, discovered, events).select("site_id", "discovered", "crawled", "included", "excluded", "failed", "not_reached")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier crawl's state of documents: content differs where ord % 7 = 0, pages were not known where ord % 11 = 0."""
+    p = corpus.scored(spark, sf_dir).where("ord % 11 <> 0")
+    old = F.when(F.col("ord") % 7 == 0, F.lit("old")).otherwise(text.content_hash(F.col("title"), F.col("description"), F.col("main_content")))
+    t = F.expr("TIMESTAMP '2024-01-01 00:00:00'")
+    made = {
+        "content_hash": old,
+        "category": F.lit("Guides"),
+        "importance_score": F.lit(33.0),
+        "included": F.col("ord") % 5 != 0,
+        "exclude_reason": F.when(F.col("ord") % 5 == 0, "thin-content"),
+        "analysis_source": F.lit("deterministic"),
+        "manual_edit": F.col("ord") % 14 == 0,
+        "section_override": F.lit(None).cast("string"),
+        "content_excerpt": text.excerpt(F.col("main_content")),
+        "inbound_links": F.lit(0).cast("long"),
+        "first_seen_at": t,
+        "last_seen_at": t,
+        "missing_since": F.when(F.col("ord") % 3 == 0, t),
+        "removed_at": F.lit(None).cast("timestamp"),
+    }
+    names = [c.split()[0] for c in lifecycle.STATE.split(", ")]
+    return p.withColumns(made).select(*names)
+
+
+FULL_HASH = r"sha256(trim(regexp_replace(lower(title), '\s+', ' ', 'g')) || chr(10) || '---' || chr(10) || trim(regexp_replace(lower(description), '\s+', ' ', 'g')) || chr(10) || '---' || chr(10) || trim(regexp_replace(lower(main_content), '\s+', ' ', 'g')))"
+
+
+@query(
+    over(""" SELECT site_id, ord, NOT new AND same AS reused, CASE WHEN known THEN 'Guides' ELSE category END AS category, CASE WHEN known THEN ord % 5 <> 0 ELSE TRUE END AS included, CASE WHEN known AND ord % 5 = 0 THEN 'thin-content' END AS exclude_reason
+FROM (SELECT *, NOT new AND (same OR ord % 14 = 0) AS known FROM (SELECT *, ord % 11 = 0 AS new, ord % 7 <> 0 AS same FROM s))""")
+)
+def classify_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refine.classified(corpus.pages(spark, sf_dir), _stored(spark, sf_dir)).select("site_id", "ord", "reused", "category", "included", "exclude_reason")
+
+
+@query(
+    over(""", w AS (SELECT s.*, l.doc_id IS NOT NULL AS hit, quality = 1 AND toxic = 0 AS inc, quality FROM s LEFT JOIN labels l ON l.doc_id = s.ord)
+SELECT site_id, ord, CASE WHEN hit THEN 'Support' ELSE category END AS category, CASE WHEN hit AND quality = 1 THEN 'said' ELSE description END AS description, CASE WHEN hit THEN 'llm' ELSE 'deterministic' END AS analysis_source, NOT coalesce(hit AND NOT inc, FALSE) AS included FROM w""")
+)
+def external_analysis_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = refine.classified(corpus.pages(spark, sf_dir), site.no_state(spark))
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality", "toxic").join(w.select("site_id", "url", "ord"), "ord")
+    v = lab.select("site_id", "url", F.lit("Support").alias("category"), F.when(F.col("quality") == 1, "said").otherwise("").alias("description"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("include"))
+    return refine.with_verdicts(w, v).select("site_id", "ord", "category", "description", "analysis_source", "included")
+
+
+@query(over(" SELECT site_id, url, CASE WHEN ord % 11 = 0 AND ord % 2 = 1 THEN 'added' WHEN ord % 2 = 0 THEN 'missing' WHEN ord % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM b WHERE NOT (ord % 11 = 0 AND ord % 2 = 0)"))
+def crawl_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = corpus.pages(spark, sf_dir).where("ord % 2 = 1").select("site_id", "url", text.content_hash(F.col("title"), F.col("description"), F.col("main_content")).alias("content_hash"))
+    return lifecycle.diff(_stored(spark, sf_dir), now)
+
+
+def _now() -> Column:
+    return F.expr(NOW)
+
+
+def _second_crawl(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    state = _stored(spark, sf_dir)
+    w = refine.scored(refine.classified(corpus.pages(spark, sf_dir).where("ord % 2 = 1"), state), corpus.pages(spark, sf_dir).select("site_id", "url", F.col("inbound").alias("inbound_links")))
+    pre = corpus.pages(spark, sf_dir).where("ord % 8 = 0").select("site_id", "url", F.lit("auth").alias("reason"), "depth")
+    return state, w, pre
+
+
+LIFE = over(r""", z AS (SELECT *, ord % 11 <> 0 AS was, ord % 2 = 1 AS fetched, ord % 8 = 0 AS pre, ord % 3 = 0 AS missed, bool_or(ord % 2 = 1 OR ord % 8 = 0) OVER (PARTITION BY site_id) AS again FROM b)""")
+
+
+@query(LIFE + " SELECT site_id, url, CASE WHEN fetched AND NOT was THEN 'added' WHEN fetched THEN 'changed' ELSE 'removed' END AS type FROM z WHERE (fetched AND (NOT was OR ord % 7 = 0)) OR (NOT fetched AND NOT pre AND was AND missed AND again)")
+def page_lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.change_events(*_second_crawl(spark, sf_dir), _now()).select("site_id", "url", "type")
+
+
+@query(
+    LIFE
+    + f""" SELECT site_id, url, CASE WHEN fetched OR pre THEN NULL WHEN missed THEN TIMESTAMP '2024-01-01 00:00:00' WHEN again THEN {NOW} END AS missing_since, CASE WHEN NOT fetched AND NOT pre AND missed AND again THEN {NOW} END AS removed_at,
+CASE WHEN pre THEN FALSE WHEN fetched THEN NOT (was AND (ord % 7 <> 0 OR ord % 14 = 0) AND ord % 5 = 0) WHEN missed AND again THEN FALSE ELSE ord % 5 <> 0 END AS included, CASE WHEN was THEN TIMESTAMP '2024-01-01 00:00:00' ELSE {NOW} END AS first_seen_at
+FROM z WHERE was OR fetched OR pre"""
+)
+def page_lifecycle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.next_state(*_second_crawl(spark, sf_dir), _now()).select("site_id", "url", "missing_since", "removed_at", "included", "first_seen_at")
+
+
+@query(
+    over(""" SELECT site_id, url, CASE WHEN ord % 4 = 0 THEN left('new ' || ord, 400) ELSE description END AS description, CASE WHEN ord % 6 = 0 THEN 'Mine' END AS section_override,
+CASE WHEN ord % 9 = 0 THEN ord % 2 = 0 ELSE ord % 5 <> 0 END AS included, CASE WHEN ord % 9 = 0 THEN CASE WHEN ord % 2 = 0 THEN NULL ELSE 'removed-by-user' END WHEN ord % 5 = 0 THEN 'thin-content' END AS exclude_reason, ord % 14 = 0 OR ord % 4 = 0 OR ord % 6 = 0 OR ord % 9 = 0 AS manual_edit FROM b WHERE ord % 11 <> 0""")
+)
+def manual_edit_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("ord")
+    edits = corpus.pages(spark, sf_dir).select(
+        "site_id", "url", F.when(o % 4 == 0, F.concat(F.lit("new "), o.cast("string"))).alias("description"), F.when(o % 6 == 0, " Mine ").alias("section"), F.lit(False).alias("clear_section"), F.when(o % 9 == 0, o % 2 == 0).alias("included")
+    )
+    return lifecycle.edited(_stored(spark, sf_dir), edits).select("site_id", "url", "description", "section_override", "included", "exclude_reason", "manual_edit")
+
+
+@query(
+    over(""", q AS (SELECT site_id, ord % 5 <> 0 AS inc, row_number() OVER (PARTITION BY site_id, ord % 5 <> 0 ORDER BY url) AS rn FROM b WHERE ord % 11 <> 0)
+SELECT site_id, CAST(4 AS INT) AS version, count(*) FILTER (inc AND rn <= 20) AS included, count(*) FILTER (NOT inc) + count(*) FILTER (inc AND rn > 20) AS excluded, CAST(77 AS BIGINT) AS discovered, count(*) AS crawled FROM q GROUP BY site_id""")
+)
+def regenerate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _stored(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    sites = state.select("site_id").distinct().select("site_id", F.concat(F.lit("https://"), "site_id", F.lit(".example.com")).alias("origin"), none.alias("site_name"), none.alias("site_description"))
+    files = sites.select("site_id", F.explode(F.array(F.lit(1), F.lit(3))).alias("version"), F.lit("x").alias("content"), F.lit('{"discovered":77}').alias("stats"), _now().alias("created_at"))
+    made, _ = site.regenerated(state, sites, files, _now())
+    n = lambda k: F.get_json_object("stats", f"$.{k}").cast("long").alias(k)
+    return made.select("site_id", "version", n("included"), n("excluded"), n("discovered"), n("crawled"))
+
+
+# --- reads -----------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def latest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    return api.latest(e, "at", ("user_id",)).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT site_id, updated_at FROM (SELECT CAST(user_id AS VARCHAR) AS site_id, max(ts) AS updated_at FROM events GROUP BY 1) ORDER BY updated_at DESC, site_id LIMIT 20")
+def recent_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("site_id")).agg(F.max("ts").alias("updated_at"))
+    return api.recent_websites(w).select("site_id", "updated_at")
+
+
+DUE = "CASE user_id % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'daily' WHEN 2 THEN 'weekly' ELSE 'hourly' END"
+
+
+@query(f"SELECT event_id, CASE WHEN user_id % 4 = 2 THEN ts + INTERVAL 7 DAY WHEN user_id % 4 = 0 THEN NULL ELSE ts + INTERVAL 1 DAY END AS next_run, event_id % 2 = 0 AND coalesce(CASE WHEN user_id % 4 = 2 THEN ts + INTERVAL 7 DAY WHEN user_id % 4 = 0 THEN NULL ELSE ts + INTERVAL 1 DAY END <= {NOW}, FALSE) AS due FROM events")
+def due_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    often = F.expr(DUE)
+    e = table(spark, sf_dir, "events").withColumn("next_run", text.next_run(F.when(often.isin(*api.FREQUENCIES), often).otherwise("daily"), F.col("ts")))
+    due = site.crawl_again(e.select("event_id", (F.col("event_id") % 2 == 0).alias("monitoring_enabled"), F.col("next_run").alias("next_scheduled_crawl_at")), _now()).select("event_id", F.lit(True).alias("due"))
+    return e.select("event_id", "next_run").join(due, "event_id", "left").withColumn("due", F.coalesce("due", F.lit(False)))
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, ts, epoch_us({NOW}) - epoch_us(ts) AS us FROM events), r AS (SELECT *, floor(us / 1e6 + 0.5) AS s FROM e), m AS (SELECT *, floor(s / 60.0 + 0.5) AS mi FROM r), h AS (SELECT *, floor(mi / 60.0 + 0.5) AS hr FROM m), d AS (SELECT *, floor(hr / 24.0 + 0.5) AS dy FROM h)
+SELECT event_id, CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN CAST(CAST(s AS BIGINT) AS VARCHAR) || 's ago' WHEN mi < 60 THEN CAST(CAST(mi AS BIGINT) AS VARCHAR) || 'm ago' WHEN hr < 24 THEN CAST(CAST(hr AS BIGINT) AS VARCHAR) || 'h ago' WHEN dy < 7 THEN CAST(CAST(dy AS BIGINT) AS VARCHAR) || 'd ago' ELSE strftime(ts, '%b %-d, %Y') END AS past,
+CASE WHEN us >= 0 THEN 'due now' WHEN floor(-us / 3.6e9 + 0.5) < 24 THEN 'in ' || CAST(CAST(floor(-us / 3.6e9 + 0.5) AS BIGINT) AS VARCHAR) || 'h' ELSE 'in ' || CAST(CAST(floor(floor(-us / 3.6e9 + 0.5) / 24.0 + 0.5) AS BIGINT) AS VARCHAR) || 'd' END AS future FROM d"""
+)
+def relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", text.relative_time(F.col("ts"), _now()).alias("past"), text.future_time(F.col("ts"), _now()).alias("future"))
+
+
+@query(over(""", q AS (SELECT site_id, ord % 5 <> 0 AS inc FROM b WHERE ord % 11 <> 0) SELECT site_id, count(*) AS page_count, count(*) FILTER (inc) AS included_count, CAST(3 AS INT) AS version FROM q GROUP BY 1"""))
+def website_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _stored(spark, sf_dir)
+    w = state.select("site_id").distinct()
+    files = w.select("site_id", F.explode(F.array(F.lit(1), F.lit(3))).alias("version"), F.lit("x").alias("content"), F.lit("{}").alias("stats"))
+    crawls = w.select("site_id", F.lit("completed").alias("status"), F.lit("done").alias("stage"), _now().alias("started_at"))
+    return api.details(w, files, crawls, state).select("site_id", "page_count", "included_count", "version")
+
+
+@query(over(""", q AS (SELECT site_id, url, ord, ord % 5 <> 0 AS inc, row_number() OVER (PARTITION BY site_id, ord % 5 <> 0 ORDER BY url) AS rn FROM b WHERE ord % 11 <> 0)
+SELECT site_id, url, CASE WHEN inc AND rn <= 8 THEN 'Guides' WHEN inc AND rn <= 20 THEN 'Optional' END AS section, CASE WHEN NOT inc THEN 'thin-content' WHEN rn > 20 THEN 'below-curation-threshold' END AS exclude_reason FROM q"""))
+def editor_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _stored(spark, sf_dir)
+    return api.editor(state, state.select("site_id").distinct()).select("site_id", "url", "section", "exclude_reason")
+
+
+# --- whole pipelines ---------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def page_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.pages_to_indexes(table(spark, sf_dir, "pages"))
+
+
+@query()
+def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second crawl of the documents' sites: files and numbers."""
+    from corpusloom.plans.shared import stored
+
+    p = stored(corpus.pages(spark, sf_dir).withColumn("internal_links", F.array().cast("array<string>")), "pages")
+    none = F.lit(None).cast("string")
+    sites = p.select("site_id").distinct().select("site_id", F.concat(F.lit("https://"), "site_id", F.lit(".example.com")).alias("origin"), none.alias("site_name"), none.alias("site_description"))
+    pre = p.where("ord % 13 = 0").select("site_id", "url", F.lit("auth").alias("reason"), "depth")
+    found = p.groupBy("site_id").agg(F.count(F.lit(1)).alias("discovered"))
+    c = site.crawl(p.where("ord % 13 <> 0"), pre, p.limit(0).select("site_id"), found, sites, stored(_stored(spark, sf_dir), "state"), _now())
+    return c.files.select("site_id", "content", "valid", "link_count").join(c.stats.select("site_id", "discovered", "crawled", "included", "excluded", "added", "changed", "removed"), "site_id")
+
+
+@query()
+def frontier_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl loop over documents as pages that link to each other: what each site fetches within its budget."""
+    from corpusloom.plans import frontier
+
+    p = corpus.pages(spark, sf_dir).select((F.concat(F.lit("https://"), "site_id", F.lit(".example.com"))).alias("site_id"), "url", "ord", "title")
+    at = lambda d: F.concat(F.lit('<a href="/'), F.element_at(F.array(*[F.lit(x) for x in corpus.PATHS]), ((F.col("ord") + d) % 10 + 1).cast("int")), F.lit("/"), (F.col("ord") + d).cast("string"), F.lit('">x</a>'))
+    page = lambda extra: F.concat(F.lit("<html><title>t</title><body><p>word</p>"), extra, F.lit("</body></html>"))
+    ok = [F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("final_url")]
+    none = F.lit(None).cast("string").alias("error")
+    rows = p.select("url", *ok, page(F.concat(at(20), at(40), F.lit('<a href="/login">l</a><a href="/x.png">i</a>'))).alias("html"), none)
+    homes = p.groupBy("site_id").agg(F.min("ord").alias("ord")).select(F.concat("site_id", F.lit("/")).alias("url"), *ok, page(at(0)).alias("html"), none)
+    sites = p.select("site_id").distinct()
+    rules = sites.select("site_id", F.lit(False).alias("fetched"), *[F.array().cast("array<string>").alias(c) for c in ("disallow", "allow", "sitemaps")])
+    maps = spark.createDataFrame([], "site_id string, sitemap_url string, ok boolean, body string")
+    r = frontier.run(sites, rules, maps, rows.union(homes), frontier.Limits(max_pages=12, max_depth=5, concurrency=4))
+    n = lambda df, name: df.groupBy("site_id").agg(F.count(F.lit(1)).alias(name))
+    return sites.join(n(r.crawled, "crawled"), "site_id", "left").join(n(r.failed, "failed"), "site_id", "left").join(n(r.pre_excluded, "pre_excluded"), "site_id", "left").join(r.discovered(), "site_id", "left").fillna(0)
+
+
+@query("SELECT site_id, type, count(*) AS n FROM (SELECT event_type AS site_id, CASE WHEN event_id % 3 = 0 THEN 'changed' ELSE 'added' END AS type FROM events) GROUP BY ALL")
+def change_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("site_id"), F.when(F.col("event_id") % 3 == 0, "changed").otherwise("added").alias("type"))
+    return e.groupBy("site_id", "type").agg(F.count(F.lit(1)).alias("n"))

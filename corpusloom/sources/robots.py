@@ -65,7 +65,7 @@ def decided(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame
     """paths (site_id, path, …) with allowed: the longest rule that matches wins, of equal ones the one that forbids, and without any all is allowed."""
     r = rule_rows(rules).withColumnRenamed("site_id", "__site")
     p = F.col(path)
-    hit = F.when(F.col("rx").isNotNull(), p.rlike(F.col("rx"))).otherwise(p.startswith(F.col("rule")))
+    hit = F.when(F.col("rx").isNotNull(), F.rlike(p, F.col("rx"))).otherwise(p.startswith(F.col("rule")))
     # Distinct paths are matched, with map-side aggregation: a site's URLs need not meet in one task.
     keys = paths.select("site_id", path).distinct()
     verdicts = keys.join(r, (F.col("site_id") == F.col("__site")) & hit).groupBy("site_id", path).agg(F.max_by("allow", F.struct(F.length("rule"), ~F.col("allow"))).alias("allowed"))
