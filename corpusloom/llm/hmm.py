@@ -6,13 +6,13 @@ what the states learn has a fixed size at any size of the vocabulary; within a c
 one share for all unknown tokens.
 
 Baum-Welch: in each round, tasks compute expected counts over all training texts, their sums are aggregated, and the model is
-estimated anew. Texts are cut into segments only to compute faster: the K x K product of a segment's steps carries the exact
-forward and backward vectors across, so the recursion is that of the whole text. Vectors are scaled and the logarithms of the
+estimated anew. Long texts are cut into segments only to compute many at once: the K x K product of a segment's steps carries
+the exact forward and backward vectors across, so the recursion is that of the whole text. Vectors are scaled and the logarithms of the
 scales summed. Scores are base-10 logarithms.
 
-Counts of tokens: those that make up at least one in COMMON of all training tokens are at most COMMON, and are sent to every
-task; of other tokens a document's are joined with the counts by shuffle, so neither the vocabulary nor a frequent word is
-ever in one place. Tokens are told apart by 128-bit hashes.
+Counts of tokens: those of the COMMON most frequent ones are sent to every task; of other tokens, each of which makes up less than
+one in COMMON, a document's are joined with the counts by shuffle. So neither the vocabulary nor a frequent word is ever in
+one place. Tokens are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text is its end alone; a null doc_id has the hash of the empty text; rows with one doc_id are
 scored one by one; without training texts (an empty table, or one fold) all tokens are unknown; extra columns do not matter.
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +33,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import arrow_schema, bytes_text, map_rows, small_batches, stored
 
 STATES, BUCKETS, ROUNDS = 4, 1 << 12, 4
-#: A token is common that makes up one in so many tokens; so there are at most as many.
-COMMON = 1 << 17
-SEGMENT, SEED, SMOOTHING, STAY = 96, 3, 0.1, 0.9
+#: Tokens whose counts are sent to every task (16 bytes each).
+COMMON = 1 << 18
+SEGMENT, SEED, SMOOTHING, STAY = 2048, 3, 0.1, 0.9
 #: Tokens that a task computes at once; a longer text is computed by itself.
-AT_ONCE = 400_000
-#: Distinct tokens that a task counts before it sends the counts on, and words remembered by a worker.
-COUNTED, WORDS_KEPT = 200_000, 400_000
-END_KEY = b"\0" * 16
+AT_ONCE = 600_000
+#: Distinct words that a task knows before it sends their counts on and begins anew.
+WORDS_KEPT = 400_000
+END_KEY = xxhash.xxh3_64_intdigest(b" ") >> 1  # no word has a space
 
 
 def fold(doc_id: int | None, folds: int = 7) -> int:
@@ -49,29 +48,28 @@ def fold(doc_id: int | None, folds: int = 7) -> int:
 
 
 class Words:
-    """A word's key (128-bit hash) and class, remembered within a bound."""
+    """Numbers of words, from 1 on, with each word's key (64-bit hash) and class. A task begins anew between batches when it knows WORDS_KEPT."""
 
     def __init__(self):
-        self.known: dict[bytes, tuple[bytes, int]] = {}
-
-    def make(self, word: bytes) -> tuple[bytes, int]:
-        if len(self.known) >= WORDS_KEPT:
-            self.known.clear()
-        key = xxhash.xxh3_128_digest(word)
-        got = self.known[word] = (key, int.from_bytes(key[:2], "little") % BUCKETS)
+        self.known: dict[bytes, int] = {}
+        self.keys, self.classes = [END_KEY], [BUCKETS]  # number 0 is the end
+
+    def make(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        self.keys.append(h - (h >> 63 << 64))  # signed
+        self.classes.append(h % BUCKETS)
+        got = self.known[word] = len(self.keys) - 1
         return got
 
-    def of(self, text: str) -> list[tuple[bytes, int]]:
+    def of(self, text: str) -> np.ndarray:
+        """Numbers of a text's tokens, the end's last."""
         get, make = self.known.get, self.make
-        return [get(w) or make(w) for w in text.encode("utf-8", "surrogatepass").lower().split()]
-
-
-_WORDS = Words()  # a Python worker keeps it from task to task
-
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        words.append(b"")
+        return np.fromiter([get(w) or (make(w) if w else 0) for w in words], np.int64, len(words))
 
-def classes(text: str) -> np.ndarray:
-    """Classes of a text's tokens, the end's last."""
-    return np.array([c for _, c in _WORDS.of(text)] + [BUCKETS], np.int64)
+    def full(self) -> bool:
+        return len(self.keys) > WORDS_KEPT
 
 
 class Model:
@@ -96,7 +94,8 @@ class Model:
 
 
 class Segments:
-    """The tokens of some texts, in segments of at most SEGMENT tokens of one text; longer segments stand first, so those that are as long as t are a prefix."""
+    """The tokens of some texts, in segments of at most SEGMENT tokens of one text. Longer segments stand first, so those that are
+    longer than t are a prefix, and step t's tokens of all of them lie together: at[t]:at[t + 1] of flat."""
 
     def __init__(self, texts: list[np.ndarray]):
         self.texts = len(texts)
@@ -108,155 +107,179 @@ class Segments:
                 place.append(k)
                 begin.append(at + i)
             at += len(x)
-        self.flat = np.concatenate(texts)
-        self.order = np.argsort(-np.array(lengths), kind="stable")
-        self.lengths, self.of, self.place, self.begin = (np.array(x)[self.order] for x in (lengths, of, place, begin))
+        order = np.argsort(-np.array(lengths), kind="stable")
+        self.lengths, self.of, self.place, begin = (np.array(x)[order] for x in (lengths, of, place, begin))
         self.steps = int(self.lengths[0])
-        self.active = [int(np.searchsorted(-self.lengths, -t, "left")) for t in range(self.steps)]  # segments longer than t
+        self.active = np.searchsorted(-self.lengths, -np.arange(self.steps), "left")
+        self.at = np.concatenate([[0], np.cumsum(self.active)])
+        tokens = np.concatenate(texts)
+        self.flat = np.concatenate([tokens[begin[:n] + t] for t, n in enumerate(self.active)])
         by_place = np.argsort(self.place, kind="stable")
         self.rows = np.split(by_place, np.flatnonzero(np.diff(self.place[by_place])) + 1)  # the segments at each place of their texts
+        self.single = len(self.rows) == 1
 
-    def tokens(self, t: int) -> np.ndarray:
-        return self.flat[self.begin[: self.active[t]] + t]
-
-    def products(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
-        """Of each segment the product of its steps, scaled, and the logarithm of the scale."""
+    def products(self, m: Model, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each segment the product of its steps, scaled, and the logarithm of the scale. e: emissions of flat."""
         k = len(m.first)
         p, log = np.tile(np.eye(k), (len(self.lengths), 1, 1)), np.zeros(len(self.lengths))
-        for t in range(self.steps):
-            n = self.active[t]
-            q = (p[:n].reshape(-1, k) @ m.trans).reshape(n, k, k) * m.emit[self.tokens(t)][:, None, :]
-            if t % 8 == 7 or t == self.steps - 1:
+        for t, n in enumerate(self.active):
+            q = (p[:n].reshape(-1, k) @ m.trans).reshape(n, k, k) * e[self.at[t] : self.at[t + 1], None, :]
+            if t % 8 == 7 or t == self.steps - 1 or self.active[t + 1] < n:
                 top = q.max((1, 2))
                 q /= top[:, None, None]
                 log[:n] += np.log(top)
             p[:n] = q
         return p, log
 
-    def forward(self, m: Model, p: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The scaled vector before each segment, and each text's log-likelihood."""
-        starts, v, total = np.empty((len(p), len(m.first))), np.tile(m.first, (self.texts, 1)), np.zeros(self.texts)
+    def starts(self, m: Model, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The scaled vectors before and after each segment, and each text's log-likelihood (nan where the segments tell it anyway)."""
+        k = len(m.first)
+        if self.single:
+            return np.tile(m.first, (len(self.lengths), 1)), np.ones((len(self.lengths), k)), np.full(self.texts, np.nan)
+        p, log = self.products(m, e)
+        before, v, total = np.empty((len(p), k)), np.tile(m.first, (self.texts, 1)), np.zeros(self.texts)
         for rows in self.rows:
             d = self.of[rows]
-            starts[rows] = v[d]
+            before[rows] = v[d]
             w = np.einsum("nk,nkj->nj", v[d], p[rows])
             s = w.sum(1)
             v[d] = w / s[:, None]
             total[d] += np.log(s) + log[rows]
-        return starts, total
-
-    def backward(self, p: np.ndarray) -> np.ndarray:
-        """The scaled vector after each segment."""
-        k = p.shape[1]
-        ends, v = np.empty((len(p), k)), np.ones((self.texts, k))
+        after, v = np.empty((len(p), k)), np.ones((self.texts, k))
         for rows in reversed(self.rows):
             d = self.of[rows]
-            ends[rows] = v[d]
+            after[rows] = v[d]
             w = np.einsum("nkj,nj->nk", p[rows], v[d])
             v[d] = w / w.sum(1, keepdims=True)
-        return ends
+        return before, after, total
+
+    def forward(self, m: Model, e: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward vectors after each step, laid out as flat, and the sum of each segment's logarithms of scales."""
+        f, log, v = np.empty_like(e), np.zeros(len(before)), before
+        for t, n in enumerate(self.active):
+            v = (v[:n] @ m.trans) * e[self.at[t] : self.at[t + 1]]
+            s = v.sum(1)
+            v /= s[:, None]
+            log[:n] += np.log(s)
+            f[self.at[t] : self.at[t + 1]] = v
+        return f, log
 
 
 def log_likelihoods(texts: list[np.ndarray], m: Model) -> np.ndarray:
     """Natural logarithm of each text's probability as a sequence of classes."""
-    out = []
+    out = np.empty(len(texts))
     for part in parts(texts):
-        s = Segments(part)
-        out.append(s.forward(m, *s.products(m))[1])
-    return np.concatenate(out) if out else np.empty(0)
-
-
-def parts(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    part, size = [], 0
-    for x in texts:
-        if part and size + len(x) > AT_ONCE:
+        s = Segments([texts[i] for i in part])
+        e = m.emit[s.flat]
+        before, _, total = s.starts(m, e)
+        if s.single:
+            total[s.of] = s.forward(m, e, before)[1]
+        out[part] = total
+    return out
+
+
+def parts(texts: list[np.ndarray]) -> Iterator[list[int]]:
+    """Which texts are computed at once: those that are one segment, by length, and then the others."""
+    for long in (False, True):
+        part, size = [], 0
+        for i in sorted((i for i, x in enumerate(texts) if (len(x) > SEGMENT) == long), key=lambda i: len(texts[i])):
+            if part and size + len(texts[i]) > AT_ONCE:
+                yield part
+                part, size = [], 0
+            part.append(i)
+            size += len(texts[i])
+        if part:
             yield part
-            part, size = [], 0
-        part.append(x)
-        size += len(x)
-    if part:
-        yield part
 
 
 def expected_counts(texts: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected first states, transitions and emissions."""
     k = len(m.first)
-    first, trans, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit)
+    first, pairs, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit)
     for part in parts(texts):
-        s = Segments(part)
-        p, log = s.products(m)
-        starts, _ = s.forward(m, p, log)
-        b = s.backward(p)
-        fwd = [starts]
-        for t in range(s.steps):
-            n = s.active[t]
-            f = (fwd[-1][:n] @ m.trans) * m.emit[s.tokens(t)]
-            fwd.append(f / f.sum(1, keepdims=True))
-        ids, gammas = [], []
+        s = Segments([texts[i] for i in part])
+        e = m.emit[s.flat]
+        before, b, _ = s.starts(m, e)
+        f, _ = s.forward(m, e, before)
         for t in range(s.steps - 1, -1, -1):
-            n, c = s.active[t], s.tokens(t)
-            gamma = fwd[t + 1] * b[:n]
-            gamma /= gamma.sum(1, keepdims=True)
-            ids.append(c)
-            gammas.append(gamma)
-            eb = m.emit[c] * b[:n]
-            before = eb @ m.trans.T
-            z = (fwd[t][:n] * before).sum(1)
-            trans += m.trans * ((fwd[t][:n] / z[:, None]).T @ eb)
-            b[:n] = before / before.sum(1, keepdims=True)
+            n, here = s.active[t], slice(s.at[t], s.at[t + 1])
+            eb = e[here] * b[:n]
+            f_now = f[here]
+            f_now *= b[:n]  # becomes the posterior of step t; forward vectors of later steps are not needed any more
+            f_now /= f_now.sum(1, keepdims=True)
+            back = eb @ m.trans.T
+            was = before[:n] if t == 0 else f[s.at[t - 1] : s.at[t - 1] + n]
+            pairs += (was / (was * back).sum(1, keepdims=True)).T @ eb
+            back /= back.sum(1, keepdims=True)
+            b[:n] = back
         lead = s.rows[0]  # the first segments of all texts
-        g = starts[lead] * b[lead]
+        g = before[lead] * b[lead]
         first += (g / g.sum(1, keepdims=True)).sum(0)
-        c, g = np.concatenate(ids), np.concatenate(gammas)
         for j in range(k):
-            emit[:, j] += np.bincount(c, g[:, j], len(emit))
-    return first, trans, emit
+            emit[:, j] += np.bincount(s.flat, f[:, j], len(emit))
+    return first, m.trans * pairs, emit
 
 
-def token_counts(docs: DataFrame, held_out: int) -> DataFrame:
-    """(key, class, c) of each distinct training token."""
-    schema = arrow_schema("key binary, class int, n long")
+def read_texts(docs: DataFrame, held_out: int) -> tuple[DataFrame, DataFrame]:
+    """What training takes from the texts, in one reading: (key, class, c) of each distinct training token, and (classes) of each training
+    text as two-byte numbers. Both are in the shared folder."""
+    schema = arrow_schema("key long, class int, n long, classes binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(total):
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.binary()), pa.array([c for _, c in total], pa.int32()), pa.array(total.values(), pa.int64())], schema=schema)
+        def rows(keys=(), classes=(), n=(), seqs=()):
+            pad = len(keys), len(seqs)
+            columns = ([*keys, *[None] * pad[1]], [*classes, *[None] * pad[1]], [*n, *[None] * pad[1]], [*[None] * pad[0], *seqs])
+            return pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(columns, schema, strict=True)], schema=schema)
+
+        words, total = Words(), np.zeros(1, np.int64)
+
+        def counts():
+            some = np.flatnonzero(total).tolist()
+            return rows([words.keys[i] for i in some], [words.classes[i] for i in some], total[some].tolist())
 
-        total: Counter = Counter()
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if fold(i) != held_out:
-                    total.update(_WORDS.of(text))
-                    total[END_KEY, BUCKETS] += 1
-            if len(total) > COUNTED:
-                yield sent(total)
-                total = Counter()
-        if total:
-            yield sent(total)
+            texts = [words.of(t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if fold(i) != held_out]
+            if not texts:
+                continue
+            seen = np.bincount(np.concatenate(texts), minlength=len(words.keys))
+            seen[: len(total)] += total
+            total, classes = seen, np.array(words.classes, "<u2")
+            yield rows(seqs=[classes[x].tobytes() for x in texts])
+            if words.full():
+                yield counts()
+                words, total = Words(), np.zeros(1, np.int64)
+        yield counts()
 
     small_batches(docs.sparkSession)
-    counts = bytes_text(docs).mapInArrow(run, "key binary, class int, n long")
-    return stored(counts.groupBy("key").agg(F.first("class").alias("class"), F.sum("n").alias("c")), "tokens")
+    found = stored(bytes_text(docs).mapInArrow(run, "key long, class int, n long, classes binary"), "training")
+    counts = found.where("key is not null").groupBy("key").agg(F.first("class").alias("class"), F.sum("n").alias("c"))
+    return stored(counts, "tokens"), found.where("classes is not null").select("classes")
 
 
-def baum_welch(docs: DataFrame, per_class: np.ndarray, held_out: int, rounds: int = ROUNDS, states: int = STATES) -> Model:
-    """The model after some rounds over all training texts. per_class: tokens and distinct tokens of each class. Each round's sums come to the driver: K * (BUCKETS + K + 2) numbers, whatever the corpus."""
+def baum_welch(texts: DataFrame, per_class: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> Model:
+    """The model after some rounds over all training texts (classes). per_class: tokens and distinct tokens of each class.
+    Each round's sums come to the driver: K * (BUCKETS + K + 2) numbers, whatever the corpus."""
     unseen, size = per_class[:, 1] + 1, len(per_class)
     model = Model.begin((per_class[:, 0] + unseen) / (per_class[:, 0] + unseen).sum(), states)
-    small_batches(docs.sparkSession)
+    small_batches(texts.sparkSession)
     schema = arrow_schema("at int, x double")
-    texts = bytes_text(docs)
     for _ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = texts.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = None
+            total, waiting, held = 0.0, [], 0
+
+            def add():
+                return total + np.concatenate([x.ravel() for x in expected_counts(waiting, shared.value)])
+
             for b in batches:
-                rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-                chosen = [classes(t) for i, t in rows if fold(i) != held_out]
-                if chosen:
-                    got = np.concatenate([x.ravel() for x in expected_counts(chosen, shared.value)])
-                    total = got if total is None else total + got
-            if total is not None:
+                waiting += [np.frombuffer(x, "<u2").astype(np.int64) for x in b.column(0).to_pylist()]
+                held = sum(map(len, waiting))
+                if held >= 2 * AT_ONCE:
+                    total, waiting, held = add(), [], 0
+            if waiting:
+                total = add()
+            if not isinstance(total, float):
                 some = np.flatnonzero(total > 1e-9)
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], schema=schema)
 
@@ -270,39 +293,50 @@ def baum_welch(docs: DataFrame, per_class: np.ndarray, held_out: int, rounds: in
 def scores(docs: DataFrame, held_out: int = 2, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    counts = token_counts(docs, held_out)
+    counts, training = read_texts(docs, held_out)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     per_class = np.zeros((BUCKETS + 1, 2))
     for r in counts.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         per_class[r["class"]] = r.c, r.v
-    model = baum_welch(docs, per_class, held_out, rounds, states)
+    model = baum_welch(training, per_class, rounds, states)
     share = np.log10(per_class.sum(1) + 1)  # of a class: its tokens, one more for each, and one for the unknown
-    common = counts.where(F.col("c") * F.lit(COMMON) >= F.lit(total)).select("key", "c").toPandas()
-    shared = spark.sparkContext.broadcast((model, share, dict(zip(map(bytes, common["key"]), np.log10(common["c"].to_numpy(float) + 1).tolist(), strict=True))))
+    common = counts.orderBy(F.col("c").desc(), "key").limit(COMMON).select("key", "c").toPandas().sort_values("key")
+    shared = spark.sparkContext.broadcast((model, share, common["key"].to_numpy(np.int64), np.log10(common["c"].to_numpy(float) + 1)))
 
     def start():
-        m, of_class, known = shared.value
+        m, of_class, known, known_logs = shared.value
+        state = {"words": Words(), "logs": np.empty(0)}
+
+        def logs_of(keys: list[int]) -> np.ndarray:
+            k = np.array(keys, np.int64)
+            if not len(known):
+                return np.full(len(k), np.nan)
+            at = np.minimum(np.searchsorted(known, k), len(known) - 1)
+            return np.where(known[at] == k, known_logs[at], np.nan)
 
         def batch(rows):
+            if state["words"].full():
+                state.update(words=Words(), logs=np.empty(0))
+            words = state["words"]
+            texts = [words.of(text) for text in rows["text"]]
+            log = state["logs"] = np.concatenate([state["logs"], logs_of(words.keys[len(state["logs"]) :])])
+            classes = np.array(words.classes)
             out: dict[str, list] = {"doc_id": rows["doc_id"], "held_out": [fold(i) == held_out for i in rows["doc_id"]], "n_tokens": [], "n_common": [], "logs": [], "inner": [], "rare": []}
-            texts = []
-            for text in rows["text"]:
-                tokens = _WORDS.of(text) + [(END_KEY, BUCKETS)]
-                logs = [known.get(k) for k, _ in tokens]
-                rare = Counter(k for (k, _), x in zip(tokens, logs, strict=True) if x is None) if None in logs else {}
-                c = np.array([c for _, c in tokens], np.int64)
-                out["n_tokens"].append(len(tokens))
-                out["n_common"].append(len(tokens) - sum(rare.values()))
-                out["logs"].append(math.fsum(x for x in logs if x is not None))
-                out["inner"].append(math.fsum(of_class[c]))
-                out["rare"].append([{"key": k, "n": n} for k, n in rare.items()])
-                texts.append(c)
-            out["hidden"] = (log_likelihoods(texts, m) / math.log(10)).tolist()
+            for x in texts:
+                a = log[x]
+                absent = np.isnan(a)
+                which, n = np.unique(x[absent], return_counts=True)
+                out["n_tokens"].append(len(x))
+                out["n_common"].append(len(x) - int(absent.sum()))
+                out["logs"].append(float(a[~absent].sum()))
+                out["inner"].append(float(of_class[classes[x]].sum()))
+                out["rare"].append([{"key": words.keys[w], "n": c} for w, c in zip(which.tolist(), n.tolist(), strict=True)])
+            out["hidden"] = (log_likelihoods([classes[x] for x in texts], m) / math.log(10)).tolist()
             return out
 
         return batch
 
-    ddl = "doc_id long, held_out boolean, n_tokens long, n_common long, logs double, inner double, hidden double, rare array<struct<key: binary, n: long>>"
+    ddl = "doc_id long, held_out boolean, n_tokens long, n_common long, logs double, inner double, hidden double, rare array<struct<key: bigint, n: bigint>>"
     first = map_rows(bytes_text(docs), ddl, start).withColumn("row", F.monotonically_increasing_id())
     first = stored(first, "scored")
     rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.n").join(counts.select("key", "c"), "key")
