@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,6 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined_anew(totals: DataFrame, key: str) -> DataFrame:
+    """totals, which are aggregated by a whole-number key, with the key computed again (its complement twice): a join back by it then shuffles both sides, and
+    Spark can split a hot key's rows of the other side over tasks. Without that it takes the totals as they lie, and can not."""
+    return totals.withColumn(key, F.bitwise_not(F.bitwise_not(F.col(key))))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, so that long texts do not fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
@@ -71,6 +81,33 @@ def bytes_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+class Memo:
+    """What a Python worker remembers from task to task: the last `most` entries and as many older ones. A worker that has not
+    asked for a while forgets all, so that its memory is there for other operators."""
+
+    IDLE_SECONDS = 4
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+        self.asked, self.watch = 0.0, None
+
+    def begin(self) -> None:
+        """To be called before a batch; new and old are not replaced before the next call."""
+        self.asked = time.monotonic()
+        if self.watch is None:
+            self.watch = threading.Thread(target=self._forget, daemon=True)
+            self.watch.start()
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+
+    def _forget(self) -> None:
+        while (left := self.asked + self.IDLE_SECONDS - time.monotonic()) > 0:
+            time.sleep(left)
+        self.new, self.old, self.watch = {}, {}, None
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def sample_rows(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
     """About `rows` rows, chosen by a hash of the key, so that every run chooses the same; all rows of a small table."""
     total = df.count()

@@ -20,23 +20,25 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE, arrow_schema, bytes_text, map_rows, scratch, small_batches, stored
+from corpusloom.llm.common import SPACE, Memo, arrow_schema, bytes_text, map_rows, scratch, small_batches, stored
 
 MAGIC = b"RANS0001"
 LANES, SCALE_BITS, BLOCK_IDS = 512, 20, 1 << 18
 #: Ids in a file, about; a file is read as one row.
 FILE_IDS = 1 << 22
 #: Words remembered by a worker.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 450_000
 _LOW = 31
 
 
@@ -195,7 +197,12 @@ _HELD: dict[str, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
-    """The library's tokenizer, which drops white space and never looks across it, with the ids of words remembered."""
+    """The library's tokenizer, which drops white space and never looks across it, with the ids of words remembered.
+
+    Lower-case ASCII words go straight to the library's merges; other new words go to it in one text, between marks: a mark is a
+    character with an id of its own, which no other text has."""
+
+    MARKS = "†‡¶§¤•"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -205,27 +212,97 @@ class WordTokenizer:
         self.size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.words = re.compile(f"[^{SPACE}]+").findall
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as numbers of self.kind. Words that are not known yet are encoded by the library in one call."""
-        if len(self.memory) > WORDS_KEPT:
-            self.older, self.memory = self.memory, {}
-        cut = [self.words(t) for t in texts]
-        memory, older = self.memory, self.older
-        new = []
-        for w in {w for words in cut for w in words if w not in memory}:
+        self.not_split = re.compile("[\x1c-\x1f]").search  # str.split() takes these for white space
+        self.memo = Memo(WORDS_KEPT)
+        self.merges = self.library.model.tokenize  # all that lower-case ASCII letters need: they are their own normal form and bytes
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        alone = [(m, ids[0]) for m in self.MARKS if len(ids := self._ids(m)) == 1]
+        self.mark, self.mark_id = alone[0] if alone else (None, None)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[str], memory: dict[str, bytes]) -> None:
+        merges, code, rest = self.merges, self.code, []
+        for w in words:
+            if w.isascii() and w.isalpha() and w.islower():
+                memory[w] = array(code, [x.id for x in merges(w)]).tobytes()
+            elif self.mark and self.mark not in w:
+                rest.append(w)
+            else:
+                memory[w] = array(code, self._ids(w)).tobytes()
+        size = self.kind.itemsize
+        for i in range(0, len(rest), 2_000):
+            part = rest[i : i + 2_000]
+            ids = np.array(self._ids(f" {self.mark} ".join(part)), self.kind)
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            raw, at = ids.tobytes(), 0
+            assert len(ends) == len(part), "each mark must come back as one id"
+            for w, end in zip(part, ends, strict=True):
+                memory[w] = raw[at * size : end * size]
+                at = end + 1
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        """Letters in lower case and the marks after them, where the library surely cuts so; else the word."""
+        core = word.rstrip(".,;:!?")
+        if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
+            return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
+        return (word,)
+
+    def encode_distinct(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some distinct words, as numbers of self.kind."""
+        self.memo.begin()
+        memory, older = self.memo.new, self.memo.old
+        out = [memory.get(w) for w in words]
+        plan, ask = [], set()
+        for i in [i for i, x in enumerate(out) if x is None]:
+            w = words[i]
             got = older.get(w)
-            if got is None:
-                new.append(w)
+            if got is not None:
+                out[i] = memory[w] = got
             else:
-                memory[w] = got
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memory[w] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join([memory[w] for w in words]) for words in cut]
+                parts = self._parts(w)
+                plan.append((i, parts))
+                for p in parts:
+                    if p not in memory and p not in older:
+                        ask.add(p)
+        self._learn(sorted(ask), memory)
+        for i, parts in plan:
+            got = b"".join([memory[p] if p in memory else older[p] for p in parts])
+            out[i] = memory[words[i]] = got
+        return out
+
+    def encode_column(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by end, and how many there are of each. Words are found, told apart and put together
+        in vectors; only distinct words are looked at one by one."""
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+            lists = pa.array([self.words(t) if self.not_split(t) else t.split() for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        raw = [b"" if w == "" else None for w in words]
+        some = [i for i, x in enumerate(raw) if x is None]
+        for i, x in zip(some, self.encode_distinct([words[i] for i in some]), strict=True):
+            raw[i] = x
+        raw.append(np.array(end, self.kind).tobytes())
+        size = self.kind.itemsize
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // size
+        table, starts = np.frombuffer(b"".join(raw), self.kind), np.cumsum(lengths) - lengths
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        stops = np.cumsum(counts)
+        which = np.insert(coded.indices.to_numpy().astype(np.int64), stops, len(raw) - 1)  # the end after each text's words
+        n = lengths[which]
+        after = np.cumsum(n)
+        ids = table[np.repeat(starts[which] - (after - n), n) + np.arange(int(after[-1]) if len(after) else 0)]
+        ends = after[stops + np.arange(len(stops))]
+        return ids, np.diff(ends, prepend=0)
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as numbers of self.kind."""
+        ids, n = self.encode_column(pa.array(texts, pa.string()), [])
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -237,17 +314,18 @@ def word_tokenizer(path: str) -> WordTokenizer:
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     """(doc_id, n, ids): ids with the end id, in little-endian numbers of two bytes, or four for large vocabularies."""
 
-    def start():
-        t = word_tokenizer(path)
-        last = np.array([end], t.kind).tobytes()
-
-        def batch(rows):
-            ids = [x + last for x in t.encode_batch(rows["text"])]
-            return {"doc_id": rows["doc_id"], "n": [len(x) // t.kind.itemsize for x in ids], "ids": ids}
+    schema = arrow_schema("doc_id long, n long, ids binary")
+    small_batches(docs.sparkSession)
 
-        return batch
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = word_tokenizer(path)
+        for b in batches:
+            ids, n = t.encode_column(b.column("text"), [end])
+            offsets = np.concatenate([[0], np.cumsum(n) * t.kind.itemsize]).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), raw], schema=schema)
 
-    return map_rows(bytes_text(docs), "doc_id long, n long, ids binary", start)
+    return bytes_text(docs).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
 def counted(ids: DataFrame, kind: str, size: int) -> np.ndarray:
