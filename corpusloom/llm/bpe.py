@@ -26,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE, bytes_text, map_rows, small_batches
+from corpusloom.llm.common import SPACE, Memo, bytes_text, map_rows, small_batches
 
 #: Chunks and pre-tokens up to this length are remembered: in each worker the last so many, and as many older ones.
-REMEMBER_CHARS, REMEMBER = 48, 500_000
+REMEMBER_CHARS, REMEMBER, PAIRS = 48, 300_000, 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -91,13 +91,12 @@ class Tokenizer:
         self.pretokens = regex.compile(pattern).findall
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]").findall
         self.space_space = re.compile(f" [{SPACE}]").search
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo = Memo(REMEMBER)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
 
     def pair(self, a: int, b: int) -> int:
         r = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-        if len(self.pairs) < REMEMBER:
+        if len(self.pairs) < PAIRS:
             self.pairs[a << 32 | b] = r
         return r
 
@@ -150,35 +149,32 @@ class Tokenizer:
             i = after[i]
         return out
 
-    def remember(self, text: str, ids: bytes) -> bytes:
-        if len(text) <= REMEMBER_CHARS:
-            if len(self.memory) >= REMEMBER:
-                self.older, self.memory = self.memory, {}
-            self.memory[text] = ids
-        return ids
-
     def piece(self, text: str) -> bytes:
         """Ids of a pre-token as little-endian unsigned 32-bit integers."""
-        got = self.memory.get(text)
+        got = self.memo.new.get(text)
         if got is None:
-            got = self.older.get(text) or array("I", self.merge(text.encode("utf-8", "surrogatepass"))).tobytes()
-            self.remember(text, got)
+            got = self.memo.old.get(text) or array("I", self.merge(text.encode("utf-8", "surrogatepass"))).tobytes()
+            if len(text) <= REMEMBER_CHARS:
+                self.memo.new[text] = got
         return got
 
     def chunk(self, text: str) -> bytes:
         """Ids of a chunk. What is remembered of a pre-token and of a chunk that reads the same is the same."""
-        got = self.older.get(text)
+        got = self.memo.old.get(text)
         if got is None:
             pieces = self.pretokens(text)
             if len(pieces) == 1:
                 return self.piece(text)
             got = b"".join(map(self.piece, pieces))
-        return got if "\n" in text else self.remember(text, got)
+        if "\n" not in text and len(text) <= REMEMBER_CHARS:
+            self.memo.new[text] = got
+        return got
 
     def encode(self, text: str) -> bytes:
+        self.memo.begin()
         chunks = self.chunks(text) if "\0" in text or self.space_space(text) else text.replace(" ", "\0 ").split("\0")
-        make = self.chunk
-        return b"".join([self.memory.get(c) or make(c) for c in chunks])
+        get, make = self.memo.new.get, self.chunk
+        return b"".join([get(c) or make(c) for c in chunks])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
