@@ -39,7 +39,7 @@ def crawl(spark, **limits):
 
 def test_crawl_order_and_budget(spark):
     r = crawl(spark, max_pages=4, max_depth=2, concurrency=1)
-    assert [x.url for x in r.crawled.orderBy("ord").collect()] == ["https://e.com/", "https://e.com/docs/a", "https://e.com/z", "https://e.com/docs/late"]
+    assert [x.url for x in r.crawled.orderBy("ord").collect()] == ["https://e.com/", "https://e.com/docs/a", "https://e.com/z"]  # the failed /blog was third
     r = crawl(spark, max_pages=100, max_depth=1, concurrency=2)
     assert {x.url for x in r.crawled.collect()} == {"https://e.com/", "https://e.com/docs/a", "https://e.com/z", "https://e.com/docs/late"}
     r = crawl(spark, max_pages=100, max_depth=5, concurrency=8)
