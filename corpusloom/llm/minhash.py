@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_schema, bytes_text, map_rows, stored
+from corpusloom.llm.common import arrow_schema, bytes_text, joined_anew, map_rows, stored
 from corpusloom.llm.components import connected_components
 
 PERMUTATIONS, BAND = 120, 3
@@ -252,12 +252,12 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     classes = stored(known.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("bucket", "hub")
-    ties = buckets.join(shared, "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    ties = buckets.join(joined_anew(shared, "bucket"), "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     candidates = stored(connected_components(ties), "candidates")
 
     weighed = candidates.join(classes.select("id", "n", "sig"), "id")
     blocks = weighed.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = weighed.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("blocks")).cast("int"))
+    placed = weighed.join(joined_anew(blocks, "component"), "component").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.col("component"), F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
     members = placed.join(_sets(docs, words, candidates), "id").select("id", "set", "sig", F.explode(pairs).alias("g"))
     components = connected_components(_links(members.select(F.xxhash64("g.component", "g.i", "g.j").alias("g"), "id", "set", "sig"), percent))
