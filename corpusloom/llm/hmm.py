@@ -10,8 +10,8 @@ estimated anew. Long texts are cut into segments only to compute many at once: t
 the exact forward and backward vectors across, so the recursion is that of the whole text. Vectors are scaled and the logarithms of the
 scales summed. Scores are base-10 logarithms.
 
-Counts of tokens: those of the COMMON most frequent ones are sent to every task; of other tokens, each of which makes up less than
-one in COMMON, a document's are joined with the counts by shuffle. So neither the vocabulary nor a frequent word is ever in
+Counts of tokens: those of the most frequent ones, COMMON at most, are sent to every task; of other tokens, none of which makes up
+much of the corpus, a document's are joined with the counts by shuffle. So neither the vocabulary nor a frequent word is ever in
 one place. Tokens are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text is its end alone; a null doc_id has the hash of the empty text; rows with one doc_id are
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import arrow_schema, bytes_text, map_rows, small_batches, stored
 
 STATES, BUCKETS, ROUNDS = 4, 1 << 12, 4
-#: Tokens whose counts are sent to every task (16 bytes each).
+#: Tokens, at most, whose counts are sent to every task (16 bytes each).
 COMMON = 1 << 18
 SEGMENT, SEED, SMOOTHING, STAY = 2048, 3, 0.1, 0.9
 #: Tokens that a task computes at once; a longer text is computed by itself.
@@ -290,6 +290,19 @@ def baum_welch(texts: DataFrame, per_class: np.ndarray, rounds: int = ROUNDS, st
     return model
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """(key, c) of the tokens whose counts reach the lowest step that at most `most` tokens reach. Steps are sixteenths of powers of two,
+    so their histogram is small; a sorted limit would send that many rows of every partition to one place."""
+    step = F.floor(F.log2("c") * 16)
+    lowest, held = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        held += r.n
+        if held > most:
+            break
+        lowest = r.step
+    return counts.where(F.lit(False) if lowest is None else step >= lowest).select("key", "c")
+
+
 def scores(docs: DataFrame, held_out: int = 2, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -300,7 +313,7 @@ def scores(docs: DataFrame, held_out: int = 2, rounds: int = ROUNDS, states: int
         per_class[r["class"]] = r.c, r.v
     model = baum_welch(training, per_class, rounds, states)
     share = np.log10(per_class.sum(1) + 1)  # of a class: its tokens, one more for each, and one for the unknown
-    common = counts.orderBy(F.col("c").desc(), "key").limit(COMMON).select("key", "c").toPandas().sort_values("key")
+    common = most_frequent(counts, COMMON).toPandas().sort_values("key")
     shared = spark.sparkContext.broadcast((model, share, common["key"].to_numpy(np.int64), np.log10(common["c"].to_numpy(float) + 1)))
 
     def start():
