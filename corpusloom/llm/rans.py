@@ -193,6 +193,8 @@ class TokenFile:
 
 # --- ids of texts -------------------------------------------------------------------------------------------------------------
 
+#: Bytes of text, about, that are looked at together.
+TOGETHER_BYTES = 8 << 20
 _HELD: dict[str, "WordTokenizer"] = {}
 
 
@@ -255,19 +257,20 @@ class WordTokenizer:
         self.memo.begin()
         memory, older = self.memo.new, self.memo.old
         out = [memory.get(w) for w in words]
-        plan, ask = [], set()
+        merges, code, plan, ask = self.merges, self.code, [], set()
         for i in [i for i, x in enumerate(out) if x is None]:
             w = words[i]
             got = older.get(w)
-            if got is not None:
-                out[i] = memory[w] = got
-            else:
-                parts = self._parts(w)
-                plan.append((i, parts))
-                for p in parts:
-                    if p not in memory and p not in older:
-                        ask.add(p)
-        self._learn(sorted(ask), memory)
+            if got is None:
+                if w.isascii() and w.isalpha() and w.islower():
+                    got = array(code, [x.id for x in merges(w)]).tobytes()
+                else:
+                    parts = self._parts(w)
+                    plan.append((i, parts))
+                    ask.update([p for p in parts if p not in memory and p not in older])
+                    continue
+            out[i] = memory[w] = got
+        self._learn([p for p in sorted(ask) if p not in memory], memory)
         for i, parts in plan:
             got = b"".join([memory[p] if p in memory else older[p] for p in parts])
             out[i] = memory[words[i]] = got
@@ -288,14 +291,16 @@ class WordTokenizer:
             raw[i] = x
         raw.append(np.array(end, self.kind).tobytes())
         size = self.kind.itemsize
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // size
-        table, starts = np.frombuffer(b"".join(raw), self.kind), np.cumsum(lengths) - lengths
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        stops = np.cumsum(counts)
-        which = np.insert(coded.indices.to_numpy().astype(np.int64), stops, len(raw) - 1)  # the end after each text's words
+        lengths = np.fromiter(map(len, raw), np.int32, len(raw)) // size
+        table = np.frombuffer(b"".join(raw), self.kind)
+        starts = np.cumsum(lengths, dtype=np.int64).astype(np.int32) - lengths
+        stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+        which = np.insert(coded.indices.to_numpy(), stops, len(raw) - 1)  # the end after each text's words
         n = lengths[which]
-        after = np.cumsum(n)
-        ids = table[np.repeat(starts[which] - (after - n), n) + np.arange(int(after[-1]) if len(after) else 0)]
+        after = np.cumsum(n, dtype=np.int64)
+        total = int(after[-1]) if len(after) else 0
+        shift = starts[which] - (after - n)  # from a place in the result to its place in the table
+        ids = table[np.repeat(shift.astype(np.int32), n) + np.arange(total, dtype=np.int32)] if total < 1 << 31 else table[np.repeat(shift, n) + np.arange(total)]
         ends = after[stops + np.arange(len(stops))]
         return ids, np.diff(ends, prepend=0)
 
@@ -318,12 +323,24 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = word_tokenizer(path)
-        for b in batches:
-            ids, n = t.encode_column(b.column("text"), [end])
+        t, waiting, held = word_tokenizer(path), [], 0
+
+        def made():
+            b = pa.Table.from_batches(waiting).combine_chunks()
+            names, texts = (b.column(k).combine_chunks() for k in ("doc_id", "text"))
+            ids, n = t.encode_column(texts, [end])
             offsets = np.concatenate([[0], np.cumsum(n) * t.kind.itemsize]).astype(np.int32)
             raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), raw], schema=schema)
+            return pa.RecordBatch.from_arrays([names, pa.array(n), raw], schema=schema)
+
+        for b in batches:
+            waiting.append(b)
+            held += b.column("text").nbytes
+            if held >= TOGETHER_BYTES:  # the more texts together, the fewer words are distinct
+                yield made()
+                waiting, held = [], 0
+        if waiting:
+            yield made()
 
     return bytes_text(docs).mapInArrow(run, "doc_id long, n long, ids binary")
 
@@ -335,10 +352,11 @@ def counted(ids: DataFrame, kind: str, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, kind), minlength=size) if len(x) > 4 * size else 0
-            short = b"".join(x for x in b.column(0).to_pylist() if len(x) <= 4 * size)
-            total += np.bincount(np.frombuffer(short, kind), minlength=size)
+            ids = b.column(0)
+            _, offsets, data = ids.buffers()
+            first, last = np.frombuffer(offsets, np.int32)[[ids.offset, ids.offset + len(ids)]] if len(ids) else (0, 0)
+            if last > first:
+                total += np.bincount(np.frombuffer(data, np.uint8)[first:last].view(kind), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], schema=schema)
 
