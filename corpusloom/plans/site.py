@@ -27,11 +27,12 @@ def crawled_pages(responses: DataFrame) -> DataFrame:
 
 
 def analyzed(crawled: DataFrame, state: DataFrame, inbound: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """Working pages after classification, descriptions, outside verdicts, scores and content filters."""
-    w = refine.without_generic_descriptions(refine.classified(crawled, state))
+    """Working pages after classification, descriptions, outside verdicts, scores and content filters. What filters read is written
+    first: conditions on long expressions would be copied with them down the plan."""
+    w = refine.without_generic_descriptions(stored(refine.classified(crawled, state), "classified"))
     if verdicts is not None:
         w = refine.with_verdicts(w, verdicts.join(w.where("may_ask").select("site_id", "url").distinct(), ["site_id", "url"], "left_semi"))
-    return filters.with_reasons(refine.scored(w, inbound))
+    return filters.with_reasons(stored(refine.scored(w, inbound), "scored"))
 
 
 def organized(working: DataFrame, state: DataFrame) -> DataFrame:
