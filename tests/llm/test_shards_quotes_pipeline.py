@@ -163,4 +163,4 @@ def test_queries(spark, name):
     if name in queries.SQL:
         assert rows == sorted(map(repr, c.sql(f"select {', '.join(df.columns)} from ({queries.SQL[name]})").fetchall()))
     elif name != "op4_decontaminate":
-        assert len(rows) == c.sql(f"select count(*) from {'pages' if name == 'op8_warc' else 'documents'}").fetchone()[0]
+        assert len(rows) == c.sql(f"select count(*) from {'pages' if name == 'op8_warc' else 'documents'}").fetchall()[0][0]
