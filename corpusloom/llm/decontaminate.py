@@ -7,6 +7,11 @@ words at least, in template form. For a document that covers enough of an item,
 alignment each value of an item's slot must always stand for the same value in the document, or the template windows that
 hold it do not count. A document is contaminated by an item when 80 % of the item's windows are found, raw or consistent.
 
+It is contaminated as well when 80 % of the item's tokens are covered. For this each alignment in which one window is shared is
+compared token by token: a token is met by itself or, where no value of a slot stands for two in the alignment, by a
+placeholder of its kind; runs of five met tokens, of all alignments together, count. So neither windows with fewer than two
+literals nor a changed word, which stands in five windows, lose an item. n_windows, n_found and n_exact count windows as before.
+
 Defined cases: null or empty texts have no windows; a text with fewer than five tokens is one window, so that it only
 meets equal texts; a null doc_id or item_id is reported under null, and documents without doc_id are not removed; rows
 with one id are judged together; an empty table gives an empty result; extra columns do not matter.
@@ -71,21 +76,47 @@ def _windows(df: DataFrame, key: str) -> DataFrame:
     return w.select("id", "at", "raw", F.inline_outer(two)).where("kind is not null").select("id", "at", "kind", "form", "raw")
 
 
+def _covered(docs: DataFrame, benchmark: DataFrame, hits: DataFrame) -> DataFrame:
+    """(id, item, sure) of the pairs whose alignments together cover PERCENT of the item's tokens. An alignment (shift) stands on a window that both
+    have and is compared token by token over the whole item, so that windows too dense in placeholders for a key count as well."""
+    whole = lambda df, key, *names: _words(df, key).select("id", F.transform("words", F.lower).alias(names[0]), F.transform("words", lambda t: _form(t, t)).alias(names[1]))
+    items = whole(benchmark, "item_id", "was", "form").select(F.col("id").alias("__of"), "was", "form").distinct()
+    at = hits.select(F.col("id").alias("__id"), "item", F.col("shift").cast("int").alias("shift")).join(items, F.col("item").eqNullSafe(F.col("__of")))
+    texts = docs.select("doc_id", "text").join(hits.select(F.col("id").alias("__hit")).distinct(), F.col("doc_id").eqNullSafe(F.col("__hit")), "left_semi")
+    both = whole(texts, "doc_id", "raw", "tmpl").join(at, F.col("id").eqNullSafe(F.col("__id")))
+    pair = lambda w, i: F.struct(w.alias("was"), F.get("raw", i + F.col("shift")).alias("raw"), (F.get("form", i).isin(*PLACEHOLDERS) & (F.get("form", i) == F.get("tmpl", i + F.col("shift")))).alias("slot"))
+    lined = both.select("id", "item", "was", F.transform("was", pair).alias("pairs"))
+    slots = F.filter("pairs", lambda x: x["slot"])
+    steady = F.size(F.array_distinct(F.transform(slots, lambda x: x["was"]))) == F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["was"], x["raw"]))))
+    lined = lined.withColumn("steady", steady)
+    same = F.transform("pairs", lambda x: F.when((x["was"] == x["raw"]) | (F.col("steady") & x["slot"]), "1").otherwise("0"))
+    lined = lined.select("id", "item", F.xxhash64("was").alias("of"), F.size("was").alias("size"), F.least(F.size("was"), F.lit(WINDOW)).alias("width"), F.array_join(same, "").alias("line"))
+    runs = F.filter(F.sequence(F.lit(1), F.col("size") - F.col("width") + 1), lambda p: F.col("line").substr(p, F.col("width")) == F.repeat(F.lit("1"), F.col("width")))
+    places = lined.select("id", "item", "of", "size", "width", runs.alias("places")).groupBy("id", "item", "of", "size", "width").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"))
+    steps = F.transform("places", lambda p, i: F.least(F.coalesce(F.get("places", i + 1) - p, F.col("width")), F.col("width")))
+    covered = F.aggregate(steps, F.lit(0), lambda x, y: x + y)
+    return places.where(F.lit(100) * covered >= F.lit(PERCENT) * F.col("size")).select("id", "item", F.lit(True).alias("sure"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_found, n_exact): pairs of a document and an item of which it holds PERCENT of the windows."""
+    """(doc_id, item_id, n_windows, n_found, n_exact): pairs of a document and an item of which it holds PERCENT of the windows or of the tokens."""
     sizes = _words(benchmark, "item_id").groupBy("id").agg(F.max(F.size(_places("words"))).cast("long").alias("n")).select(F.col("id").alias("item"), "n")
     keys = stored(_hashes(benchmark, "item_id", place=True).select(F.col("id").alias("item"), F.col("at").alias("place"), "key").distinct(), "benchmark")
     if keys.count() <= BROADCAST_WINDOWS:
         keys = F.broadcast(keys)
     enough = F.lit(100) * F.col("found") >= F.lit(PERCENT) * F.col("n")
-    found = _hashes(docs, "doc_id").join(keys, "key").groupBy("id", "item").agg(F.count_distinct("place").alias("found"))
-    candidates = stored(_with(found, sizes).where(enough).select("id", "item"), "suspects")
+    hits = _hashes(docs, "doc_id", place=True).join(keys, "key").groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
+    hits = stored(hits, "hits")
+    found = hits.select("id", "item", F.explode("places").alias("place")).groupBy("id", "item").agg(F.count_distinct("place").alias("found"))
+    windows = _with(found, sizes).where(enough).select("id", "item", F.lit(False).alias("sure"))
+    candidates = stored(windows.union(_covered(docs, benchmark, hits)).groupBy("id", "item").agg(F.bool_or("sure").alias("sure")), "suspects")
 
     ids = candidates.select(F.col("id").alias("__id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     there = _windows(texts, "doc_id")
     mine = _windows(benchmark, "item_id").select(F.col("id").alias("item"), F.col("at").alias("place"), "kind", "form", F.col("raw").alias("was"))
-    met = there.join(mine, ["kind", "form"]).join(candidates.withColumnRenamed("id", "__id").withColumnRenamed("item", "__item"), F.col("id").eqNullSafe(F.col("__id")) & F.col("item").eqNullSafe(F.col("__item")), "left_semi")
+    pairs = candidates.select(F.col("id").alias("__id"), F.col("item").alias("__item"), "sure")
+    met = there.join(mine, ["kind", "form"]).join(pairs, F.col("id").eqNullSafe(F.col("__id")) & F.col("item").eqNullSafe(F.col("__item")), "left_semi")
     met = stored(met.select("id", "item", "kind", "place", (F.col("at") - F.col("place")).alias("shift"), "form", "was", "raw"), "aligned")
 
     slots = F.filter(F.arrays_zip("form", "was", "raw"), lambda s: s["form"].isin(*PLACEHOLDERS))
@@ -95,7 +126,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = slot.join(bad, [F.col(k).eqNullSafe(F.col(v)) for k, v in of.items()]).groupBy("id", "item", "shift", "place").agg(F.bool_or("bad").alias("bad"))
     good = met.where("kind = 'raw'").select("id", "item", "place", F.lit(1).alias("exact")).union(judged.where("not bad").select("id", "item", "place", F.lit(0)))
     out = good.groupBy("id", "item").agg(F.count_distinct("place").alias("found"), F.count_distinct(F.when(F.col("exact") == 1, F.col("place"))).alias("exact"))
-    out = _with(out, sizes).where(enough)
+    out = pairs.join(out, F.col("id").eqNullSafe(F.col("__id")) & F.col("item").eqNullSafe(F.col("__item")), "left").select(F.col("__id").alias("id"), F.col("__item").alias("item"), "sure", *[F.coalesce(k, F.lit(0).cast("long")).alias(k) for k in ("found", "exact")])
+    out = _with(out, sizes).where(enough | F.col("sure"))
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("n").alias("n_windows"), F.col("found").alias("n_found"), F.col("exact").alias("n_exact"))
 
 

@@ -158,3 +158,17 @@ def test_decontamination(spark):
 def test_decontamination_without_rows(spark):
     assert pairs(spark, [])[0] == {} and pairs(spark, [(1, "a b c d e f")], [])[0] == {}
     assert pairs(spark, [(1, "a b c d e f")], [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f")])[0].keys() == {(1, 7), (1, None)}
+
+
+DENSE = "Ann Lee, Bob Ray, Cy Fox and Dee Orr weigh 61, 72, 58 and 66 kg; find the mean weight of all four."
+
+
+def test_items_dense_in_placeholders(spark):
+    items = [(1, DENSE), (2, "What Is The Sum Of 17 And 25 Minus 4 ?")]
+    texts = [
+        (0, "so: Eve Poe, Flo Kim, Gus Law and Hal May weigh 50, 81, 77 and 93 kg; find the mean weight of all four."),
+        (1, "Eve Poe, Flo Kim, Gus Law and Hal May weigh 50, 81, 77 and 50 kg; they are all of one team."),
+        (2, "Tell me : What Is The Sum Of 31 And 8 Minus 6 ?"),
+        (3, "Tell me Why He Met The Men Of 31 And 8 Minus 6"),
+    ]
+    assert set(pairs(spark, texts, items)[0]) == {(0, 1), (2, 2)}
