@@ -9,7 +9,7 @@ hold it do not count. A document is contaminated by an item when 80 % of the ite
 
 It is contaminated as well when 80 % of the item's tokens are covered. For this each alignment in which one window is shared is
 compared token by token: a token is met by itself or, where no value of a slot stands for two in the alignment, by a
-placeholder of its kind; runs of five met tokens, of all alignments together, count. So neither windows with fewer than two
+placeholder of its kind; runs of five met tokens, of all alignments together, count; a single run of RUN met tokens is enough for a long item. So neither windows with fewer than two
 literals nor a changed word, which stands in five windows, lose an item. n_windows, n_found and n_exact count windows as before.
 
 Defined cases: null or empty texts have no windows; a text with fewer than five tokens is one window, so that it only
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import stored
 
 WINDOW, PERCENT = 5, 80
+#: Consecutive tokens of an item, met in one alignment, that are enough by themselves.
+RUN = 13
 #: Windows of the benchmark up to which they are broadcast (40 bytes each at most); beyond it the join shuffles.
 BROADCAST_WINDOWS = 500_000
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+"
@@ -77,7 +79,7 @@ def _windows(df: DataFrame, key: str) -> DataFrame:
 
 
 def _covered(docs: DataFrame, benchmark: DataFrame, hits: DataFrame) -> DataFrame:
-    """(id, item, sure) of the pairs whose alignments together cover PERCENT of the item's tokens. An alignment (shift) stands on a window that both
+    """(id, item, sure) of the pairs whose alignments together cover PERCENT of the item's tokens, or one of which has a run of RUN. An alignment (shift) stands on a window that both
     have and is compared token by token over the whole item, so that windows too dense in placeholders for a key count as well."""
     whole = lambda df, key, *names: _words(df, key).select("id", F.transform("words", F.lower).alias(names[0]), F.transform("words", lambda t: _form(t, t)).alias(names[1]))
     items = whole(benchmark, "item_id", "was", "form").select(F.col("id").alias("__of"), "was", "form").distinct()
@@ -92,10 +94,10 @@ def _covered(docs: DataFrame, benchmark: DataFrame, hits: DataFrame) -> DataFram
     same = F.transform("pairs", lambda x: F.when((x["was"] == x["raw"]) | (F.col("steady") & x["slot"]), "1").otherwise("0"))
     lined = lined.select("id", "item", F.xxhash64("was").alias("of"), F.size("was").alias("size"), F.least(F.size("was"), F.lit(WINDOW)).alias("width"), F.array_join(same, "").alias("line"))
     runs = F.filter(F.sequence(F.lit(1), F.col("size") - F.col("width") + 1), lambda p: F.col("line").substr(p, F.col("width")) == F.repeat(F.lit("1"), F.col("width")))
-    places = lined.select("id", "item", "of", "size", "width", runs.alias("places")).groupBy("id", "item", "of", "size", "width").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"))
+    places = lined.select("id", "item", "of", "size", "width", runs.alias("places"), F.col("line").contains("1" * RUN).alias("long")).groupBy("id", "item", "of", "size", "width").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"), F.bool_or("long").alias("long"))
     steps = F.transform("places", lambda p, i: F.least(F.coalesce(F.get("places", i + 1) - p, F.col("width")), F.col("width")))
     covered = F.aggregate(steps, F.lit(0), lambda x, y: x + y)
-    return places.where(F.lit(100) * covered >= F.lit(PERCENT) * F.col("size")).select("id", "item", F.lit(True).alias("sure"))
+    return places.where((F.lit(100) * covered >= F.lit(PERCENT) * F.col("size")) | F.col("long")).select("id", "item", F.lit(True).alias("sure"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -172,3 +172,18 @@ def test_items_dense_in_placeholders(spark):
         (3, "Tell me Why He Met The Men Of 31 And 8 Minus 6"),
     ]
     assert set(pairs(spark, texts, items)[0]) == {(0, 1), (2, 2)}
+
+
+FARMER = "a farmer sells all of the eggs from the barn and then counts how many hens are left"
+LONG = "every evening the old clockmaker counted eleven silver gears beneath a lantern shaped like a sleeping heron while rain fell on the roof"
+
+
+def test_items_with_edits(spark):
+    texts = [
+        (0, "once " + FARMER.replace("counts", "tells") + " again"),
+        (1, "once " + FARMER.replace("and then", "and only then") + " again"),
+        (2, "some words , " + " ".join(LONG.split()[:15]) + " and nothing more of it"),
+        (3, "some words , " + " ".join(LONG.split()[:9]) + " and nothing more of it"),
+        (4, "a farmer sells all of the milk from the cows and then asks how many of them are left"),
+    ]
+    assert set(pairs(spark, texts, [(1, FARMER), (2, LONG)])[0]) == {(0, 1), (1, 1), (2, 2)}
