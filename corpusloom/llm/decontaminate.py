@@ -13,7 +13,7 @@ placeholder of its kind; runs of five met tokens, of all alignments together, co
 literals nor a changed word, which stands in five windows, lose an item. n_windows, n_found and n_exact count windows as before.
 
 Defined cases: null or empty texts have no windows; a text with fewer than five tokens is one window, so that it only
-meets equal texts; a null doc_id or item_id is reported under null, and documents without doc_id are not removed; rows
+meets equal texts, but with short_inside, as the query and the pipeline ask for, longer documents hold items of that size too; a null doc_id or item_id is reported under null, and documents without doc_id are not removed; rows
 with one id are judged together; an empty table gives an empty result; extra columns do not matter.
 """
 
@@ -53,8 +53,13 @@ def _places(tokens: str) -> Column:
     return F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.greatest(F.size(tokens) - (WINDOW - 1), F.lit(1))))
 
 
-def _hashes(df: DataFrame, key: str, place: bool = False) -> DataFrame:
-    """(id, key), or (id, at, key): hashes of raw windows, and of template windows with a placeholder and two literals."""
+def _inner(tokens: str, k: int) -> Column:
+    """1, 2, … of the windows of k < WINDOW tokens in a longer text; none in others, of which the whole is a window already."""
+    return F.when(F.size(tokens) > k, F.sequence(F.lit(1), F.size(tokens) - (k - 1))).otherwise(F.array().cast("array<int>"))
+
+
+def _hashes(df: DataFrame, key: str, place: bool = False, widths: tuple[int, ...] = ()) -> DataFrame:
+    """(id, key), or (id, at, key): hashes of raw windows, and of template windows with a placeholder and two literals; widths: of windows below WINDOW to add."""
     words = _words(df, key)
     raw = words.select("id", "words", F.transform("words", lambda t: F.xxhash64(F.lower(t))).alias("raw"))
     slots = raw.select("id", "raw", F.transform("words", lambda t: F.xxhash64(_form(t, F.lit("")))).alias("form"))
@@ -64,14 +69,21 @@ def _hashes(df: DataFrame, key: str, place: bool = False) -> DataFrame:
     pick = (lambda i, k: F.struct(i.alias("at"), k.alias("key"))) if place else (lambda i, k: k)
     whole = F.transform(_places("raw"), lambda i: pick(i, F.xxhash64(F.slice("raw", i, WINDOW))))
     other = F.transform(F.filter(_places("form"), kept), lambda i: pick(i, F.xxhash64(F.lit("template"), F.slice("form", i, WINDOW))))
-    keys = slots.select("id", F.concat(whole, other).alias("keys"))
+
+    def inner(k: int) -> Column:
+        fits = lambda i: sum((F.get("held", i + j) for j in range(k - 1)), F.get("held", i - 1)).between(1, k - 2)
+        raw_keys = F.transform(_inner("raw", k), lambda i: pick(i, F.xxhash64(F.slice("raw", i, k))))
+        return F.concat(raw_keys, F.transform(F.filter(_inner("form", k), fits), lambda i: pick(i, F.xxhash64(F.lit("template"), F.slice("form", i, k)))))
+
+    keys = slots.select("id", F.concat(whole, other, *map(inner, widths)).alias("keys"))
     return keys.select("id", F.inline_outer("keys")).where("key is not null") if place else keys.select("id", F.explode_outer("keys").alias("key")).where("key is not null")
 
 
-def _windows(df: DataFrame, key: str) -> DataFrame:
+def _windows(df: DataFrame, key: str, widths: tuple[int, ...] = ()) -> DataFrame:
     """(id, at, kind, form, raw): the same windows with their tokens; only for what is known to be a candidate."""
     words = _words(df, key).select("id", F.transform("words", F.lower).alias("raw"), F.transform("words", lambda t: _form(t, t)).alias("tmpl"))
-    made = F.transform(_places("raw"), lambda i: F.struct(i.alias("at"), F.slice("raw", i, WINDOW).alias("raw"), F.slice("tmpl", i, WINDOW).alias("tmpl")))
+    cut = lambda at, k: F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("raw", i, k).alias("raw"), F.slice("tmpl", i, k).alias("tmpl")))
+    made = F.concat(cut(_places("raw"), WINDOW), *[cut(_inner("raw", k), k) for k in widths])
     w = words.select("id", F.inline_outer(made)).where("at is not null")
     literals = F.size(F.filter("tmpl", lambda t: ~t.isin(*PLACEHOLDERS)))
     two = F.array(F.struct(F.lit("raw").alias("kind"), F.col("raw").alias("form")), F.struct(F.when(literals.between(2, F.size("tmpl") - 1), "template").alias("kind"), F.col("tmpl").alias("form")))
@@ -100,14 +112,16 @@ def _covered(docs: DataFrame, benchmark: DataFrame, hits: DataFrame) -> DataFram
     return places.where((F.lit(100) * covered >= F.lit(PERCENT) * F.col("size")) | F.col("long")).select("id", "item", F.lit(True).alias("sure"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_found, n_exact): pairs of a document and an item of which it holds PERCENT of the windows or of the tokens."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, short_inside: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_found, n_exact): pairs of a document and an item of which it holds PERCENT of the windows or of the tokens.
+    short_inside: items of fewer than WINDOW tokens are looked for inside documents too, in windows of as many tokens as such items have."""
+    widths = tuple(sorted(r.k for r in _words(benchmark, "item_id").select(F.size("words").alias("k")).where(f"k between 1 and {WINDOW - 1}").distinct().collect())) if short_inside else ()
     sizes = _words(benchmark, "item_id").groupBy("id").agg(F.max(F.size(_places("words"))).cast("long").alias("n")).select(F.col("id").alias("item"), "n")
     keys = stored(_hashes(benchmark, "item_id", place=True).select(F.col("id").alias("item"), F.col("at").alias("place"), "key").distinct(), "benchmark")
     if keys.count() <= BROADCAST_WINDOWS:
         keys = F.broadcast(keys)
     enough = F.lit(100) * F.col("found") >= F.lit(PERCENT) * F.col("n")
-    hits = _hashes(docs, "doc_id", place=True).join(keys, "key").groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
+    hits = _hashes(docs, "doc_id", place=True, widths=widths).join(keys, "key").groupBy("id", "item", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
     hits = stored(hits, "hits")
     found = hits.select("id", "item", F.explode("places").alias("place")).groupBy("id", "item").agg(F.count_distinct("place").alias("found"))
     windows = _with(found, sizes).where(enough).select("id", "item", F.lit(False).alias("sure"))
@@ -115,7 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ids = candidates.select(F.col("id").alias("__id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    there = _windows(texts, "doc_id")
+    there = _windows(texts, "doc_id", widths)
     mine = _windows(benchmark, "item_id").select(F.col("id").alias("item"), F.col("at").alias("place"), "kind", "form", F.col("raw").alias("was"))
     pairs = candidates.select(F.col("id").alias("__id"), F.col("item").alias("__item"), "sure")
     met = there.join(mine, ["kind", "form"]).join(pairs, F.col("id").eqNullSafe(F.col("__id")) & F.col("item").eqNullSafe(F.col("__item")), "left_semi")
@@ -139,7 +153,7 @@ def _with(found: DataFrame, sizes: DataFrame) -> DataFrame:
     return found.join(s, F.col("item").eqNullSafe(F.col("__of"))).drop("__of")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, short_inside: bool = False) -> DataFrame:
     """The documents, with all their columns, that no item contaminates."""
-    gone = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
+    gone = stored(contaminated(docs, benchmark, short_inside).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

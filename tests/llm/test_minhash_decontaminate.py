@@ -187,3 +187,13 @@ def test_items_with_edits(spark):
         (4, "a farmer sells all of the milk from the cows and then asks how many of them are left"),
     ]
     assert set(pairs(spark, texts, [(1, FARMER), (2, LONG)])[0]) == {(0, 1), (1, 1), (2, 2)}
+
+
+def test_short_items_inside_texts(spark):
+    items = [(1, "What is 7 + 5?"), (2, "今日は、雨です。"), (3, "Bo ate 3 pears"), (4, "owl")]
+    texts = [(0, "We ask: what is 7 + 5? Say it."), (1, "What is 7 + 6?"), (2, "朝、今日は、雨です。明日は"), (3, "so Al ate 9 pears"), (4, "an owl."), (5, "owls and"), (6, "owl")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_found) for r in decontaminate.contaminated(d, b, short_inside=True).collect()}
+    assert got == {k: (1, 1) for k in [(0, 1), (2, 2), (3, 3), (4, 4), (6, 4)]}
+    assert [r.doc_id for r in decontaminate.decontaminate(d, b, short_inside=True).orderBy("doc_id").collect()] == [1, 5]
