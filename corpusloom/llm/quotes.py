@@ -4,7 +4,8 @@ A line's quote level is the number of ">" that it begins with. Lines of one leve
 into sentences; a sentence is normalised (lower case, letters and digits only) and hashed. A message's own sentences name it
 as their origin; of equal sentences in one conversation the first message is the origin. A message replies to the earlier
 message of its conversation with which its first-level quotes share most words (at equal counts the later one); where there
-is none, quotes may link it to the first message of another conversation that has the sentence. Replies follow what they
+is none, quotes may link it to the first message of another conversation that has the sentence. Where no first-level quote is
+found at all, the next level that is found stands in, so that a message hangs on its nearest known ancestor. Replies follow what they
 reply to: a thread begins with a message that replies to none, threads stand in the order of their beginnings, and messages
 in a thread by turn. Quotes, and lines that only say who wrote what follows, are taken out of the text.
 
@@ -50,16 +51,17 @@ def _sentences(lines: DataFrame) -> DataFrame:
 
 
 def _replies(sentences: DataFrame) -> DataFrame:
-    """(conv_id, turn, to_conv, to_turn): one row for each message whose quotes are found."""
-    own = sentences.where("level = 0")
-    quotes = sentences.where("level = 1").groupBy("conv_id", "turn", "key").agg(F.max("words").alias("words"))
+    """(conv_id, turn, to_conv, to_turn): one row for each message whose quotes are found, at the shallowest level that is found."""
+    own, at_level = sentences.where("level = 0"), ["conv_id", "turn", "level"]
+    quotes = sentences.where("level >= 1").groupBy(*at_level, "key").agg(F.max("words").alias("words"))
     first = own.groupBy("conv_id", "key").agg(F.min("turn").alias("to_turn"))
-    inside = quotes.join(first, ["conv_id", "key"]).where("to_turn < turn").groupBy("conv_id", "turn", "to_turn").agg(F.sum("words").alias("w"))
-    inside = inside.groupBy("conv_id", "turn").agg(F.max(F.struct("w", "to_turn")).alias("best")).select("conv_id", "turn", F.col("conv_id").alias("to_conv"), "best.to_turn")
+    inside = quotes.join(first, ["conv_id", "key"]).where("to_turn < turn").groupBy(*at_level, "to_turn").agg(F.sum("words").alias("w"))
+    inside = inside.groupBy(*at_level).agg(F.max(F.struct("w", "to_turn")).alias("best")).select(*at_level, F.col("conv_id").alias("to_conv"), "best.to_turn")
     anywhere = own.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("at"))
-    left = quotes.join(inside.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti").join(anywhere, "key").where(F.col("at.conv_id") != F.col("conv_id"))
-    outside = left.groupBy("conv_id", "turn", "at").agg(F.sum("words").alias("w")).groupBy("conv_id", "turn").agg(F.max_by("at", F.struct("w", "at")).alias("at"))
-    return inside.union(outside.select("conv_id", "turn", "at.conv_id", "at.turn"))
+    left = quotes.join(inside.select(*at_level), at_level, "left_anti").join(anywhere, "key").where(F.col("at.conv_id") != F.col("conv_id"))
+    outside = left.groupBy(*at_level, "at").agg(F.sum("words").alias("w")).groupBy(*at_level).agg(F.max_by("at", F.struct("w", "at")).alias("at"))
+    found = inside.union(outside.select(*at_level, "at.conv_id", "at.turn"))
+    return found.groupBy("conv_id", "turn").agg(F.min_by(F.struct("to_conv", "to_turn"), "level").alias("to")).select("conv_id", "turn", "to.to_conv", "to.to_turn")
 
 
 def _roots(replies: DataFrame) -> DataFrame:

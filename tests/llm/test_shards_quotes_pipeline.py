@@ -112,6 +112,20 @@ def test_quotes_against_sql(spark):
     assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, want))
 
 
+def test_deeper_quotes(spark):
+    rows = [
+        (1, 0, "user", "The first words here."),
+        (1, 1, "user", "Another message of the talk."),
+        (1, 2, "user", ">> The first words here.\nOnly deep quotes."),
+        (1, 3, "user", ">> Another message of the talk.\n> Lost words of nobody.\nUnknown above."),
+        (1, 4, "user", ">> The first words here.\n> Another message of the talk.\nBoth are known."),
+        (2, 0, "user", ">>> Another message of the talk.\nFrom afar."),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.reply_ordered(talk(spark, rows)).collect()}
+    assert [got[1, k].reply_to for k in range(5)] == [None, None, 0, 1, 1] and [got[1, k].root for k in range(5)] == [0, 1, 0, 1, 1]
+    assert (got[2, 0].linked_conv, got[2, 0].linked_turn, got[2, 0].reply_to) == (1, 1, None)
+
+
 def test_long_reply_chain(spark):
     rows = [(1, i, "user", (f"> message number {i - 1} is here.\n" if i else "") + f"message number {i} is here.") for i in range(70)]
     got = quotes.reply_ordered(talk(spark, rows)).collect()
