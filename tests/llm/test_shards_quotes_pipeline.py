@@ -166,6 +166,15 @@ def test_pipeline(spark, tmp_path):
         assert (stage.columns == docs.columns) == (k < 4)
 
 
+def test_encoding_is_decoded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "plain é 日本 text", "en", "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0)], DDL)
+    assert {r.doc_id: len(r.ids) > 0 for r in corpus_pipeline.encode(spark, docs, "").collect()} == {1: True, 2: False, 3: False}
+    whole = corpus_pipeline.encode_documents
+    monkeypatch.setattr(corpus_pipeline, "encode_documents", lambda *a: whole(*a).selectExpr("* except (ids)", "slice(ids, 1, 1) ids"))
+    with pytest.raises(Exception, match="do not decode"):
+        corpus_pipeline.encode(spark, docs, "").collect()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries(spark, name):
