@@ -1,9 +1,13 @@
 """BPE and token files against the public libraries."""
 
+import ast
 import base64
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -91,10 +95,12 @@ def test_blocks(n):
     ids = np.minimum(rng.geometric(0.05, n), 300).astype(np.uint32)
     coder = rans.Coder(rans.quantised(np.bincount(ids, minlength=400)))
     b = coder.encode(ids)
-    assert (coder.decode(b["raw"], n, b["states"]) == ids).all()
-    half = b["half"] * rans.LANES
-    assert (coder.decode(b["raw"], n, b["half_states"], b["half"], b["half_word"]) == ids[half:]).all()
-    assert (coder.decode(b["raw"], n, b["states"], 0, 0, b["half"]) == ids[:half]).all()
+    points = b["points"]
+    assert (coder.decode(b["raw"], n, points[0][2]) == ids).all() and (coder.decode_parts(b["raw"], n, points) == ids).all()
+    for k, (step, word, states) in enumerate(points):
+        last = points[k + 1][0] if k + 1 < len(points) else None
+        part = ids[step * rans.LANES : None if last is None else last * rans.LANES]
+        assert (coder.decode(b["raw"], n, states, step, word, last) == part).all()
 
 
 def test_frequencies():
@@ -107,19 +113,21 @@ def test_one_id_only():
     ids = np.full(5000, 3, np.uint32)
     coder = rans.Coder(rans.quantised(np.bincount(ids)))
     b = coder.encode(ids)
-    assert (coder.decode(b["raw"], 5000, b["states"]) == ids).all()
+    assert (coder.decode_parts(b["raw"], 5000, b["points"]) == ids).all()
 
 
 def test_files(tmp_path):
     rng = np.random.default_rng(0)
-    many = [(i, rng.integers(0, 50, n).astype(np.uint32)) for i, n in enumerate((0, 1, 300_000, 5, 0, 600_000, 7))]
+    many = [(i, rng.integers(0, 50, n).astype(np.uint32)) for i, n in enumerate((0, 1, 300_000, 5, 0, 1_300_000, 7))]
     coder = rans.Coder(rans.quantised(np.bincount(np.concatenate([x for _, x in many]))))
     with open(tmp_path / "f", "wb") as out:
         rans.write_file(out, coder, iter(many))
     content = (tmp_path / "f").read_bytes()
     f = rans.TokenFile(content, coder)
     assert all(i == j and (a == b).all() for (i, a), (j, b) in zip(many, f.documents(), strict=True))
-    assert (np.concatenate([f.block(0, 0), f.block(0, 1)]) == f.block(0)).all()
+    first = next(f.sections())
+    assert (np.concatenate([first.block(0, k) for k in range(rans.POINTS)]) == first.block(0)).all()
+    assert max(len(s.blocks) for s in f.sections()) > 3 and sum(len(s.docs) for s in f.sections()) == len(many)
     bad = bytearray(content)
     bad[1000] ^= 1
     with pytest.raises(ValueError, match="damaged"):
@@ -130,12 +138,49 @@ def test_files(tmp_path):
         rans.TokenFile(content[:-3], coder)
 
 
+def test_table_beside_the_files():
+    coder = rans.Coder(rans.quantised(np.array([5, 0, 1, 9])))
+    again = rans.Coder.unpacked(coder.packed())
+    assert again.table == coder.table and (again.freq == coder.freq).all()
+    with pytest.raises(ValueError, match="not a frequency table"):
+        rans.Coder.unpacked(b"RANSnone" + coder.packed()[8:])
+    with pytest.raises(ValueError, match="damaged"):
+        rans.Coder.unpacked(coder.packed()[:8] + b"\0" * 4 + coder.packed()[12:])
+
+
+def test_files_are_read_in_a_new_process(spark, tmp_path):
+    """Nothing but the folder is needed."""
+    ids = spark.createDataFrame([(i, 3, np.array([i, 7, 2], "<u2").tobytes()) for i in range(200)], "doc_id long, n long, ids binary")
+    rans.write_files(ids, "<u2", rans.quantised(rans.counted(ids, "<u2", 300)), f"file://{tmp_path}", 3)
+    code = f"""
+import glob
+from corpusloom.llm.rans import Coder, TokenFile
+coder = Coder.unpacked(open("{tmp_path}/table.freq", "rb").read())
+print(sorted((i, x.tolist()) for p in glob.glob("{tmp_path}/*.rans") for i, x in TokenFile(open(p, "rb").read(), coder).documents()))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(rans.__file__).parents[2]).stdout
+    assert ast.literal_eval(out) == [(i, [i, 7, 2]) for i in range(200)]
+    got = rans.read_files(spark, f"file://{tmp_path}").orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(i, 3 * i, 3) for i in range(200)]
+
+
+def test_another_tokenizer_goes_to_the_library():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")  # keeps white space and case
+    library, t = Tokenizer.from_file(path), rans.WordTokenizer(path)
+    texts = [x or "" for x in TEXTS] + fuzz(100, 6)
+    assert not t.by_words
+    for text, raw in zip(texts, t.encode_batch(texts), strict=True):
+        assert np.frombuffer(raw, t.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_words_are_the_library_s():
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
     library, t = Tokenizer.from_file(path), rans.word_tokenizer(path)
-    texts = [x or "" for x in TEXTS] + fuzz(1500, 5) + ["†", "a†b †", "ABC.,;", "É.", "x\x1cy"]
+    texts = [x or "" for x in TEXTS] + fuzz(1500, 5) + ["†", "a†b †", "ABC.,;", "É.", "x\x1cy", "Ünïcödé ÄÖÜß. ªº µ´ ÿ; Āb é.; tschüß! Ð×÷"]
     for text, raw in zip(texts, t.encode_batch(texts), strict=True):
         assert np.frombuffer(raw, t.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
