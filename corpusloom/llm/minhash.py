@@ -4,19 +4,20 @@ Of each permutation both the minimum and the maximum over a document's shingles
 signature values for half the hash evaluations; both ends agree with probability J each. A band takes both ends of three
 permutations. At similarity 0.8 all 40 bands miss with probability (1 - 0.8**6)**40 = 5e-6.
 
-1. Documents with equal shingle sets become one class, named by its smallest doc_id.
+1. Documents with equal shingle sets become one class, numbered by a digest of the set.
 2. Classes that share a band's bucket are tied to the bucket's smallest class; components of these ties are candidates.
-3. Within a candidate component all pairs are considered in memory, in blocks of bounded weight that are paired with
-   each other in separate tasks: a pair goes on if its sizes and its signatures allow the similarity (the estimate must
-   be within six standard deviations), and is confirmed on the full sets. Pairs that are connected already are skipped,
-   and only the links of a spanning forest leave the task.
-4. Components of the links give component_id.
+3. Within a candidate component all pairs are considered in memory, in blocks of bounded weight and number that are paired
+   with each other in separate tasks: a pair goes on if its sizes and its signatures allow the similarity (the estimate must
+   be within six standard deviations, where both ends of a permutation are taken as one draw, for they may go together), and is
+   confirmed on the full sets. Pairs that are connected already are skipped, and only the links of a spanning forest leave the task.
+4. Classes that share a doc_id are linked as well. Components of the links, by their smallest doc_id, give component_id.
 
-Sets are compared by 64-bit hashes of shingles.
+Sets are compared by 64-bit hashes of shingles, and classes are told apart by 64 bits of their digests.
 
 Defined cases: a null or empty text has the empty set and is linked with nothing; with fewer words than a shingle has,
 the whole sequence is the one shingle; a null doc_id is linked with nothing and its component_id and kept are null;
-rows with the same doc_id are one document; extra columns do not matter.
+rows with the same doc_id are one document, whatever texts they have, so each has the same component_id, and what is linked
+with one of the texts is linked with the document; n_shingles is that of the row's text; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from corpusloom.llm.components import connected_components
 
 PERMUTATIONS, BAND = 120, 3
 VALUES = 2 * PERMUTATIONS
-#: Shingles in a block of a candidate component, about.
-BLOCK_SHINGLES = 1_000_000
+#: Shingles, and classes, in a block of a candidate component, about.
+BLOCK_SHINGLES, BLOCK_CLASSES = 1_000_000, 512
 #: Bits of the map of candidate documents, which is broadcast: 4 MB at any size of the corpus.
 MAP_BITS = 1 << 25
 _WORDS_KEPT = 200_000
@@ -106,8 +107,13 @@ class MinMax:
         return ((ends.reshape(-1) * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
+def _number(shingles: np.ndarray) -> int:
+    """The class of all documents with these shingles."""
+    return int.from_bytes(xxhash.xxh3_128_digest(shingles.tobytes())[:8], "little", signed=True)
+
+
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, same, bands, sig): set size, a 128-bit digest of the set, bucket keys and signature."""
+    """(doc_id, n, same, bands, sig): set size, number of the set's class, bucket keys and signature."""
 
     def start():
         shingler, minmax = Shingler(words), MinMax()
@@ -122,14 +128,14 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
                         out[k].append(None)
                     continue
                 ends = minmax.ends(s)
-                out["same"].append(xxhash.xxh3_128_digest(s.tobytes()))
+                out["same"].append(_number(s))
                 out["bands"].append(minmax.bands(ends))
                 out["sig"].append(minmax.signature(ends))
             return out
 
         return batch
 
-    return map_rows(bytes_text(docs), "doc_id long, n long, same binary, bands array<long>, sig binary", start)
+    return map_rows(bytes_text(docs), "doc_id long, n long, same long, bands array<long>, sig binary", start)
 
 
 def _bit(column: str):
@@ -147,7 +153,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents whose bit is set in the map of ids: all of ids, and a few more."""
+    """(id, same, set) of the documents whose bit is set in the map of ids: all of ids, and a few more; same is the set's class."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
     source = bytes_text(docs).where("doc_id is not null").withColumn("h", _bit("doc_id"))
     source = source.withColumn("k", F.bitmap_bucket_number("h")).withColumn("p", F.bitmap_bit_position("h"))
@@ -156,16 +162,18 @@ def _sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
         shingler, bits = Shingler(words), shared.value
 
         def batch(rows):
-            ids, sets = [], []
+            ids, same, sets = [], [], []
             for i, text, k, p in zip(rows["doc_id"], rows["text"], rows["k"], rows["p"], strict=True):
                 if bits[(k - 1) * 4096 + p // 8] >> (p % 8) & 1:
+                    got = shingler(text)
                     ids.append(i)
-                    sets.append(shingler(text).tobytes())
-            return {"id": ids, "set": sets}
+                    same.append(_number(got))
+                    sets.append(got.tobytes())
+            return {"id": ids, "same": same, "set": sets}
 
         return batch
 
-    return map_rows(source, "id long, set binary", start)
+    return map_rows(source, "id long, same long, set binary", start)
 
 
 class _Forest(dict):
@@ -194,7 +202,7 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], sigs: np.ndarray, per
     begin = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(len(vocabulary), bool)
     p = percent / 100
-    least = VALUES * p - 6 * (VALUES * p * (1 - p)) ** 0.5
+    least = VALUES * p - 6 * 2 * (PERMUTATIONS * p * (1 - p)) ** 0.5
     forest, root = _Forest(), np.arange(n)
     links = []
     for i in range(n - 1):
@@ -246,24 +254,34 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept."""
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
     profiles = stored(_profiles(docs, words), "minmax")
     known = profiles.where("same is not null and doc_id is not null")
     classes = stored(known.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
-    buckets = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("bucket", "hub")
-    ties = buckets.join(joined_anew(shared, "bucket"), "bucket").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    candidates = stored(connected_components(ties), "candidates")
-
-    weighed = candidates.join(classes.select("id", "n", "sig"), "id")
-    blocks = weighed.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = weighed.join(joined_anew(blocks, "component"), "component").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.col("component"), F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
-    members = placed.join(_sets(docs, words, candidates), "id").select("id", "set", "sig", F.explode(pairs).alias("g"))
-    components = connected_components(_links(members.select(F.xxhash64("g.component", "g.i", "g.j").alias("g"), "id", "set", "sig"), percent))
-
-    named = classes.select("same", "id").join(components, "id", "left").select("same", F.coalesce("component", "id").alias("component_id"))
-    out = profiles.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(named, "same", "left")
+    buckets = classes.select("same", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("same").alias("hub"), F.max("same").alias("top")).where("hub < top").select("bucket", "hub")
+    ties = buckets.join(joined_anew(shared, "bucket"), "bucket").where("same <> hub").select(F.col("same").alias("a"), F.col("hub").alias("b"))
+    candidates = stored(connected_components(ties), "candidates").withColumnRenamed("id", "same")
+
+    weighed = candidates.join(classes.select("same", "id", "n", "sig"), "same")
+    parts = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_CLASSES))).cast("int")
+    blocks = weighed.groupBy("component").agg(parts.alias("blocks"))
+    placed = weighed.join(joined_anew(blocks, "component"), "component").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "same"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("block")) | (F.col("blocks") == 1))  # two blocks hold the pairs of each as well
+    pairs = F.transform(others, lambda o: F.struct(F.col("component"), F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
+    members = placed.join(_sets(docs, words, weighed.select("id")).dropDuplicates(["id", "same"]), ["id", "same"]).select("same", "set", "sig", F.explode(pairs).alias("g"))
+    links = _links(members.select(F.xxhash64("g.component", "g.i", "g.j").alias("g"), F.col("same").alias("id"), "set", "sig"), percent)
+
+    repeated = profiles.where("doc_id is not null").groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high"), F.bool_or(F.col("same").isNull()).alias("hole"))
+    repeated = stored(repeated.where("low < high or (hole and low is not null)").select("doc_id", "low"), "repeated")  # documents with several texts
+    shared_ids = known.select("doc_id", "same").join(repeated, "doc_id").where("same > low").select(F.col("same").alias("a"), F.col("low").alias("b"))
+    components = connected_components(links.union(shared_ids))
+
+    named = classes.select("same", "id").join(components.withColumnRenamed("id", "same"), "same", "left").withColumn("component", F.coalesce("component", "same"))
+    lowest = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = named.join(joined_anew(lowest, "component"), "component").select("same", "component_id")
+    own = profiles.select("doc_id", F.col("n").alias("n_shingles"), "same").join(repeated, "doc_id", "left")
+    out = own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("same", "low")).alias("same")).join(named, "same", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

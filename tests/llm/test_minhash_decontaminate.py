@@ -69,9 +69,10 @@ def test_components_are_exact(spark, words):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, c in want.items() if i == c}) and kept.columns == docs(spark, []).columns
 
 
-def test_blocks_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [("BLOCK_SHINGLES", 300), ("BLOCK_CLASSES", 9)])
+def test_blocks_lose_nothing(spark, monkeypatch, limit):
     """With tiny blocks a group is dealt over many tasks, and the result is the same."""
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(minhash, *limit)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, mutated(rng, base, rng.randint(0, 7))) for i in range(80)]
@@ -87,6 +88,15 @@ def test_edges(spark):
     assert sorted((r.doc_id for r in minhash.near_dedup(docs(spark, rows), 2, 80).collect()), key=str) == [-3, 5, 5, None]
 
 
+def test_rows_of_one_document(spark):
+    """Rows that share a doc_id are one document, so their texts' groups are one."""
+    a, b, c = ("all of this is text number one", "quite another story of the second kind", "nothing here is like the rest")
+    rows = [(0, b), (1, a), (1, b), (2, a), (3, c), (4, None), (4, c), (7, ""), (7, "")]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, rows), 2, 80).collect()}
+    assert got == {(0, 6): (0, True), (1, 6): (0, False), (2, 6): (0, False), (3, 5): (3, True), (4, 0): (3, False), (4, 5): (3, False), (7, 0): (7, True)}
+    assert sorted(r.doc_id for r in minhash.near_dedup(docs(spark, rows), 2, 80).collect()) == [0, 3, 7, 7]
+
+
 def test_ends_agree_as_often_as_sets_are_alike():
     """Min-max hashing is unbiased: the share of equal ends is near the similarity."""
     rng = np.random.default_rng(0)
