@@ -3,14 +3,21 @@
 Tokens are numbers and runs of letters. A token's raw form is its lower-case text; its template form is <num> for a number,
 <unit> for a unit of measure, <name> for a word with a capital, and the raw form otherwise. Windows of five tokens of the
 documents are joined by hash with those of the benchmark, in raw form and, where they hold a placeholder and two literal
-words at least, in template form. For a document that covers enough of an item, windows are aligned again: in every
-alignment each value of an item's slot must always stand for the same value in the document, or the template windows that
-hold it do not count. A document is contaminated by an item when 80 % of the item's windows are found, raw or consistent.
+words at least, in template form. For a document that covers enough of an item, windows are aligned again. An alignment (shift) is how far
+a window stands in the document from where it stands in the item. Alignments whose shifts follow each other with gaps of at
+most half the item's windows are one occurrence of the item, with words put in or left out. In an occurrence each window of the item
+is taken from the alignment that finds most windows (at equal numbers the first), so that phrases that an item repeats do not
+count twice, and then the slots of all its template windows must agree, over all alignments and both ways: each value of the item
+stands for one value in the document, and no value in the document for two of the item. Template windows that hold a value for which
+this is not so do not count. A document is contaminated by an item when 80 % of the item's windows are found: raw ones
+anywhere, and consistent ones of one occurrence.
 
 It is contaminated as well when 80 % of the item's tokens are covered. For this each alignment in which one window is shared is
-compared token by token: a token is met by itself or, where no value of a slot stands for two in the alignment, by a
-placeholder of its kind; runs of five met tokens, of all alignments together, count; a single run of RUN met tokens is enough for a long item. So neither windows with fewer than two
-literals nor a changed word, which stands in five windows, lose an item. n_windows, n_found and n_exact count windows as before.
+compared token by token: a token is met by itself or by a placeholder of its kind. Runs of five met tokens and more count, of all
+alignments of an occurrence together, the longest first; the slots in what a run adds must agree both ways with each other and with
+those of the runs before it, or only tokens that are met by themselves count in it. A single run of RUN met tokens, if its
+slots agree, is enough for a long item. So neither windows with fewer than two literals nor a changed word, which stands in five
+windows, lose an item. n_windows, n_found and n_exact count windows as before.
 
 Defined cases: null or empty texts have no windows; a text with fewer than five tokens is one window, so that it only
 meets equal texts, but with short_inside, as the query and the pipeline ask for, longer documents hold items of that size too; a null doc_id or item_id is reported under null, and documents without doc_id are not removed; rows
@@ -19,7 +26,7 @@ with one id are judged together; an empty table gives an empty result; extra col
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stored
@@ -30,7 +37,13 @@ RUN = 13
 #: Windows of the benchmark up to which they are broadcast (40 bytes each at most); beyond it the join shuffles.
 BROADCAST_WINDOWS = 500_000
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+"
-UNITS = "kg km cm mm ml kb mb gb mph meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split()
+# Units of measure of the corpus' languages: symbols, English, German, French, Spanish.
+UNITS = (
+    "kg km cm mm ml kb mb gb mph meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees "
+    "gramm kilogramm pfund zoll fuß meile meilen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad "
+    "mètre mètres kilomètre kilomètres gramme grammes kilogramme kilogrammes livre livres pouce pouces seconde secondes heure heures jour jours semaine semaines mois année années centimes pourcent degré degrés "
+    "metro metros kilómetro kilómetros milla millas gramo gramos kilogramo kilogramos kilo kilos libra libras pulgada pulgadas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares céntimo céntimos grado grados"
+).split()
 PLACEHOLDERS = ("<num>", "<unit>", "<name>")
 
 
@@ -90,26 +103,72 @@ def _windows(df: DataFrame, key: str, widths: tuple[int, ...] = ()) -> DataFrame
     return w.select("id", "at", "raw", F.inline_outer(two)).where("kind is not null").select("id", "at", "kind", "form", "raw")
 
 
+def _occurrence(shifts: DataFrame, key: list[str], windows: Column) -> DataFrame:
+    """shifts with occurrence: numbers of the chains of alignments, in the order of their shifts, that no gap of more than half the windows cuts."""
+    rows = Window.partitionBy(*key).orderBy("shift")
+    new = F.when(F.col("shift") - F.lag("shift").over(rows) > F.floor(windows / 2), 1).otherwise(0)
+    return shifts.withColumn("__new", new).withColumn("occurrence", F.sum("__new").over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
+
+
+def _pairs(slots: Column) -> Column:
+    return F.transform(slots, lambda s: F.struct(s["was"].alias("was"), s["raw"].alias("raw")))
+
+
+def _agree(pairs: Column) -> Column:
+    """Whether pairs of an item's value and a document's value are one to one."""
+    n = F.size(F.array_distinct(pairs))
+    return (F.size(F.array_distinct(F.transform(pairs, lambda x: x["was"]))) == n) & (F.size(F.array_distinct(F.transform(pairs, lambda x: x["raw"]))) == n)
+
+
+def _runs(line: Column) -> Column:
+    """Places of the runs of met tokens in a line of 1 and 0."""
+    return F.filter(F.sequence(F.lit(1), F.col("size") - F.col("width") + 1), lambda p: line.substr(p, F.col("width")) == F.repeat(F.lit("1"), F.col("width")))
+
+
+def _covers(places: Column) -> Column:
+    """Whether runs at these places cover PERCENT of the item's tokens."""
+    ordered = F.array_sort(places)
+    steps = F.transform(ordered, lambda p, i: F.least(F.coalesce(F.get(ordered, i + 1) - p, F.col("width")), F.col("width")))
+    return F.lit(100) * F.aggregate(steps, F.lit(0), lambda x, y: x + y) >= F.lit(PERCENT) * F.col("size")
+
+
 def _covered(docs: DataFrame, benchmark: DataFrame, hits: DataFrame) -> DataFrame:
-    """(id, item, sure) of the pairs whose alignments together cover PERCENT of the item's tokens, or one of which has a run of RUN. An alignment (shift) stands on a window that both
+    """(id, item, sure) of the pairs of which an occurrence covers PERCENT of the item's tokens, or one alignment of which has a run of RUN. An alignment (shift) stands on a window that both
     have and is compared token by token over the whole item, so that windows too dense in placeholders for a key count as well."""
     whole = lambda df, key, *names: _words(df, key).select("id", F.transform("words", F.lower).alias(names[0]), F.transform("words", lambda t: _form(t, t)).alias(names[1]))
     items = whole(benchmark, "item_id", "was", "form").select(F.col("id").alias("__of"), "was", "form").distinct()
     at = hits.select(F.col("id").alias("__id"), "item", F.col("shift").cast("int").alias("shift")).join(items, F.col("item").eqNullSafe(F.col("__of")))
     texts = docs.select("doc_id", "text").join(hits.select(F.col("id").alias("__hit")).distinct(), F.col("doc_id").eqNullSafe(F.col("__hit")), "left_semi")
     both = whole(texts, "doc_id", "raw", "tmpl").join(at, F.col("id").eqNullSafe(F.col("__id")))
-    pair = lambda w, i: F.struct(w.alias("was"), F.get("raw", i + F.col("shift")).alias("raw"), (F.get("form", i).isin(*PLACEHOLDERS) & (F.get("form", i) == F.get("tmpl", i + F.col("shift")))).alias("slot"))
-    lined = both.select("id", "item", "was", F.transform("was", pair).alias("pairs"))
-    slots = F.filter("pairs", lambda x: x["slot"])
-    steady = F.size(F.array_distinct(F.transform(slots, lambda x: x["was"]))) == F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["was"], x["raw"]))))
-    lined = lined.withColumn("steady", steady)
-    same = F.transform("pairs", lambda x: F.when((x["was"] == x["raw"]) | (F.col("steady") & x["slot"]), "1").otherwise("0"))
-    lined = lined.select("id", "item", F.xxhash64("was").alias("of"), F.size("was").alias("size"), F.least(F.size("was"), F.lit(WINDOW)).alias("width"), F.array_join(same, "").alias("line"))
-    runs = F.filter(F.sequence(F.lit(1), F.col("size") - F.col("width") + 1), lambda p: F.col("line").substr(p, F.col("width")) == F.repeat(F.lit("1"), F.col("width")))
-    places = lined.select("id", "item", "of", "size", "width", runs.alias("places"), F.col("line").contains("1" * RUN).alias("long")).groupBy("id", "item", "of", "size", "width").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"), F.bool_or("long").alias("long"))
-    steps = F.transform("places", lambda p, i: F.least(F.coalesce(F.get("places", i + 1) - p, F.col("width")), F.col("width")))
-    covered = F.aggregate(steps, F.lit(0), lambda x, y: x + y)
-    return places.where((F.lit(100) * covered >= F.lit(PERCENT) * F.col("size")) | F.col("long")).select("id", "item", F.lit(True).alias("sure"))
+    pair = lambda w, i: F.struct((i + 1).alias("at"), w.alias("was"), F.get("raw", i + F.col("shift")).alias("raw"), (F.get("form", i).isin(*PLACEHOLDERS) & (F.get("form", i) == F.get("tmpl", i + F.col("shift")))).alias("slot"))
+    lined = both.select("id", "item", "was", "shift", F.transform("was", pair).alias("pairs"))
+    line = lambda met: F.array_join(F.transform("pairs", lambda x: F.when(met(x), "1").otherwise("0")), "")
+    slots = F.transform(F.filter("pairs", lambda x: x["slot"]), lambda x: F.struct(x["at"].alias("at"), x["was"].alias("was"), x["raw"].alias("raw")))
+    lined = lined.select("id", "item", "shift", F.xxhash64("was").alias("of"), F.size("was").alias("size"), F.least(F.size("was"), F.lit(WINDOW)).alias("width"), line(lambda x: (x["was"] == x["raw"]) | x["slot"]).alias("full"), line(lambda x: x["was"] == x["raw"]).alias("bare"), slots.alias("slots"))
+    lined = lined.withColumn("places", _runs(F.col("full"))).where(F.size("places") > 0).withColumn("bare_places", _runs(F.col("bare")))
+    key = ["id", "item", "of", "size", "width"]
+    lined = _occurrence(lined, key, F.col("size") - F.col("width") + 1)
+    edges = lambda by: F.filter("places", lambda p: ~F.array_contains("places", p + by))
+    within = lambda at, x: (at >= x["first"]) & (at <= x["last"])
+    inner = lambda x: F.filter("slots", lambda s: (s["at"] >= x["first"]) & (s["at"] < x["last"] + F.col("width")))
+    run = lambda x: F.struct((x["first"] - x["last"]).alias("least"), F.col("shift").alias("shift"), x["first"].alias("first"), x["last"].alias("last"), F.filter("bare_places", lambda p: within(p, x)).alias("bare"), inner(x).alias("slots"))
+    runs = F.transform(F.arrays_zip(edges(-1).alias("first"), edges(1).alias("last")), run)
+    lined = lined.select(*key, "occurrence", F.col("bare").contains("1" * RUN).alias("long"), runs.alias("runs"))
+    alone = F.exists("runs", lambda x: (x["last"] - x["first"] + F.col("width") >= RUN) & _agree(_pairs(x["slots"])))
+    held = lined.groupBy(*key, "occurrence").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.bool_or(F.col("long") | alone).alias("long"))
+    held = held.where(F.col("long") | _covers(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["first"], x["last"]))))))  # no consistency can add to this
+
+    def add(state: Column, x: Column) -> Column:
+        places = F.sequence(x["first"], x["last"])
+        new = F.array_except(places, state["places"])
+        used = F.filter(x["slots"], lambda s: F.exists(new, lambda p: (s["at"] >= p) & (s["at"] < p + F.col("width"))))
+        pool = F.array_union(state["pairs"], _pairs(used))
+        fits = _agree(pool)
+        return F.struct(F.array_union(state["places"], F.when(fits, places).otherwise(x["bare"])).alias("places"), F.when(fits, pool).otherwise(state["pairs"]).alias("pairs"))
+
+    nothing = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast("array<struct<was:string,raw:string>>").alias("pairs"))
+    places = held.withColumn("places", F.aggregate(F.array_sort("runs"), nothing, add, lambda x: x["places"]))
+    return places.where(F.col("long") | _covers(F.col("places"))).select("id", "item", F.lit(True).alias("sure"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, short_inside: bool = False) -> DataFrame:
@@ -130,18 +189,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, short_inside: bool = Fal
     ids = candidates.select(F.col("id").alias("__id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     there = _windows(texts, "doc_id", widths)
-    mine = _windows(benchmark, "item_id").select(F.col("id").alias("item"), F.col("at").alias("place"), "kind", "form", F.col("raw").alias("was"))
+    mine = _windows(benchmark, "item_id").select(F.col("id").alias("__of"), F.col("at").alias("place"), F.col("kind").alias("__kind"), F.col("form").alias("__form"), F.col("raw").alias("was"))
     pairs = candidates.select(F.col("id").alias("__id"), F.col("item").alias("__item"), "sure")
-    met = there.join(mine, ["kind", "form"]).join(pairs, F.col("id").eqNullSafe(F.col("__id")) & F.col("item").eqNullSafe(F.col("__item")), "left_semi")
-    met = stored(met.select("id", "item", "kind", "place", (F.col("at") - F.col("place")).alias("shift"), "form", "was", "raw"), "aligned")
-
+    theirs = there.join(pairs.drop("sure"), F.col("id").eqNullSafe(F.col("__id")))  # a document's windows meet those of its own candidates only
+    met = theirs.join(mine, (F.col("kind") == F.col("__kind")) & (F.col("form") == F.col("__form")) & F.col("__item").eqNullSafe(F.col("__of")))
+    met = stored(met.select("id", F.col("__item").alias("item"), "kind", "place", (F.col("at") - F.col("place")).alias("shift"), "form", "was", "raw").distinct(), "aligned")
+
+    pair = ["id", "item"]
+    places = _with(met.groupBy(*pair, "shift").agg(F.count_distinct("place").alias("places")), sizes)
+    chained = _occurrence(places, pair, F.col("n")).select(*[F.col(k).alias(f"__{k}") for k in (*pair, "shift")], "places", "occurrence")
+    met = met.join(chained, F.col("id").eqNullSafe(F.col("__id")) & F.col("item").eqNullSafe(F.col("__item")) & (F.col("shift") == F.col("__shift")))
+    rank = F.struct(-F.col("places"), F.col("shift"))
+    taken = met.withColumn("best", F.min(rank).over(Window.partitionBy(*pair, "occurrence", "place"))).where(rank == F.col("best"))
     slots = F.filter(F.arrays_zip("form", "was", "raw"), lambda s: s["form"].isin(*PLACEHOLDERS))
-    slot = met.where("kind = 'template'").select("id", "item", "shift", "place", F.inline(slots))
-    of = {k: f"__{k}" for k in ("id", "item", "shift", "was")}
-    bad = slot.groupBy(*of).agg((F.min("raw") != F.max("raw")).alias("bad")).withColumnsRenamed(of)
-    judged = slot.join(bad, [F.col(k).eqNullSafe(F.col(v)) for k, v in of.items()]).groupBy("id", "item", "shift", "place").agg(F.bool_or("bad").alias("bad"))
-    good = met.where("kind = 'raw'").select("id", "item", "place", F.lit(1).alias("exact")).union(judged.where("not bad").select("id", "item", "place", F.lit(0)))
-    out = good.groupBy("id", "item").agg(F.count_distinct("place").alias("found"), F.count_distinct(F.when(F.col("exact") == 1, F.col("place"))).alias("exact"))
+    slot = taken.where("kind = 'template'").select(*pair, "occurrence", "place", F.inline(slots))
+    of = lambda side: Window.partitionBy(*pair, "occurrence", side)
+    two = lambda value, side: F.min(value).over(of(side)) != F.max(value).over(of(side))
+    judged = slot.withColumn("bad", two("raw", "was") | two("was", "raw")).groupBy(*pair, "occurrence", "place").agg(F.bool_or("bad").alias("bad"))
+    good = met.where("kind = 'raw'").select(*pair, F.lit(-1).cast("long").alias("occurrence"), "place").distinct().union(judged.where("not bad").select(*pair, "occurrence", "place"))
+    good = good.withColumn("exact", F.min("occurrence").over(Window.partitionBy(*pair, "place")) == -1)
+    by = good.groupBy(*pair, "occurrence").agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("exact")).alias("more"))
+    exact = F.coalesce(F.sum(F.when(F.col("occurrence") == -1, F.col("all"))), F.lit(0))
+    out = by.groupBy(*pair).agg(exact.alias("exact"), (exact + F.max("more")).alias("found"))
     out = pairs.join(out, F.col("id").eqNullSafe(F.col("__id")) & F.col("item").eqNullSafe(F.col("__item")), "left").select(F.col("__id").alias("id"), F.col("__item").alias("item"), "sure", *[F.coalesce(k, F.lit(0).cast("long")).alias(k) for k in ("found", "exact")])
     out = _with(out, sizes).where(enough | F.col("sure"))
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("n").alias("n_windows"), F.col("found").alias("n_found"), F.col("exact").alias("n_exact"))

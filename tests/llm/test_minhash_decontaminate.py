@@ -165,6 +165,24 @@ def test_decontamination(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([2, 4, 6, 7, 8, None], key=str) and kept.columns == d.columns
 
 
+def test_slots_agree_over_alignments_and_both_ways(spark):
+    texts = [
+        (0, "Carol has 7 apples and gives Dave 5 of them , so now please say how many apples does Carol have left over in the end ?"),  # words put in
+        (1, "Carol has 7 apples and gives Dave 5 of them , so now please say how many apples does Erin have left over in the end ?"),  # Alice is Carol, then Erin
+        (2, "Carol has 7 apples and gives Carol 5 of them , so how many apples does Carol have left over in the end ?"),  # Alice and Bob are both Carol
+        (3, "Carol has 7 apples and gives Dave 5 of them , so how many apples does Erin have left over in the end ? " + "x " * 40 + "Finn has 8 apples and gives Gail 6 of them , so how many apples does Finn have left over in the end ?"),
+        (4, "Alice has 7 apples and gives Dave 5 of them , so how many apples does Alice have left over in the end ?"),
+    ]
+    assert set(pairs(spark, texts, ITEMS[:1])[0]) == {(0, 1), (3, 1), (4, 1)}
+    items = [(1, "Ann Lee , Bob Ray , Cy Fox and Dee Orr weigh 61 , 72 , 58 and 66 kg ; find the mean weight of Ann Lee and Bob Ray .")]
+    texts = [
+        (0, "Eve Poe , Flo Kim , Gus Law and Hal May weigh 50 , 81 , 77 and 93 kg ; find the mean weight of Eve Poe and Flo Kim ."),
+        (1, "Eve Poe , Flo Kim , Gus Law and Hal May weigh 50 , 81 , 77 and 93 kg ; find then please the mean weight of Eve Poe and Flo Kim ."),
+        (2, "Eve Poe , Flo Kim , Eve Poe and Flo Kim weigh 50 , 81 , 50 and 81 kg ; find the mean weight of Gus Law and Hal May ."),
+    ]
+    assert set(pairs(spark, texts, items)[0]) == {(0, 1), (1, 1)}
+
+
 def test_decontamination_without_rows(spark):
     assert pairs(spark, [])[0] == {} and pairs(spark, [(1, "a b c d e f")], [])[0] == {}
     assert pairs(spark, [(1, "a b c d e f")], [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f")])[0].keys() == {(1, 7), (1, None)}
