@@ -80,7 +80,14 @@ def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_minhash": op5_minhash, "op6_compaction": op6_compaction, "op7_hmm": op7_hmm, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_quotes": op10_quotes}
+def quotes_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 over messages that quote each other; the table itself has no quotes."""
+    from corpusloom.llm.quotes import reply_ordered, with_quotes
+
+    return reply_ordered(with_quotes(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {"quotes_linked": quotes_linked, "op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_minhash": op5_minhash, "op6_compaction": op6_compaction, "op7_hmm": op7_hmm, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_quotes": op10_quotes}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -164,14 +171,17 @@ g AS (SELECT conv_id, turn, level, array_to_string(list_transform(range(1, len(c
     WHEN i = 1 OR c[i] = '' OR l[i - 1] <> level THEN chr(10) || c[i] ELSE ' ' || c[i] END), '') AS t FROM c),
 s AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS s
   FROM (SELECT conv_id, turn, level, unnest(regexp_split_to_array(t, '[.!?]+\s+|\n')) AS x FROM g)),
-q AS (SELECT DISTINCT conv_id, turn, s, len(string_split(s, ' ')) AS w FROM s WHERE level = 1 AND s <> ''),
+q AS (SELECT DISTINCT conv_id, turn, level, s, len(string_split(s, ' ')) AS w FROM s WHERE level >= 1 AND s <> ''),
 f AS (SELECT conv_id, s, min(turn) AS t FROM s WHERE level = 0 AND s <> '' GROUP BY ALL),
-v AS (SELECT q.conv_id, q.turn, f.t, sum(w) AS w FROM q JOIN f ON q.conv_id = f.conv_id AND q.s = f.s AND f.t < q.turn GROUP BY ALL),
-i AS (SELECT conv_id, turn, arg_max(t, (w, t)) AS t FROM v GROUP BY ALL),
-a AS (SELECT s, min((conv_id, t)) AS org FROM f GROUP BY s),
-ov AS (SELECT q.conv_id, q.turn, org, sum(w) AS w FROM q JOIN a USING (s) ANTI JOIN i ON q.conv_id = i.conv_id AND q.turn = i.turn WHERE org[1] <> q.conv_id GROUP BY ALL),
-o AS (SELECT conv_id, turn, arg_max(org, (w, org)) AS org FROM ov GROUP BY ALL),
-r AS (SELECT conv_id, turn, conv_id AS lc, t AS lt FROM i UNION ALL SELECT conv_id, turn, org[1], org[2] FROM o),
+v AS (SELECT q.conv_id, q.turn, q.level, f.t, sum(w) AS w FROM q JOIN f ON q.conv_id = f.conv_id AND q.s = f.s AND f.t < q.turn GROUP BY ALL),
+vi AS (SELECT conv_id, turn, level, arg_max(t, (w, t)) AS t FROM v GROUP BY ALL),
+a AS (SELECT s, min((t, conv_id)) AS org FROM f GROUP BY s),
+ov AS (SELECT q.conv_id, q.turn, q.level, org, sum(w) AS w FROM q JOIN a USING (s) ANTI JOIN vi ON q.conv_id = vi.conv_id AND q.turn = vi.turn AND q.level = vi.level
+  WHERE org[2] <> q.conv_id GROUP BY ALL HAVING sum(w) >= 5),
+o AS (SELECT conv_id, turn, level, arg_max(org, (w, org)) AS org FROM ov GROUP BY ALL),
+al AS (SELECT conv_id, turn, level, conv_id AS lc, t AS lt FROM vi UNION ALL SELECT conv_id, turn, level, org[2], org[1] FROM o),
+r AS (SELECT conv_id, turn, arg_min(lc, level) AS lc, arg_min(lt, level) AS lt FROM al GROUP BY ALL),
+i AS (SELECT conv_id, turn, lt AS t FROM r WHERE lc = conv_id),
 up AS (SELECT conv_id, turn, lt AS root, CAST(1 AS BIGINT) AS depth FROM r WHERE lc = conv_id
   UNION ALL SELECT up.conv_id, up.turn, i.t, depth + 1 FROM up JOIN i ON up.conv_id = i.conv_id AND up.root = i.turn),
 top AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM up GROUP BY ALL),
@@ -181,4 +191,14 @@ j AS (SELECT p.conv_id, p.turn, p.role, p.text, CAST(len(list_filter(l, lambda x
 SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY root NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text) - 1 AS position FROM j
 """
 
-SQL = {"op6_compaction": OP6_SQL, "op10_quotes": OP10_SQL, "op4_decontaminate": OP4_SQL.replace("[UNITS]", str(UNITS)), "op5_minhash": OP5_SQL, "op1_quality": OP1_SQL}
+#: The same over messages that quote each other, as with_quotes() has them.
+QUOTED_SQL = OP10_SQL.replace("FROM conversations)", "FROM quoted)", 1).replace("WITH RECURSIVE ", r"""WITH RECURSIVE one AS (SELECT conv_id, turn, min(text) AS t FROM conversations GROUP BY ALL),
+src AS (SELECT c.*, a.t AS t1, b.t AS t2, z.t AS t0 FROM conversations c LEFT JOIN one a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1
+  LEFT JOIN one b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2 LEFT JOIN one z ON z.conv_id = c.conv_id - 1 AND z.turn = 0),
+lead AS (SELECT *, coalesce('> ' || regexp_replace(t1, '\r?\n', chr(10) || '> ', 'g') || chr(10), '') AS q1,
+  coalesce('> > ' || regexp_replace(t2, '\r?\n', chr(10) || '> > ', 'g') || chr(10), '') AS q2, coalesce('> ' || regexp_replace(t0, '\r?\n', chr(10) || '> ', 'g') || chr(10), '') AS q0 FROM src),
+quoted AS (SELECT conv_id, turn, role, CASE WHEN turn = 0 THEN CASE WHEN conv_id % 3 = 0 THEN q0 ELSE '' END
+  WHEN (conv_id + turn) % 4 = 1 THEN q1 WHEN (conv_id + turn) % 4 = 2 THEN q2 || q1 WHEN (conv_id + turn) % 4 = 3 THEN q2 ELSE '' END || coalesce(text, '') AS text FROM lead),
+""", 1)
+
+SQL = {"quotes_linked": QUOTED_SQL, "op6_compaction": OP6_SQL, "op10_quotes": OP10_SQL, "op4_decontaminate": OP4_SQL.replace("[UNITS]", str(UNITS)), "op5_minhash": OP5_SQL, "op1_quality": OP1_SQL}

@@ -119,16 +119,21 @@ def test_empty_and_odd_arrivals(spark):
 TALK = [
     (1, 0, "user", "Hello there my friend. How are you today?"),
     (1, 1, "assistant", "> How are you today?\nI am fine, thanks."),
-    (1, 2, "user", "Something else entirely."),
+    (1, 2, "user", "Something else entirely, said out loud."),
     (1, 3, "user", "On Monday bob wrote:\n> > How are you\n> > today?\n> I am fine,\n> thanks.\nGood to hear."),
     (1, 4, "assistant", "> Good to hear.\nYes."),
     (1, 5, "user", "bob wrote:\nthis is no quote"),
-    (2, 0, "user", "> Something else entirely.\nReplying elsewhere"),
+    (2, 0, "user", "> Something else entirely, said out loud.\nReplying elsewhere"),
     (2, 1, None, None),
     (2, 2, "user", ""),
     (None, 1, "user", "> hi there"),
     (3, None, "user", "x"),
     (2, 1, None, None),
+    (4, 7, "user", "A sentence that stands in two places. Yes."),
+    (6, 1, "user", "A sentence that stands in two places."),
+    (7, 0, "user", "> A sentence that stands\n> in two places.\nWho said it?"),
+    (7, 1, "user", "> Yes.\nToo little to tell whose it is."),
+    (7, 2, "user", ">> Who said it?\n> Unknown.\nDeep in the same talk."),
     (2, 3, "user", ">> nothing\n> Unknown words here.\n"),
 ]
 
@@ -146,6 +151,8 @@ def test_quotes(spark):
     assert got[1, 2].text == "Good to hear." and got[1, 2].quote_levels == 2 and got[1, 2].quoted_lines == 4
     assert got[1, 5].text == "bob wrote:\nthis is no quote"
     assert (got[2, 0].linked_conv, got[2, 0].linked_turn, got[2, 0].reply_to) == (1, 2, None)
+    links = {(r.conv_id, r.turn): (r.linked_conv, r.linked_turn, r.reply_to) for r in got.values()}
+    assert [links[7, k] for k in range(3)] == [(6, 1, None), (None, None, None), (7, 0, 0)]  # the earlier turn, not the smaller conversation
     assert len(got) == len(TALK)
     assert quotes.reply_ordered(talk(spark, [])).collect() == []
     lines = {(r.conv_id, r.position): r.line for r in quotes.chat_lines(talk(spark, TALK)).collect()}
@@ -175,6 +182,19 @@ def test_deeper_quotes(spark):
     assert (got[2, 0].linked_conv, got[2, 0].linked_turn, got[2, 0].reply_to) == (1, 1, None)
 
 
+def test_a_time_tells_the_origin(spark):
+    rows = [(1, 0, "user", "A sentence that stands in two places.", 20), (2, 5, "user", "A sentence that stands in two places.", 10), (3, 0, "user", "> A sentence that stands in two places.", None)]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at int")
+    of = lambda df: next((r.linked_conv, r.linked_turn) for r in df.collect() if r.conv_id == 3)
+    assert of(quotes.reply_ordered(m)) == (1, 0) and of(quotes.reply_ordered(m, "at")) == (2, 5)
+
+
+def test_equal_hashes_are_no_quotes(spark):
+    """A passage counts only if its text is the same, whatever its hash."""
+    s = spark.createDataFrame([(1, 0, 0, 9, "one two", 2), (1, 1, 1, 9, "not the same", 3), (1, 2, 1, 9, "one two", 2)], "conv_id long, turn long, level int, key long, s string, words int")
+    assert [tuple(r) for r in quotes._replies(s).collect()] == [(1, 2, 1, 0)]
+
+
 def test_long_reply_chain(spark):
     rows = [(1, i, "user", (f"> message number {i - 1} is here.\n" if i else "") + f"message number {i} is here.") for i in range(70)]
     got = quotes.reply_ordered(talk(spark, rows)).collect()
