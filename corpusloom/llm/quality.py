@@ -2,7 +2,8 @@
 
 Each rule reads a few features of a text. On a hashed sample of documents the cost of every feature is timed
 and every rule's verdict is noted; rules are then put in the order of rejections, among what earlier rules
-let pass, per second that the rule adds (features that an earlier rule has computed are free). A document
+let pass, per second that the rule adds (features that are known already are free). Where other rules or a report stand
+before the cascade, costs and rejections are those among the documents that these let pass, and what they have computed is free. A document
 leaves the cascade at its first rejection. The verdict does not depend on the order, only the work does.
 
 Defined cases: a null text is empty; an empty text has no words and fails; a null doc_id is kept as null;
@@ -16,6 +17,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from corpusloom.llm.common import bytes_text, map_rows, sample_rows, small_batch
 SAMPLE_DOCUMENTS = 1000
 SYMBOLS = b"[#*$%&|<>]"
 _NO_SYMBOLS = bytes(SYMBOLS[1:-1])
+_CAPITALS, _UPPER = bytes(range(65, 91)), regex.compile(r"\p{Lu}").findall
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -70,7 +73,7 @@ FEATURES: dict[str, Callable[[Text], object]] = {
     "n_lines": lambda t: sum(1 for x in t.raw.split(b"\n") if x.strip(_SPACE)),
     "n_dup_lines": _dup_lines,
     "n_repeat_words": _repeat_words,
-    "n_upper": lambda t: sum(map(str.isupper, t.text)) if t.text.lower() != t.text else 0,
+    "n_upper": lambda t: len(t.raw) - len(t.raw.translate(None, _CAPITALS)) if t.text.isascii() else len(_UPPER(t.text)) if t.text.lower() != t.text else 0,
     "n_alpha": lambda t: sum(map(str.isalpha, t.text)),
 }
 
@@ -98,17 +101,24 @@ MORE_RULES = (
     Rule("letters", ("word_chars", "n_alpha"), lambda t: 100 * t.n_alpha < 50 * t.word_chars),
 )
 RULES = BASE_RULES + MORE_RULES
+#: Features of which the report tells for every document.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE_DOCUMENTS) -> tuple[dict[str, float], list[int]]:
-    """Seconds of each feature and, for each document of the sample, the rejecting rules as bits."""
-    names = list(dict.fromkeys(n for r in rules for n in r.needs))
+def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE_DOCUMENTS, before: tuple[Rule, ...] = (), known: tuple[str, ...] = ()) -> tuple[dict[str, float], list[int]]:
+    """Seconds of each feature and, for each document of the sample that no rule before rejects, the rejecting rules as bits. Features that are
+    known are computed first and cost nothing."""
+    names = [n for n in dict.fromkeys(n for r in rules for n in r.needs) if n not in known]
 
     def start():
         def batch(rows):
             spent, bits = np.zeros(len(names)), []
             for text in rows["text"]:
                 t = Text(text)
+                if any(r.rejects(t) for r in before):
+                    continue
+                for n in known:
+                    getattr(t, n)
                 for i, n in enumerate(names):
                     began = time.perf_counter()
                     getattr(t, n)
@@ -124,7 +134,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMP
 
 
 def ordered(rules: tuple[Rule, ...], spent: dict[str, float], bits: list[int]) -> list[Rule]:
-    """Greedy: next comes the rule with most rejections among the survivors per second that it adds."""
+    """Greedy: next comes the rule with most rejections among the survivors per second that it adds; features without a cost are free."""
     left, out, known, alive = list(range(len(rules))), [], set(), list(bits)
     while left:
         def worth(k: int) -> tuple[float, int]:
@@ -158,12 +168,12 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row for each document: its features, whether the base rules reject it, and the cascade's verdict."""
     more = tuple(r for r in rules if r not in BASE_RULES)
-    cascade = ordered(more, *measure(docs, more))
+    cascade = ordered(more, *measure(docs, more, before=BASE_RULES, known=("words", *REPORTED)))
     base = list(BASE_RULES)
 
     def start():
         def batch(rows):
-            out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")}
+            out: dict[str, list] = {k: [] for k in (*REPORTED, "base_failed", "kept")}
             for text in rows["text"]:
                 t = Text(text)
                 failed = not passes(t, base)

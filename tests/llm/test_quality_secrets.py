@@ -66,6 +66,20 @@ def test_order_is_by_rejections_for_cost():
     assert [r.name for r in quality.ordered(rules, {}, [])] == ["a", "b", "c"]
 
 
+def test_costs_and_rejections_are_those_of_survivors(spark):
+    """Rejected documents and known features weigh nothing in the order."""
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = ["### too short"] * 30 + [good] * 10 + [good.upper()] * 5
+    spent, bits = quality.measure(docs(spark, rows), quality.MORE_RULES, before=quality.BASE_RULES, known=("words", *quality.REPORTED))
+    assert len(bits) == 15 and sum(b != 0 for b in bits) == 5
+    assert set(spent) == {"n_lines", "n_upper", "n_alpha"} and min(spent.values()) > 0
+    assert [r.name for r in quality.ordered(quality.MORE_RULES, spent, bits)][0] == "shouting"
+
+
+def test_upper_case_is_by_category():
+    assert quality.Text("ABc").n_upper == 2 and quality.Text("ÄÉß Ⓐ Ⅷ ǅ").n_upper == 2
+
+
 def test_empty_tables(spark):
     df = docs(spark, [])
     assert quality.quality_report(df).collect() == [] and quality.quality_filter(df).collect() == []
