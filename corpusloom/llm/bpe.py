@@ -7,7 +7,7 @@ bucket), so a pre-token of n bytes takes O(n log n), not O(n²). Ids of short ch
 
 A text is first cut into chunks whose pre-tokens do not depend on what stands around them: before each space where no
 white space follows a space; else runs of characters that are no white space with at most one space before, and the
-pieces of white space between.
+pieces of white space between. That holds for the pattern CUT_PATTERN; with any other pattern a text is one chunk.
 
 Defined cases: a null text is empty; an empty text has no ids; a null doc_id is kept as null; repeated rows are
 encoded one by one; extra columns do not matter.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import SPACE, Memo, bytes_text, map_rows, small_batches
 
+# Fixed value: the pattern of pre-tokens for which texts may be cut into chunks first.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks and pre-tokens up to this length are remembered: in each worker the last so many, and as many older ones.
 REMEMBER_CHARS, REMEMBER, PAIRS = 48, 300_000, 100_000
 
@@ -88,7 +90,8 @@ class Tokenizer:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.single = [ranks.get(bytes([i])) for i in range(256)]
         self.pairs: dict[int, int] = {}  # (left id, right id) in one number: the id of both, or -1
-        self.pretokens = regex.compile(pattern).findall
+        self.cut, found = pattern == CUT_PATTERN, regex.compile(pattern)
+        self.pretokens = found.findall if self.cut else lambda text: [m.group() for m in found.finditer(text)]
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]").findall
         self.space_space = re.compile(f" [{SPACE}]").search
         self.memo = Memo(REMEMBER)
@@ -172,6 +175,8 @@ class Tokenizer:
 
     def encode(self, text: str) -> bytes:
         self.memo.begin()
+        if not self.cut:
+            return b"".join(map(self.piece, self.pretokens(text)))
         chunks = self.chunks(text) if "\0" in text or self.space_space(text) else text.replace(" ", "\0 ").split("\0")
         get, make = self.memo.new.get, self.chunk
         return b"".join([get(c) or make(c) for c in chunks])

@@ -1,9 +1,10 @@
 """Language-model scoring with a hidden Markov model.
 
 A text is its lower-cased (A-Z) words and one end. A silent first state goes to the state of the first token, each state emits
-the class of its token, and the class emits the token. Classes are BUCKETS hash buckets of words, and one of the end, so that
-what the states learn has a fixed size at any size of the vocabulary; within a class tokens have add-one probabilities, with
-one share for all unknown tokens.
+the class of its token, and the class emits the token. Words fall into FINE buckets by their hash. The OWN most frequent
+buckets, each of them hardly more than one frequent word, are classes of their own; the others share TIED classes, and the end
+has one. So what the states learn has a fixed size at any size of the vocabulary; within a class tokens have add-one
+probabilities, with one share for all unknown tokens.
 
 Baum-Welch: in each round, tasks compute expected counts over all training texts, their sums are aggregated, and the model is
 estimated anew. Long texts are cut into segments only to compute many at once: the K x K product of a segment's steps carries
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +34,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import arrow_schema, bytes_text, map_rows, small_batches, stored
 
-STATES, BUCKETS, ROUNDS = 4, 1 << 12, 4
+STATES, ROUNDS = 6, 4
+#: Buckets of words; of them, classes of their own at most; classes of the rest. FINE is a multiple of TIED.
+FINE, OWN, TIED = 1 << 20, 1 << 13, 1 << 12
 #: Tokens, at most, whose counts are sent to every task (16 bytes each).
 COMMON = 1 << 18
 SEGMENT, SEED, SMOOTHING, STAY = 2048, 3, 0.1, 0.9
 #: Tokens that a task computes at once; a longer text is computed by itself.
 AT_ONCE = 600_000
 #: Distinct words that a task knows before it sends their counts on and begins anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 END_KEY = xxhash.xxh3_64_intdigest(b" ") >> 1  # no word has a space
 
 
@@ -48,16 +52,15 @@ def fold(doc_id: int | None, folds: int = 7) -> int:
 
 
 class Words:
-    """Numbers of words, from 1 on, with each word's key (64-bit hash) and class. A task begins anew between batches when it knows WORDS_KEPT."""
+    """Numbers of words, from 1 on, with each word's key (64-bit hash). A task begins anew between batches when it knows WORDS_KEPT."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
-        self.keys, self.classes = [END_KEY], [BUCKETS]  # number 0 is the end
+        self.keys = array("q", [END_KEY])  # number 0 is the end
 
     def make(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         self.keys.append(h - (h >> 63 << 64))  # signed
-        self.classes.append(h % BUCKETS)
         got = self.known[word] = len(self.keys) - 1
         return got
 
@@ -68,6 +71,11 @@ class Words:
         words.append(b"")
         return np.fromiter([get(w) or (make(w) if w else 0) for w in words], np.int64, len(words))
 
+    def fine(self, first: int = 0) -> np.ndarray:
+        """Buckets of the words from a number on; the end's is FINE."""
+        keys = np.array(self.keys[first:], np.int64)
+        return np.where(keys == END_KEY, FINE, keys & (FINE - 1)).astype(np.int32)
+
     def full(self) -> bool:
         return len(self.keys) > WORDS_KEPT
 
@@ -221,21 +229,17 @@ def expected_counts(texts: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.n
 
 
 def read_texts(docs: DataFrame, held_out: int) -> tuple[DataFrame, DataFrame]:
-    """What training takes from the texts, in one reading: (key, class, c) of each distinct training token, and (classes) of each training
-    text as two-byte numbers. Both are in the shared folder."""
-    schema = arrow_schema("key long, class int, n long, classes binary")
+    """What training takes from the texts, in one reading: (key, c) of each distinct training token, and (fine) of each training
+    text, the buckets of its tokens as four-byte numbers. Both are in the shared folder."""
+    ddl = "key long, n long, fine binary"
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(keys=(), classes=(), n=(), seqs=()):
-            pad = len(keys), len(seqs)
-            columns = ([*keys, *[None] * pad[1]], [*classes, *[None] * pad[1]], [*n, *[None] * pad[1]], [*[None] * pad[0], *seqs])
-            return pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(columns, schema, strict=True)], schema=schema)
-
         words, total = Words(), np.zeros(1, np.int64)
 
         def counts():
-            some = np.flatnonzero(total).tolist()
-            return rows([words.keys[i] for i in some], [words.classes[i] for i in some], total[some].tolist())
+            some = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(np.array(words.keys, np.int64)[some]), pa.array(total[some]), pa.nulls(len(some), pa.binary())], schema=schema)
 
         for b in batches:
             texts = [words.of(t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if fold(i) != held_out]
@@ -243,26 +247,45 @@ def read_texts(docs: DataFrame, held_out: int) -> tuple[DataFrame, DataFrame]:
                 continue
             seen = np.bincount(np.concatenate(texts), minlength=len(words.keys))
             seen[: len(total)] += total
-            total, classes = seen, np.array(words.classes, "<u2")
-            yield rows(seqs=[classes[x].tobytes() for x in texts])
+            total, fine = seen, words.fine().astype("<u4")
+            nothing = pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array([fine[x].tobytes() for x in texts], pa.binary())], schema=schema)
             if words.full():
                 yield counts()
                 words, total = Words(), np.zeros(1, np.int64)
         yield counts()
 
     small_batches(docs.sparkSession)
-    found = stored(bytes_text(docs).mapInArrow(run, "key long, class int, n long, classes binary"), "training")
-    counts = found.where("key is not null").groupBy("key").agg(F.first("class").alias("class"), F.sum("n").alias("c"))
-    return stored(counts, "tokens"), found.where("classes is not null").select("classes")
+    found = stored(bytes_text(docs).mapInArrow(run, ddl), "training")
+    counts = found.where("key is not null").groupBy("key").agg(F.sum("n").alias("c"))
+    return stored(counts, "tokens"), found.where("fine is not null").select("fine")
+
+
+def classes_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each bucket (and, at FINE, of the end), and tokens and distinct tokens of each class. At most OWN buckets, TIED + OWN + 1
+    sums and nothing else come to the driver."""
+    fine = F.when(F.col("key") == F.lit(END_KEY), F.lit(FINE)).otherwise(F.col("key").bitwiseAND(F.lit(FINE - 1))).cast("int")
+    buckets = stored(counts.groupBy(fine.alias("key")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")), "buckets")
+    own = sorted(r.key for r in most_frequent(buckets.where(F.col("key") < FINE), OWN).select("key").collect())
+    of = np.concatenate([np.arange(FINE) % TIED, [TIED + len(own)]]).astype(np.int32)
+    of[own] = TIED + np.arange(len(own))
+    spark = counts.sparkSession
+    named = spark.createDataFrame([(k, TIED + i) for i, k in enumerate([*own, FINE])], "key int, own int")
+    sums = buckets.join(F.broadcast(named), "key", "left").groupBy(F.coalesce("own", F.pmod("key", F.lit(TIED))).alias("class")).agg(F.sum("c").alias("c"), F.sum("v").alias("v"))
+    per_class = np.zeros((TIED + len(own) + 1, 2))
+    for r in sums.collect():
+        per_class[r["class"]] = r.c, r.v
+    return of, per_class
 
 
-def baum_welch(texts: DataFrame, per_class: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> Model:
-    """The model after some rounds over all training texts (classes). per_class: tokens and distinct tokens of each class.
-    Each round's sums come to the driver: K * (BUCKETS + K + 2) numbers, whatever the corpus."""
+def baum_welch(texts: DataFrame, of: np.ndarray, per_class: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> Model:
+    """The model after some rounds over all training texts (fine), with the class of each bucket. per_class: tokens and distinct tokens
+    of each class. Each round's sums come to the driver: K * (TIED + OWN + K + 2) numbers, whatever the corpus."""
     unseen, size = per_class[:, 1] + 1, len(per_class)
     model = Model.begin((per_class[:, 0] + unseen) / (per_class[:, 0] + unseen).sum(), states)
     small_batches(texts.sparkSession)
     schema = arrow_schema("at int, x double")
+    table = texts.sparkSession.sparkContext.broadcast(of)
     for _ in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -273,7 +296,7 @@ def baum_welch(texts: DataFrame, per_class: np.ndarray, rounds: int = ROUNDS, st
                 return total + np.concatenate([x.ravel() for x in expected_counts(waiting, shared.value)])
 
             for b in batches:
-                waiting += [np.frombuffer(x, "<u2").astype(np.int64) for x in b.column(0).to_pylist()]
+                waiting += [table.value[np.frombuffer(x, "<u4")] for x in b.column(0).to_pylist()]
                 held = sum(map(len, waiting))
                 if held >= 2 * AT_ONCE:
                     total, waiting, held = add(), [], 0
@@ -308,20 +331,17 @@ def scores(docs: DataFrame, held_out: int = 2, rounds: int = ROUNDS, states: int
     spark = docs.sparkSession
     counts, training = read_texts(docs, held_out)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    per_class = np.zeros((BUCKETS + 1, 2))
-    for r in counts.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
-        per_class[r["class"]] = r.c, r.v
-    model = baum_welch(training, per_class, rounds, states)
+    of, per_class = classes_of(counts)
+    model = baum_welch(training, of, per_class, rounds, states)
     share = np.log10(per_class.sum(1) + 1)  # of a class: its tokens, one more for each, and one for the unknown
     common = most_frequent(counts, COMMON).toPandas().sort_values("key")
-    shared = spark.sparkContext.broadcast((model, share, common["key"].to_numpy(np.int64), np.log10(common["c"].to_numpy(float) + 1)))
+    shared = spark.sparkContext.broadcast((model, of, share, common["key"].to_numpy(np.int64), np.log10(common["c"].to_numpy(float) + 1)))
 
     def start():
-        m, of_class, known, known_logs = shared.value
-        state = {"words": Words(), "logs": np.empty(0)}
+        m, of, of_class, known, known_logs = shared.value
+        state = {"words": Words(), "logs": np.empty(0), "classes": np.empty(0, np.int32)}
 
-        def logs_of(keys: list[int]) -> np.ndarray:
-            k = np.array(keys, np.int64)
+        def logs_of(k: np.ndarray) -> np.ndarray:
             if not len(known):
                 return np.full(len(k), np.nan)
             at = np.minimum(np.searchsorted(known, k), len(known) - 1)
@@ -329,11 +349,12 @@ def scores(docs: DataFrame, held_out: int = 2, rounds: int = ROUNDS, states: int
 
         def batch(rows):
             if state["words"].full():
-                state.update(words=Words(), logs=np.empty(0))
+                state.update(words=Words(), logs=np.empty(0), classes=np.empty(0, np.int32))
             words = state["words"]
             texts = [words.of(text) for text in rows["text"]]
-            log = state["logs"] = np.concatenate([state["logs"], logs_of(words.keys[len(state["logs"]) :])])
-            classes = np.array(words.classes)
+            have = len(state["logs"])
+            log = state["logs"] = np.concatenate([state["logs"], logs_of(np.array(words.keys[have:], np.int64))])
+            classes = state["classes"] = np.concatenate([state["classes"], of[words.fine(have)]])
             out: dict[str, list] = {"doc_id": rows["doc_id"], "held_out": [fold(i) == held_out for i in rows["doc_id"]], "n_tokens": [], "n_common": [], "logs": [], "inner": [], "rare": []}
             for x in texts:
                 a = log[x]

@@ -159,6 +159,16 @@ OP6_SQL = """
 SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256, CAST(strlen(coalesce(text, '')) AS BIGINT) AS text_bytes FROM documents
 """
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS sha FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first,
+  list_transform(range(0, 8), lambda k: CAST('0x' || substr(sha, 5 * k + 1, 5) AS INTEGER)) AS twenty FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((twenty[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f
+"""
+
 OP10_SQL = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS raw FROM conversations),
 lv AS (SELECT *, list_transform(raw, lambda x: length(regexp_replace(regexp_extract(x, '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g'))) AS lv FROM m),
@@ -201,4 +211,4 @@ quoted AS (SELECT conv_id, turn, role, CASE WHEN turn = 0 THEN CASE WHEN conv_id
   WHEN (conv_id + turn) % 4 = 1 THEN q1 WHEN (conv_id + turn) % 4 = 2 THEN q2 || q1 WHEN (conv_id + turn) % 4 = 3 THEN q2 ELSE '' END || coalesce(text, '') AS text FROM lead),
 """, 1)
 
-SQL = {"quotes_linked": QUOTED_SQL, "op6_compaction": OP6_SQL, "op10_quotes": OP10_SQL, "op4_decontaminate": OP4_SQL.replace("[UNITS]", str(UNITS)), "op5_minhash": OP5_SQL, "op1_quality": OP1_SQL}
+SQL = {"op8_warc": OP8_SQL, "quotes_linked": QUOTED_SQL, "op6_compaction": OP6_SQL, "op10_quotes": OP10_SQL, "op4_decontaminate": OP4_SQL.replace("[UNITS]", str(UNITS)), "op5_minhash": OP5_SQL, "op1_quality": OP1_SQL}

@@ -74,6 +74,8 @@ def frame_end(data: memoryview, at: int) -> int:
     """Where the frame at a place ends, from its header and its blocks' headers."""
     if int.from_bytes(data[at : at + 4], "little") != FRAME:
         raise WarcError(f"no frame at byte {at}")
+    if at + 5 > len(data):
+        raise WarcError("a frame is cut off")
     flags = data[at + 4]
     single = flags >> 5 & 1
     size = (single, 2, 4, 8)[flags >> 6]

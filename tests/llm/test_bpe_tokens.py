@@ -79,6 +79,21 @@ def test_report(spark, reference):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+@pytest.mark.parametrize("pattern", [r"[a-z]+ [a-z]+|\S+|\s+", r"(\p{L}+)|[^\p{L}]", r"\p{Lu}?\p{Ll}+|."])
+def test_other_patterns(pattern):
+    """Chunks are cut only for the pattern that allows it; what no pre-token matches is dropped, as by the library."""
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library, t = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), bpe.Tokenizer(ranks, pattern)
+    assert bpe.CUT_PATTERN == P.PATTERN and not t.cut
+    for text in [x or "" for x in TEXTS] + fuzz(200, 8):
+        assert bpe.ids_of(t.encode(text)).tolist() == library.encode_ordinary(text), text
+
+
+def test_decoding_of_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [64])], "doc_id long, ids array<int>")
+    assert {r.doc_id: bytes(r.decoded) for r in bpe.decode_documents(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()} == {1: b"", 2: b"", 3: b"a"}
+
+
 def test_round_trip_of_tables(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     out = bpe.decode_documents(bpe.encode_documents(docs(spark, enumerate(TEXTS)), path, P.PATTERN), path, P.PATTERN).collect()
