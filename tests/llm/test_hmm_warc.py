@@ -93,6 +93,20 @@ def test_scores(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # on held-out texts the states tell more than the counts
 
 
+def test_classes(spark, monkeypatch):
+    """Frequent buckets are classes of their own, others share, the end has one; sums over classes are those of the tokens."""
+    monkeypatch.setattr(hmm, "FINE", 64)
+    monkeypatch.setattr(hmm, "TIED", 8)
+    monkeypatch.setattr(hmm, "OWN", 2)
+    rows = [(5, 1000), (64 + 5, 1), (9, 700), (3, 2), (64 + 3, 1), (11, 4), (-64 + 12, 3), (hmm.END_KEY, 50)]
+    of, per_class = hmm.classes_of(spark.createDataFrame(rows, "key long, c long"))
+    assert of[5] == 8 and of[9] == 9 and of[64] == 10 and of[3] == of[11] == 3 and of[12] == 4 and len(of) == 65
+    assert per_class[8].tolist() == [1001, 2] and per_class[9].tolist() == [700, 1] and per_class[10].tolist() == [50, 1]
+    assert per_class[3].tolist() == [7, 3] and per_class[4].tolist() == [3, 1] and per_class.sum(0).tolist() == [1761, 8]
+    of, per_class = hmm.classes_of(spark.createDataFrame([], "key long, c long"))
+    assert of[64] == 8 and per_class.tolist() == [[0, 0]] * 9
+
+
 def test_scores_without_training(spark):
     assert hmm.scores(docs(spark, []), 2).collect() == []
     only = next(i for i in range(100) if hmm.fold(i) == 2)
