@@ -70,14 +70,19 @@ def is_private(ip: Column) -> Column:
     return F.when(ip.isNull(), True).when(ip.isin(*METADATA_IPS), True).when(v4.isNotNull(), inside).when(mapped != "", True).when(ip.rlike(IPV6), v6).otherwise(True)
 
 
+# The messages.
+NOT_VALID, SCHEME, HOST, ADDRESS = "Not a valid URL", 'Unsupported scheme "%s:" — only http/https are allowed', 'Hostname "%s" is not allowed', "IP address %s is a private/reserved address"
+LOOKUP_FAILED, UNRESOLVED, RESOLVES = 'DNS lookup failed for "%s"', 'Could not resolve hostname "%s"', 'Hostname "%s" resolves to a private/reserved address (%s)'
+
+
 def url_problem(url: Column) -> Column:
     """Why a URL may not be fetched, as far as its text tells; null where it may."""
     scheme, h = urls.protocol(url), urls.host(url)
     return (
-        F.when((scheme == "") | (scheme.isin("http", "https") & (h == "")), "Not a valid URL")
-        .when(~scheme.isin("http", "https"), F.concat(F.lit('Unsupported scheme "'), scheme, F.lit(':" — only http/https are allowed')))
-        .when(h.isin(*BLOCKED_HOSTS) | h.endswith(".local"), F.concat(F.lit('Hostname "'), h, F.lit('" is not allowed')))
-        .when(h.rlike(IPV4) & is_private(h), F.concat(F.lit("IP address "), h, F.lit(" is a private/reserved address")))
+        F.when((scheme == "") | (scheme.isin("http", "https") & (h == "")), NOT_VALID)
+        .when(~scheme.isin("http", "https"), F.format_string(SCHEME, scheme))
+        .when(h.isin(*BLOCKED_HOSTS) | h.endswith(".local"), F.format_string(HOST, h))
+        .when(h.rlike(IPV4) & is_private(h), F.format_string(ADDRESS, h))
     )
 
 
@@ -89,8 +94,8 @@ def checked(candidates: DataFrame, dns: DataFrame) -> DataFrame:
     looked_up = ~h.rlike(IPV4)
     reason = (
         F.when(url_problem(F.col("url")).isNotNull(), url_problem(F.col("url")))
-        .when(looked_up & F.col("__ips").isNull(), F.concat(F.lit('DNS lookup failed for "'), h, F.lit('"')))
-        .when(looked_up & (F.col("__ips") == 0), F.concat(F.lit('Could not resolve hostname "'), h, F.lit('"')))
-        .when(looked_up & F.col("__bad").isNotNull(), F.concat(F.lit('Hostname "'), h, F.lit('" resolves to a private/reserved address ('), F.col("__bad"), F.lit(")")))
+        .when(looked_up & F.col("__ips").isNull(), F.format_string(LOOKUP_FAILED, h))
+        .when(looked_up & (F.col("__ips") == 0), F.format_string(UNRESOLVED, h))
+        .when(looked_up & F.col("__bad").isNotNull(), F.format_string(RESOLVES, h, F.col("__bad")))
     )
     return joined.withColumn("reason", reason).withColumn("safe", F.col("reason").isNull()).drop("__host", "__bad", "__ips")

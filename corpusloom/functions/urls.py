@@ -25,8 +25,10 @@ ASSET_EXTENSIONS = (
     ".png .jpg .jpeg .gif .svg .webp .ico .bmp .pdf .zip .tar .gz .rar .7z .mp4 .mp3 .mov .avi .webm .wav "
     ".woff .woff2 .ttf .eot .css .js .json .xml .csv .doc .docx .xls .xlsx .ppt .pptx"
 ).split()
-AUTH = f"(?i)/(?:(?:logout|sign[-_]?out|login|sign[-_]?in|sign[-_]?up|register|wp-admin){WORD_END}|account/(?:password|reset|delete)|wp-login)"
-UTILITY = f"(?i)/(?:(?:cart|checkout|privacy(?:-policy)?|terms|legal|unsubscribe|search|print){WORD_END}|cookies?-policy)"
+# Fixed values, in their order: what a path holds behind a slash, in either case; \b is the end of a word.
+AUTH_PATHS = (r"logout\b", r"sign[-_]?out\b", r"login\b", r"sign[-_]?in\b", r"sign[-_]?up\b", r"register\b", r"account/(?:password|reset|delete)", r"wp-admin\b", r"wp-login")
+UTILITY_PATHS = (r"cart\b", r"checkout\b", r"cookies?-policy", r"privacy(?:-policy)?\b", r"terms\b", r"legal\b", r"unsubscribe\b", r"search\b", r"print\b")
+AUTH, UTILITY = (f"(?i)/(?:{'|'.join(paths)})".replace(r"\b", WORD_END) for paths in (AUTH_PATHS, UTILITY_PATHS))
 SEARCH = f"(?i)/search{WORD_END}"
 PRIORITIES = (
     (r"^/\z", 30),

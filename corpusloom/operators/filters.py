@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import js
+from corpusloom.plans.shared import stored
 
 # Fixed values.
 THIN_WORDS, NAVIGATION_WORDS = 50, 150
@@ -16,9 +17,9 @@ def duplicate_urls(pages: DataFrame) -> DataFrame:
     """(site_id, url): of pages with one content hash all but the most important, at equal scores with the shortest URL, then the first.
 
     The best of each hash is found by an aggregate with map-side combine, not by ordering the copies, so a text that a site has a
-    million times is no hot window."""
-    order = F.struct((-F.col("importance_score")).alias("s"), F.length("url").alias("l"), "ord")
-    hashed = pages.where("content_hash <> ''").select("site_id", "content_hash", "url", order.alias("place"))
+    million times is no hot window. What the aggregate and the join back need is written once, so texts are read and hashed once."""
+    order = F.struct((-F.col("importance_score")).alias("s"), F.length("url").alias("l"), F.col("ord").alias("o"))
+    hashed = stored(pages.where("content_hash <> ''").select("site_id", "content_hash", "url", order.alias("place")), "hashed")
     best = hashed.groupBy("site_id", "content_hash").agg(F.min("place").alias("__best"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
     return hashed.join(best, ["site_id", "content_hash"]).where("place <> __best").select("site_id", "url").distinct()
 
@@ -47,8 +48,3 @@ def exclude(working: DataFrame, reasons: DataFrame) -> DataFrame:
     r = reasons.select(F.col("site_id").alias("__site"), F.col("url").alias("__url"), F.col("reason").alias("__reason"))
     out = working.join(r, (F.col("site_id") == F.col("__site")) & (F.col("url") == F.col("__url")), "left")
     return out.withColumns({"included": F.when(F.col("__reason").isNotNull(), False).otherwise(F.col("included")), "exclude_reason": F.coalesce("__reason", "exclude_reason")}).drop("__site", "__url", "__reason")
-
-
-def first_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row of each key by a stated order."""
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")

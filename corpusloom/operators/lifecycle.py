@@ -35,14 +35,22 @@ def _one_row(working: DataFrame) -> DataFrame:
     return working.join(best, ["site_id", "url", "ord"], "left_semi").dropDuplicates(["site_id", "url"])
 
 
-def next_state(state: DataFrame, working: DataFrame, pre_excluded: DataFrame, now: Column) -> DataFrame:
-    """The state after a crawl. state has the columns of STATE; working: fetched pages; pre_excluded (site_id, url, reason, depth): pages
+def _timed(rows: DataFrame, now: Column | DataFrame) -> tuple[DataFrame, Column]:
+    """rows and the time of each row's site; now: one time, or a table (site_id, now)."""
+    if isinstance(now, Column):
+        return rows, now
+    return rows.join(now.select("site_id", F.col("now").alias("__now")), "site_id", "left"), F.col("__now")
+
+
+def next_state(state: DataFrame, working: DataFrame, pre_excluded: DataFrame, now: Column | DataFrame) -> DataFrame:
+    """The state after a crawl, whose time is one, or each site's own (a table site_id, now). state has the columns of STATE; working: fetched pages; pre_excluded (site_id, url, reason, depth): pages
     left out by their URL. Only sites that the crawl names are changed; a page that is missing the first time is only noted, the
     second time it is removed. A removed page that comes back keeps what people did to it."""
     sites = working.select("site_id").union(pre_excluded.select("site_id")).distinct().withColumn("__crawled", F.lit(True))
     w = _one_row(working).select("site_id", "url", *[F.col(c).alias(f"__{c}") for c in FETCHED], F.lit(True).alias("__seen"))
     x = pre_excluded.groupBy("site_id", "url").agg(F.first("reason").alias("__x_reason"), F.min("depth").alias("__x_depth")).withColumn("__out", F.lit(True))
     j = state.withColumn("__stored", F.lit(True)).join(w, ["site_id", "url"], "full_outer").join(x, ["site_id", "url"], "full_outer").join(sites, "site_id", "left")
+    j, now = _timed(j, now)
     seen, out = F.coalesce("__seen", F.lit(False)), F.coalesce("__out", F.lit(False))
     here = seen | out
     gone = F.coalesce("__crawled", F.lit(False)) & ~here & F.col("removed_at").isNull()
@@ -61,7 +69,7 @@ def next_state(state: DataFrame, working: DataFrame, pre_excluded: DataFrame, no
     return j.select(*[columns.get(c, F.col(c)).alias(c) for c in state.columns])
 
 
-def change_events(state: DataFrame, working: DataFrame, pre_excluded: DataFrame, now: Column) -> DataFrame:
+def change_events(state: DataFrame, working: DataFrame, pre_excluded: DataFrame, now: Column | DataFrame) -> DataFrame:
     """(site_id, url, type, title, created_at): what a crawl adds, changes and, on the second miss, removes; from the state before it."""
     live = state.where("removed_at is null").select("site_id", "url", F.col("content_hash").alias("__hash"), F.col("title").alias("__title"), "missing_since", F.lit(True).alias("__live"))
     fetched = _one_row(working).select("site_id", "url", "title", "content_hash", "reused")
@@ -71,16 +79,20 @@ def change_events(state: DataFrame, working: DataFrame, pre_excluded: DataFrame,
     seen = working.select("site_id", "url").union(pre_excluded.select("site_id", "url")).distinct()
     sites = seen.select("site_id").distinct()
     removed = live.where("missing_since is not null").join(seen, ["site_id", "url"], "left_anti").join(sites, "site_id", "left_semi").select("site_id", "url", F.lit("removed").alias("type"), F.col("__title").alias("title"))
-    return new.union(removed).withColumn("created_at", now)
+    told, now = _timed(new.union(removed), now)
+    return told.select("site_id", "url", "type", "title", now.alias("created_at"))
 
 
 def edited(state: DataFrame, edits: DataFrame) -> DataFrame:
     """The state after people's edits: site_id, url, description, section, clear_section, included; null leaves a field as it is.
-    A section is trimmed, and an empty or cleared one gives the page back to the rules. Edits without any field do nothing."""
+    A section is trimmed, and an empty or cleared one gives the page back to the rules. Edits without any field do nothing, and a description that is
+    the page's own already is no edit."""
     e = edits.where(valid_edit()).select(
         "site_id", "url", F.substring("description", 1, 400).alias("__description"), js.trim("section").alias("__section"), (F.col("section").isNotNull() | F.coalesce("clear_section", F.lit(False))).alias("__moves"), F.col("included").alias("__included"), F.lit(True).alias("__edit")
     )
     j = state.join(e, ["site_id", "url"], "left")
+    own = F.col("__description").eqNullSafe(js.text("description"))
+    j = j.withColumn("__edit", F.when(own & ~F.col("__moves") & F.col("__included").isNull(), None).otherwise(F.col("__edit")))
     set_ = F.col("__included").isNotNull()
     columns = {
         "description": F.coalesce("__description", "description"),

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import js, text, urls
 from corpusloom.operators import classify
+from corpusloom.plans.shared import numbered
 
 # Fixed values.
 DESCRIPTION_CHARS = 180
 VERDICT_BATCH = 12
+PAGE_LABELS = ("### Page %d", "URL: %s", "Title: %s", "Description: %s", "Headings: %s", "Content excerpt:\n%s")
+NONE, EMPTY = "(none)", "(empty)"
 
 
 def classified(crawled: DataFrame, stored: DataFrame) -> DataFrame:
@@ -60,8 +63,7 @@ def without_generic_descriptions(working: DataFrame) -> DataFrame:
 def valid_verdicts(verdicts: DataFrame, asked: DataFrame) -> DataFrame:
     """Outside verdicts that count. asked (site_id, url, ord) was sent in batches of VERDICT_BATCH; a batch with one bad answer is lost
     whole, and answers about pages that the batch did not hold are dropped. verdicts: site_id, batch, url, category, importance, description, include."""
-    n = F.row_number().over(Window.partitionBy("site_id").orderBy("ord")) - 1
-    batches = asked.select("site_id", "url", F.floor(n / VERDICT_BATCH).alias("batch"))
+    batches = numbered(asked, "site_id", ["ord"], "__n").select("site_id", "url", F.floor(F.col("__n") / VERDICT_BATCH).alias("batch"))
     ok = F.col("category").isin(*classify.CATEGORIES) & F.col("importance").isin("high", "medium", "low") & F.length("description").between(1, 240) & F.col("include").isNotNull() & F.col("url").isNotNull()
     bad = verdicts.where(~F.coalesce(ok, F.lit(False))).select("site_id", "batch").distinct()
     return verdicts.join(bad, ["site_id", "batch"], "left_anti").join(batches, ["site_id", "batch", "url"], "left_semi")
@@ -95,19 +97,10 @@ def scored(working: DataFrame, inbound: DataFrame) -> DataFrame:
 
 def prompt(pages: DataFrame, site_size: int = VERDICT_BATCH) -> DataFrame:
     """(site_id, batch, request): the text that an outside analyzer gets for each batch of pages that no rule was sure of."""
-    n = F.row_number().over(Window.partitionBy("site_id").orderBy("ord")) - 1
-    rows = pages.withColumn("__n", n).withColumn("batch", F.floor(F.col("__n") / site_size))
+    rows = numbered(pages, "site_id", ["ord"], "__n").withColumn("batch", F.floor(F.col("__n") / site_size))
     or_none = lambda c, none: js.or_else(c, F.lit(none))
-    entry = F.concat_ws(
-        "\n",
-        F.concat(F.lit("### Page "), (F.col("__n") % site_size + 1).cast("string")),
-        F.concat(F.lit("URL: "), F.col("url")),
-        F.concat(F.lit("Title: "), or_none(F.col("title"), "(none)")),
-        F.concat(F.lit("Description: "), or_none(F.col("description"), "(none)")),
-        F.concat(F.lit("Headings: "), or_none(F.array_join(F.slice("headings", 1, 8), ", "), "(none)")),
-        F.lit("Content excerpt:"),
-        or_none(js.cut(F.col("content_excerpt"), text.EXCERPT_CHARS), "(empty)"),
-    )
+    said = (F.col("__n") % site_size + 1, F.col("url"), or_none(F.col("title"), NONE), or_none(F.col("description"), NONE), or_none(F.array_join(F.slice("headings", 1, 8), ", "), NONE), or_none(js.cut(F.col("content_excerpt"), text.EXCERPT_CHARS), EMPTY))
+    entry = F.concat_ws("\n", *[F.format_string(label, x) for label, x in zip(PAGE_LABELS, said, strict=True)])
     return rows.withColumn("__e", F.struct("__n", entry.alias("e"))).groupBy("site_id", "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list("__e")), lambda x: x["e"]), "\n\n").alias("request"))
 
 

@@ -9,6 +9,10 @@ from corpusloom.functions import js, urls
 from corpusloom.operators.sections import section_order
 
 
+# Fixed value: what is said of a site that says nothing of itself.
+DEFAULT_SUMMARY = "A curated map of the most useful pages on %s for AI agents."
+
+
 def site_metadata(sites: DataFrame, home: DataFrame | None = None) -> DataFrame:
     """(site_id, site_name, summary): what is stored of a site wins, then the home page's site name, title and description, then the host.
 
@@ -19,7 +23,7 @@ def site_metadata(sites: DataFrame, home: DataFrame | None = None) -> DataFrame:
     else:
         s = s.join(home.select("site_id", F.col("site_name").alias("__h"), F.col("title").alias("__t"), F.col("description").alias("__d")), "site_id", "left")
     host = urls.display_host(F.col("origin"))
-    default = F.concat(F.lit("A curated map of the most useful pages on "), host, F.lit(" for AI agents."))
+    default = F.format_string(DEFAULT_SUMMARY, host)
     return s.select("site_id", js.or_else(F.col("__name"), F.col("__h"), F.col("__t"), host).alias("site_name"), js.or_else(F.col("__said"), F.col("__d"), default).alias("summary"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import js, text, urls
 from corpusloom.operators import sections
+from corpusloom.plans.shared import numbered
 
 # How many rows lists show, and how often a site may be crawled.
 RECENT_SITES, RECENT_FILES, RECENT_EVENTS = 20, 100, 50
@@ -64,7 +65,7 @@ def status(websites: DataFrame, crawls: DataFrame, files: DataFrame) -> DataFram
 
 
 def editor(state: DataFrame, websites: DataFrame) -> DataFrame:
-    """What an editor shows: live pages with section and place, or exclude_reason; home pages only where they are included. Excluded pages by score."""
+    """What an editor shows: live pages with section and place, or exclude_reason; home pages only where they are included. Rows stand in no order: section_rank, section and place give that of the sections, excluded() that of the others."""
     sites = websites.select("site_id")
     live = pages(state).join(sites, "site_id", "left_semi")
     c = sections.curated(sections.from_stored(live.where("included"), F.col("site_id")))
@@ -77,15 +78,27 @@ def editor(state: DataFrame, websites: DataFrame) -> DataFrame:
     return kept.join(shown, ["site_id", "url"]).unionByName(out.unionByName(dropped), allowMissingColumns=True)
 
 
+def excluded(state: DataFrame, websites: DataFrame) -> DataFrame:
+    """(site_id, url, title, importance_score, exclude_reason, place): pages that an editor may bring back, of each site the highest score first; at equal scores those
+    that were left out before stand before those that are curated out now, then by URL."""
+    out = editor(state, websites).where("exclude_reason is not null").withColumn("__now", F.col("exclude_reason") == sections.BELOW)
+    return numbered(out, "site_id", [F.col("importance_score").desc(), "__now", "url"], "place").select("site_id", "url", "title", "importance_score", "exclude_reason", "place")
+
+
 def breakdown(stats: DataFrame) -> DataFrame:
     """(site_id, reason, label, n): the reasons of a stats table, most frequent first."""
     rows = stats.select("site_id", F.explode("exclusion_breakdown").alias("reason", "n")).where("n > 0")
     return rows.withColumn("label", text.exclusion_label(F.col("reason"))).orderBy("site_id", F.col("n").desc(), "reason")
 
 
+def frequency(said: Column) -> Column:
+    """How often, where that is allowed; else daily."""
+    return F.when(said.isin(*FREQUENCIES), said).otherwise("daily")
+
+
 def monitored(websites: DataFrame, settings: DataFrame, now: Column) -> DataFrame:
     """Websites after new settings (site_id, enabled, frequency): an unknown frequency is daily, and what is off has no next run."""
-    s = settings.select("site_id", F.coalesce("enabled", F.lit(False)).alias("__on"), F.when(F.col("frequency").isin(*FREQUENCIES), F.col("frequency")).otherwise("daily").alias("__often"))
+    s = settings.select("site_id", F.coalesce("enabled", F.lit(False)).alias("__on"), frequency(F.col("frequency")).alias("__often"))
     j = websites.join(s, "site_id", "left")
     set_ = F.col("__on").isNotNull()
     columns = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import js, net, text, urls
@@ -98,8 +98,9 @@ def discovery_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(over(" SELECT site_id, ord, CAST(rk AS INT) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY priority DESC, ord) AS rk FROM pr) WHERE rk <= 8", PRIORITY_SQL))
 def frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rk = F.row_number().over(Window.partitionBy("site_id").orderBy(F.col("priority").desc(), "ord"))
-    return _priorities(spark, sf_dir).withColumn("rk", rk).where("rk <= 8").select("site_id", "ord", "rk")
+    from corpusloom.plans import frontier
+
+    return frontier.ranked(_priorities(spark, sf_dir).withColumn("seq", F.col("ord"))).where("rank <= 8").select("site_id", "ord", F.col("rank").alias("rk"))
 
 
 ROBOTS = "User-agent: *\nDisallow: /docs\nAllow: /docs/1\nDisallow: /*9$\nDisallow: /blog/\nAllow: /blog/\nDisallow:\nSitemap: https://x.example.com/map.xml\n"
@@ -117,11 +118,45 @@ def robots_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.decided(p, rules).select("site_id", "ord", "allowed")
 
 
-@query()
+ROBOTS_BODY = r"""concat('# ', name, chr(13), chr(10), 'User-agent: *', chr(10), 'Disallow: /a', k, chr(10), CASE WHEN k % 2 = 0 THEN concat('Allow: /a', k, '/ok # said', chr(10)) ELSE '' END, CASE WHEN k % 5 = 0 THEN concat('Disallow:', chr(10)) ELSE '' END,
+CASE WHEN k % 3 = 0 THEN concat(chr(10), 'User-Agent: CorpusLoomBot/2', chr(10), 'user-agent: other', chr(10), 'DISALLOW : /only', k, chr(10), 'no colon here', chr(10), 'Disallow: /two*', chr(10)) WHEN k % 3 = 1 THEN concat('User-agent: other', chr(10), 'Disallow: /x', chr(10)) ELSE '' END,
+CASE WHEN k % 4 = 0 THEN concat('Sitemap: https://e.com/', k, '.xml', chr(10), 'sitemap:/rel.xml') ELSE '' END)"""
+
+
+@query(
+    f"""WITH n AS (SELECT c_custkey AS k, c_name AS name FROM customer)
+SELECT k, TRUE AS fetched, CASE WHEN k % 3 = 0 THEN '/only' || k || ' /two*' ELSE '/a' || k END AS disallow, CASE WHEN k % 3 <> 0 AND k % 2 = 0 THEN '/a' || k || '/ok' ELSE '' END AS allow, CASE WHEN k % 4 = 0 THEN 'https://e.com/' || k || '.xml /rel.xml' ELSE '' END AS sitemaps FROM n"""
+)
 def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each customer: groups for all, for this engine's agent, for others; empty rules, comments, odd case, two kinds of line ends."""
     from corpusloom.sources import robots
 
-    return table(spark, sf_dir, "region").select("r_regionkey", robots.parsed(F.lit(ROBOTS)).alias("r")).select("r_regionkey", "r.*")
+    bodies = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")).select("k", F.expr(ROBOTS_BODY).alias("body"))
+    return bodies.select("k", robots.parsed(F.col("body")).alias("r")).select("k", "r.fetched", *[F.array_join(f"r.{c}", " ").alias(c) for c in ("disallow", "allow", "sitemaps")])
+
+
+SITEMAP_BODY = r"""concat('<?xml version="1.0"?><urlset xmlns="x"><url><loc> https://e.com/', k, '?a=1&amp;b=2 </loc><priority>', CASE WHEN k % 2 = 0 THEN '0.8' ELSE 'high' END, '</priority></url>', CASE WHEN k % 3 = 0 THEN '<url><lastmod>2024</lastmod></url>' ELSE '' END,
+CASE WHEN k % 5 = 0 THEN concat('<url><loc><![CDATA[https://e.com/c/', k, ']]></loc><lastmod>2024-01-0', 1 + k % 9, '</lastmod></url>') ELSE '' END, '</urlset>')"""
+
+
+@query(
+    """WITH n AS (SELECT c_custkey AS k FROM customer), r AS (SELECT k, k % 7 = 0 AS idx, k % 11 = 0 AS gone FROM n)
+SELECT k, CAST(1 AS INT) AS seq, 'https://e.com/' || k || '?a=1&b=2' AS loc, CAST(NULL AS VARCHAR) AS lastmod, CASE WHEN k % 2 = 0 THEN CAST(0.8 AS DOUBLE) END AS priority FROM r WHERE NOT gone
+UNION ALL SELECT k, 2, 'https://e.com/c/' || k, '2024-01-0' || (1 + k % 9), NULL FROM r WHERE NOT gone AND k % 5 = 0"""
+)
+def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site for each customer: a sitemap at the usual place or, for each seventh, behind an index that robots.txt names; some are not there."""
+    from corpusloom.sources import sitemap
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.format_string("https://%d.e.com", "c_custkey").alias("site_id"))
+    behind = F.col("k") % 7 == 0
+    place = F.concat("site_id", F.when(behind, "/deep.xml").otherwise("/sitemap.xml"))
+    files = c.select("site_id", place.alias("sitemap_url"), (F.col("k") % 11 != 0).alias("ok"), F.expr(SITEMAP_BODY).alias("body"))
+    index = F.concat(F.lit("<sitemapindex><sitemap><loc>"), place, F.lit("</loc></sitemap><sitemap><loc>https://e.com/gone.xml</loc></sitemap></sitemapindex>"))
+    files = files.union(c.where(behind).select("site_id", F.concat("site_id", F.lit("/index.xml")), F.lit(True), index))
+    rules = c.where(behind).select("site_id", F.array(F.concat("site_id", F.lit("/index.xml"))).alias("sitemaps"))
+    found = sitemap.discovered(c.select("site_id", F.col("site_id").alias("origin")), rules, files)
+    return found.join(c, "site_id").select("k", "seq", "loc", "lastmod", "priority")
 
 
 IP = "concat((ord * 7919) % 256, '.', (ord * 104729) % 256, '.', (ord * 31) % 256, '.', ord % 256)"
@@ -137,10 +172,79 @@ def cidr_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ips.withColumn("private", net.is_private(F.col("ip")))
 
 
-@query(over(f""", i AS (SELECT ord, {IP} AS ip FROM b) SELECT '10.0.0.0/8' AS cidr, count(*) AS n FROM i WHERE ip LIKE '10.%' UNION ALL SELECT '224.0.0.0/4', count(*) FROM i WHERE CAST(split_part(ip, '.', 1) AS INT) BETWEEN 224 AND 239"""))
+def _number(ip: str) -> str:
+    return " + ".join(f"CAST(split_part({ip}, '.', {k + 1}) AS BIGINT) * {256 ** (3 - k)}" for k in range(4))
+
+
+#: Half of the addresses are put into the ranges, so that each is met.
+_STARTS = ("0.1.2.", "10.9.8.", "100.64.3.", "127.0.0.", "169.254.7.", "172.31.0.", "192.0.0.", "192.0.2.", "192.168.1.", "198.18.4.", "198.51.100.", "203.0.113.", "224.0.0.", "240.0.0.", "255.255.255.")
+RANGE_IP = f"CASE WHEN ord % 2 = 0 THEN {IP} ELSE concat(CASE CAST(floor(ord / 2) AS BIGINT) % {len(_STARTS)} {' '.join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_STARTS))} END, ord % 256) END"
+
+
+@query(
+    over(
+        f""", i AS (SELECT ord, {RANGE_IP} AS ip FROM b), n AS (SELECT ord, {_number('ip')} AS v FROM i),
+r AS (SELECT cidr, {_number("split_part(cidr, '/', 1)")} AS low, CAST(pow(2, 32 - CAST(split_part(cidr, '/', 2) AS INT)) AS BIGINT) AS size FROM (SELECT unnest({list(net.PRIVATE_RANGES)}) AS cidr))
+SELECT cidr, count(*) AS n FROM n JOIN r ON v >= low AND v < low + size GROUP BY cidr"""
+    )
+)
 def cidr_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ips = corpus.pages(spark, sf_dir).select("ord", F.expr(IP).alias("ip"))
-    return net.matching_ranges(ips).where(F.col("cidr").isin("10.0.0.0/8", "224.0.0.0/4")).groupBy("cidr").agg(F.count(F.lit(1)).alias("n"))
+    ips = corpus.pages(spark, sf_dir).select("ord", F.expr(RANGE_IP).alias("ip"))
+    return net.matching_ranges(ips).groupBy("cidr").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH n AS (SELECT c_custkey AS k FROM customer), u AS (SELECT k, k || '.e.com' AS h FROM n)
+SELECT k, k % 5 NOT IN (1, 2, 3) AND k % 7 <> 0 AS safe, CASE WHEN k % 7 = 0 THEN 'Unsupported scheme "ftp:" — only http/https are allowed' WHEN k % 5 = 1 THEN 'DNS lookup failed for "' || h || '"' WHEN k % 5 = 2 THEN 'Could not resolve hostname "' || h || '"'
+WHEN k % 5 = 3 THEN 'Hostname "' || h || '" resolves to a private/reserved address (10.0.0.' || k % 256 || ')' END AS reason FROM u"""
+)
+def dns_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts that resolve, do not, or resolve to addresses of which one is private."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.format_string("%d.e.com", "c_custkey").alias("host"))
+    m = F.col("k") % 5
+    dns = c.where(m != 1).select("host", F.explode(F.when(m == 2, F.array(F.lit(None).cast("string"))).when(m == 3, F.array(F.lit("93.184.216.34"), F.concat(F.lit("10.0.0."), (F.col("k") % 256).cast("string")))).otherwise(F.array(F.lit("93.184.216.34")))).alias("ip"))
+    urls_ = c.select("k", F.concat(F.when(F.col("k") % 7 == 0, "ftp://").otherwise("https://"), "host", F.lit("/x")).alias("url"))
+    return net.checked(urls_, dns).select("k", "safe", "reason")
+
+
+@query(
+    """WITH n AS (SELECT c_custkey AS k, c_name || c_mktsegment AS t FROM customer)
+SELECT k, k % 6 IN (0, 1, 5) AS ok, CASE WHEN k % 6 IN (0, 1, 4) THEN CAST(200 AS INT) WHEN k % 6 = 5 THEN CAST(200 AS INT) ELSE 0 END AS status_code, CASE WHEN k % 6 IN (0, 4, 5) THEN 'https://e.com/' || k WHEN k % 6 = 1 THEN 'https://e.com/b/' || k WHEN k % 6 = 2 THEN 'http://127.0.0.1/' || k ELSE 'https://e.com/l/' || k END AS final_url,
+CASE WHEN k % 6 IN (0, 1) THEN t WHEN k % 6 = 5 THEN left(t || repeat('x', 200), 100) ELSE '' END AS body, k % 6 IN (4, 5) AS truncated,
+CASE k % 6 WHEN 2 THEN 'Blocked for safety: IP address 127.0.0.1 is a private/reserved address' WHEN 3 THEN 'Too many redirects' WHEN 4 THEN 'Response too large' END AS error FROM n"""
+)
+def fetch_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that are there at once, after two hops, at a forbidden address, never, or too large by their length or by their body."""
+    from corpusloom.sources import responses
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat("c_name", "c_mktsegment").alias("t")).withColumn("u", F.concat(F.lit("https://e.com/"), F.col("k").cast("string")))
+    k = F.col("k") % 6
+    row = lambda df, url, status, location=None, body=None, size=None: df.select(url.alias("url"), F.lit(status).alias("status_code"), (F.lit(None).cast("string") if location is None else location).alias("location"), F.lit("text/html").alias("content_type"), F.lit(size).cast("long").alias("content_length"), (F.lit("") if body is None else body).cast("binary").alias("body"), F.lit(None).cast("string").alias("error"))
+    n = F.col("k").cast("string")
+    rows = row(c.where(k == 0), F.col("u"), 200, body=F.col("t"))
+    for more in (
+        row(c.where(k == 1), F.col("u"), 301, F.concat(F.lit("/a/"), n)), row(c.where(k == 1), F.concat(F.lit("https://e.com/a/"), n), 302, F.concat(F.lit("../b/"), n)), row(c.where(k == 1), F.concat(F.lit("https://e.com/b/"), n), 200, body=F.col("t")),
+        row(c.where(k == 2), F.col("u"), 302, F.concat(F.lit("http://127.0.0.1/"), n)), row(c.where(k == 3), F.col("u"), 302, F.concat(F.lit("/l/"), n)), row(c.where(k == 3), F.concat(F.lit("https://e.com/l/"), n), 302, F.concat(F.lit("/l/"), n)),
+        row(c.where(k == 4), F.col("u"), 200, body=F.col("t"), size=1 << 30), row(c.where(k == 5), F.col("u"), 200, body=F.concat("t", F.repeat(F.lit("x"), F.lit(200)))),
+    ):
+        rows = rows.unionByName(more)
+    got = responses.fetched(c.select(F.col("u").alias("url")), rows, most_bytes=responses.MOST_BYTES).withColumnRenamed("url", "u")
+    cut = responses.bounded(F.col("body"), 100)
+    small = c.join(got, "u").withColumn("cut", F.when(k == 5, cut).otherwise(F.struct(F.col("body"), F.col("truncated"))))
+    return small.select("k", "ok", "status_code", "final_url", "cut.body", "cut.truncated", "error")
+
+
+@query(
+    """WITH n AS (SELECT c_custkey AS k, c_name || c_mktsegment AS t FROM customer) SELECT k, '# ' || t AS content FROM n WHERE k % 4 = 0"""
+)
+def existing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites with an index of their own, with a page in its place, without a heading, and without any."""
+    from corpusloom.sources import responses
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.format_string("https://%d.e.com", "c_custkey").alias("site_id"), F.concat("c_name", "c_mktsegment").alias("t"))
+    m = F.col("k") % 4
+    got = c.where(m != 3).select(F.concat("site_id", F.lit("/llms.txt")).alias("url"), F.lit(True).alias("ok"), F.when(m == 1, "text/html; charset=utf-8").otherwise("text/plain").alias("content_type"), F.concat(F.when(m == 2, "").otherwise("# "), "t").alias("body"))
+    return responses.existing_index(c.select("site_id", F.col("site_id").alias("origin")), got).join(c, "site_id").select("k", "content")
 
 
 @query("WITH " + URL_PARTS + r""" SELECT page_id, CASE WHEN host = 'localhost' OR host LIKE '%.local' THEN 'Hostname "' || host || '" is not allowed' END AS problem FROM v""")
@@ -248,7 +352,21 @@ def extract_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", js.clean("p.title_tag").alias("title"), js.clean("p.first_h1").alias("h1"), F.size("p.hrefs").cast("long").alias("n_links"))
 
 
-@query()
+def _untagged(x: str) -> str:
+    out = f"regexp_replace({x}, '(?s)<!--.*?-->|<[^>]*>', '', 'g')"
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{c}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query(
+    rf"""WITH a AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS art FROM pages),
+p AS (SELECT *, regexp_extract(art, '(?s)<p>(.*?)(?:<p>|</p>|$)', 1) AS para, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS tt FROM a),
+c AS (SELECT page_id, url, html, {_untagged('art')} AS main, {_untagged('para')} AS para, {_untagged('tt')} AS title FROM p),
+n AS (SELECT *, CAST(CASE WHEN main = '' THEN 0 ELSE len(string_split(main, ' ')) END AS INT) AS word_count FROM c)
+SELECT page_id, title, CASE WHEN para = '' THEN 'Page from ' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) || ': ' || title WHEN length(para) > 200 THEN rtrim(left(para, 199)) || '…' ELSE para END AS description,
+nullif(para, '') AS first_paragraph, word_count, sha256(left(main, 6000)) AS main_sha256, word_count < 40 AND length(html) > 1500 AS empty_shell FROM n"""
+)
 def extract_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.sources import html
 
@@ -361,7 +479,7 @@ def exclusion_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     over(
         """ SELECT site_id, count(*) AS discovered, count(*) FILTER (ord % 13 <> 0 AND ord % 29 <> 0) AS crawled, count(*) FILTER (ord % 13 <> 0 AND ord % 29 <> 0 AND reason IS NULL) AS included,
 count(*) FILTER (ord % 13 = 0) + count(*) FILTER (ord % 13 <> 0 AND ord % 29 <> 0 AND reason IS NOT NULL) AS excluded, count(*) FILTER (ord % 13 <> 0 AND ord % 29 = 0 AND ord % 2 = 0) AS failed,
-count(*) FILTER (ord % 13 <> 0 AND ord % 29 = 0 AND ord % 2 = 1) AS not_reached FROM rz GROUP BY site_id""",
+count(*) FILTER (ord % 13 <> 0 AND ord % 29 = 0 AND ord % 2 = 1) AS not_reached, count(*) FILTER (ord % 4 = 1) AS added, count(*) FILTER (ord % 4 = 2) AS changed, count(*) FILTER (ord % 4 = 3) AS removed FROM rz GROUP BY site_id""",
         REASONED,
     )
 )
@@ -372,8 +490,9 @@ def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = p.where(pre).select("site_id", F.lit("auth").alias("reason"))
     failed = p.where(~pre & late & (F.col("ord") % 2 == 0)).select("site_id")
     discovered = p.groupBy("site_id").agg(F.count(F.lit(1)).alias("discovered"))
-    events = spark.createDataFrame([], "site_id string, type string")
-    return site.crawl_stats(working, out, failed, discovered, events).select("site_id", "discovered", "crawled", "included", "excluded", "failed", "not_reached")
+    kind = F.element_at(F.array(F.lit("added"), F.lit("changed"), F.lit("removed")), (F.col("ord") % 4).cast("int"))
+    events = p.where("ord % 4 > 0").select("site_id", kind.alias("type"))
+    return site.crawl_stats(working, out, failed, discovered, events).select("site_id", "discovered", "crawled", "included", "excluded", "failed", "not_reached", "added", "changed", "removed")
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,7 +624,7 @@ DUE = "CASE user_id % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'daily' WHEN 2 THEN 'we
 @query(f"SELECT event_id, CASE WHEN user_id % 4 = 2 THEN ts + INTERVAL 7 DAY WHEN user_id % 4 = 0 THEN NULL ELSE ts + INTERVAL 1 DAY END AS next_run, event_id % 2 = 0 AND coalesce(CASE WHEN user_id % 4 = 2 THEN ts + INTERVAL 7 DAY WHEN user_id % 4 = 0 THEN NULL ELSE ts + INTERVAL 1 DAY END <= {NOW}, FALSE) AS due FROM events")
 def due_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     often = F.expr(DUE)
-    e = table(spark, sf_dir, "events").withColumn("next_run", text.next_run(F.when(often.isin(*api.FREQUENCIES), often).otherwise("daily"), F.col("ts")))
+    e = table(spark, sf_dir, "events").withColumn("next_run", text.next_run(api.frequency(often), F.col("ts")))
     due = site.crawl_again(e.select("event_id", (F.col("event_id") % 2 == 0).alias("monitoring_enabled"), F.col("next_run").alias("next_scheduled_crawl_at")), _now()).select("event_id", F.lit(True).alias("due"))
     return e.select("event_id", "next_run").join(due, "event_id", "left").withColumn("due", F.coalesce("due", F.lit(False)))
 
@@ -535,6 +654,51 @@ def editor_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.editor(state, state.select("site_id").distinct()).select("site_id", "url", "section", "exclude_reason")
 
 
+@query(over(""", q AS (SELECT site_id, url, ord % 5 <> 0 AS inc, row_number() OVER (PARTITION BY site_id, ord % 5 <> 0 ORDER BY url) AS rn, CAST(ord % 37 AS DOUBLE) AS score FROM b WHERE ord % 11 <> 0),
+x AS (SELECT *, CASE WHEN NOT inc THEN 'thin-content' END AS exclude_reason FROM q WHERE NOT inc) SELECT site_id, url, score AS importance_score, exclude_reason, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, url) - 1 AS place FROM x"""))
+def editor_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an editor may bring back, best first; here without the pages that curation leaves out."""
+    scores = corpus.pages(spark, sf_dir).select("site_id", "url", (F.col("ord") % 37).cast("double").alias("__s"))
+    state = _stored(spark, sf_dir).where("not included").join(scores, ["site_id", "url"]).withColumn("importance_score", F.col("__s")).drop("__s")
+    return api.excluded(state, state.select("site_id").distinct()).select("site_id", "url", "importance_score", "exclude_reason", "place")
+
+
+@query(
+    over(""", w AS (SELECT s.*, row_number() OVER (PARTITION BY site_id ORDER BY ord) - 1 AS n FROM s WHERE k = 'misc' AND category = 'Resources'),
+v AS (SELECT *, n // 12 AS batch, ord % 70 = 9 AS bad FROM w), g AS (SELECT *, bool_or(bad) OVER (PARTITION BY site_id, batch) AS lost FROM v)
+SELECT site_id, ord, CASE WHEN lost THEN category ELSE 'Support' END AS category, CASE WHEN lost THEN description ELSE 'said' END AS description, CASE WHEN lost THEN 'deterministic' ELSE 'llm' END AS analysis_source, lost OR ord % 3 <> 0 AS included FROM g""")
+)
+def verdict_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outside verdicts in batches of twelve, as the plan takes them: a batch with one bad answer is lost whole, answers about pages that were not asked for are dropped."""
+    from corpusloom.plans.shared import numbered
+
+    w = refine.classified(corpus.pages(spark, sf_dir), site.no_state(spark))
+    asked = w.where("may_ask").select("site_id", "url", "ord")
+    v = numbered(asked, "site_id", ["ord"], "n").select("site_id", F.floor(F.col("n") / 12).alias("batch"), "url", F.when(F.col("ord") % 70 == 9, "Nonsense").otherwise("Support").alias("category"), F.lit("high").alias("importance"), F.lit("said").alias("description"), (F.col("ord") % 3 != 0).alias("include"))
+    strange = asked.select("site_id").distinct().select("site_id", F.lit(0).cast("long").alias("batch"), F.lit("https://e.com/never-asked").alias("url"), F.lit("Blog").alias("category"), F.lit("low").alias("importance"), F.lit("x").alias("description"), F.lit(True).alias("include"))
+    done = refine.with_verdicts(w, refine.valid_verdicts(v.unionByName(strange), asked))
+    return done.join(asked.select("site_id", "ord"), ["site_id", "ord"], "left_semi").select("site_id", "ord", "category", "description", "analysis_source", "included")
+
+
+@query(
+    over(
+        """, y AS (SELECT l.*, ord % 6 AS h FROM l) SELECT site_id, section, ord, CASE WHEN ord % 4 <> 0 AND ord % 9 <> 0 AND h IN (1, 2) THEN url || '.md' ELSE url END AS link FROM y""",
+        AUTO,
+        corpus.SECTIONS_SQL,
+    )
+)
+def markdown_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated links of which alternates are looked up: not for pages with known content, or that a person edited; some answers are pages."""
+    c = _curated(spark, sf_dir)
+    listed = sections.links(c)
+    o = F.col("ord")
+    w = c.withColumns({"reused": o % 4 == 0, "manual_edit": o % 9 == 0, "markdown_url": F.lit(None).cast("string")})
+    m = o % 6
+    answers = c.where(m < 4).select(F.concat("url", F.lit(".md")).alias("url"), F.lit(True).alias("ok"), F.when(m == 0, "text/html").otherwise("text/markdown").alias("content_type"), F.lit("# T").alias("body"), F.when(m == 3, 1 << 20).cast("long").alias("content_length"))
+    done = markdown.with_alternates(listed, w, answers)
+    return done.join(c.select("site_id", F.col("url").alias("page_url"), "ord"), ["site_id", "page_url"]).select("site_id", "section", "ord", F.col("url").alias("link"))
+
+
 # --- whole pipelines ---------------------------------------------------------------------------------------------------------------
 
 
@@ -543,7 +707,25 @@ def page_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.pages_to_indexes(table(spark, sf_dir, "pages"))
 
 
-@query()
+SECOND = rf"""
+w0 AS (SELECT * EXCLUDE (category, content_hash, importance_score), ord % 11 <> 0 AND (ord % 7 <> 0 OR ord % 14 = 0) AS known, ord % 11 <> 0 AND ord % 7 <> 0 AS reused, category AS cat, {FULL_HASH} AS content_hash FROM s WHERE ord % 13 <> 0),
+w1 AS (SELECT *, CASE WHEN known THEN 'Guides' ELSE cat END AS category, CASE WHEN known THEN ord % 5 <> 0 ELSE TRUE END AS inc FROM w0),
+w2 AS (SELECT *, CASE WHEN reused THEN 33 ELSE CAST(greatest(0, floor(CASE category WHEN 'Getting Started' THEN 30 WHEN 'Documentation' THEN 28 WHEN 'API Reference' THEN 26 WHEN 'Guides' THEN 22 WHEN 'Product' THEN 18
+    WHEN 'Resources' THEN 12 WHEN 'Support' THEN 12 WHEN 'Blog' THEN 10 WHEN 'Company' THEN 8 ELSE 5 END - depth * 4 + CASE WHEN word_count < 60 THEN -25 WHEN word_count > 800 THEN 15 WHEN word_count > 300 THEN 10 ELSE 0 END + 0.5)) AS DOUBLE) END AS importance_score FROM w1),
+w3 AS (SELECT *, row_number() OVER (PARTITION BY site_id, content_hash ORDER BY importance_score DESC, length(url), ord) AS rn FROM w2 WHERE inc),
+m AS (SELECT * EXCLUDE (rn), CAST(NULL AS VARCHAR) AS section_override FROM w3 WHERE rn = 1 AND word_count >= 50 AND NOT (regexp_matches(title, '(?i)\b(sitemap|site ?map|table of contents|all (articles|pages|posts)|archive index)\b') AND word_count < 150))"""
+
+
+@query(
+    over(
+        """, cw AS (SELECT site_id, count(*) AS crawled, count(*) FILTER (ord % 11 = 0) AS added, count(*) FILTER (ord % 11 <> 0 AND ord % 7 = 0) AS changed FROM w0 GROUP BY 1), ci AS (SELECT site_id, count(*) AS n FROM l GROUP BY 1)
+SELECT rd.site_id, content, TRUE AS valid, CAST(len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(trim(x, E' \\t\\r'), '^-\\s+\\[[^\\]]+\\]\\([^)\\s]+\\)(:\\s*.*)?$'))) AS BIGINT) AS link_count, d.n AS discovered, crawled, ci.n AS included, d.n - ci.n AS excluded, added, changed, CAST(0 AS BIGINT) AS removed
+FROM rd JOIN cw USING (site_id) JOIN ci USING (site_id) JOIN (SELECT site_id, count(*) AS n FROM b GROUP BY 1) d USING (site_id)""",
+        SECOND.strip(),
+        corpus.SECTIONS_SQL,
+        RENDER,
+    )
+)
 def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second crawl of the documents' sites: files and numbers."""
     from corpusloom.plans.shared import stored
@@ -557,27 +739,44 @@ def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.files.select("site_id", "content", "valid", "link_count").join(c.stats.select("site_id", "discovered", "crawled", "included", "excluded", "added", "changed", "removed"), "site_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {corpus.SQL.strip()},
+e AS (SELECT 'https://' || site_id || '.example.com' AS site, ord FROM b), hm AS (SELECT site, min(ord) AS first FROM e GROUP BY 1),
+walk AS (SELECT site, CAST(-1 AS BIGINT) AS ord, 0 AS depth FROM hm
+  UNION SELECT w.site, t.ord, w.depth + 1 FROM walk w JOIN hm USING (site) CROSS JOIN (SELECT unnest([0, 20, 40]) AS d) x
+    CROSS JOIN LATERAL (SELECT CASE WHEN w.ord = -1 THEN first ELSE w.ord + d END AS ord) t LEFT JOIN e p ON p.site = w.site AND p.ord = w.ord
+    WHERE w.depth < 5 AND (w.ord = -1) = (d = 0) AND (w.ord = -1 OR (p.ord IS NOT NULL AND w.ord % 100 <> 60 AND w.ord % 7 <> 3 AND w.ord % 11 <> 5))),
+u AS (SELECT site, ord, min(depth) AS depth FROM walk GROUP BY ALL),
+k AS (SELECT u.*, u.ord % 100 = 60 AS blocked, u.ord = -1 OR (p.ord IS NOT NULL AND u.ord % 7 <> 3 AND u.ord % 11 <> 5) AS good, u.ord = -1 OR (p.ord IS NOT NULL AND u.ord % 7 <> 3) AS answered FROM u LEFT JOIN e p ON p.site = u.site AND p.ord = u.ord),
+lg AS (SELECT site, bool_or(good AND NOT blocked AND ord <> -1 AND depth < 5) AS l FROM k GROUP BY 1)
+SELECT site AS site_id, count(*) FILTER (good AND NOT blocked) AS crawled, count(*) FILTER (NOT good AND NOT blocked) AS failed, count(*) FILTER (blocked) + CASE WHEN l THEN 1 ELSE 0 END AS pre_excluded, count(*) + CASE WHEN l THEN 1 ELSE 0 END AS discovered,
+count(*) FILTER (NOT answered AND NOT blocked) AS not_there FROM k JOIN lg USING (site) GROUP BY site, l"""
+)
 def frontier_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The crawl loop over documents as pages that link to each other: what each site fetches within its budget."""
+    """The crawl loop over documents as pages that link to two later ones: some are gone (404, or without a response), some are not HTML, some robots.txt forbids, some
+    answer from another URL; each page links to a login page, and depth is bounded."""
     from corpusloom.plans import frontier
 
     p = corpus.pages(spark, sf_dir).select((F.concat(F.lit("https://"), "site_id", F.lit(".example.com"))).alias("site_id"), "url", "ord", "title")
     at = lambda d: F.concat(F.lit('<a href="/'), F.element_at(F.array(*[F.lit(x) for x in corpus.PATHS]), ((F.col("ord") + d) % 10 + 1).cast("int")), F.lit("/"), (F.col("ord") + d).cast("string"), F.lit('">x</a>'))
     page = lambda extra: F.concat(F.lit("<html><title>t</title><body><p>word</p>"), extra, F.lit("</body></html>"))
-    ok = [F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("final_url")]
-    none = F.lit(None).cast("string").alias("error")
-    rows = p.select("url", *ok, page(F.concat(at(20), at(40), F.lit('<a href="/login">l</a><a href="/x.png">i</a>'))).alias("html"), none)
-    homes = p.groupBy("site_id").agg(F.min("ord").alias("ord")).select(F.concat("site_id", F.lit("/")).alias("url"), *ok, page(at(0)).alias("html"), none)
+    none = F.lit(None).cast("string")
+    o = F.col("ord")
+    answer = [F.when(o % 7 == 3, 404).otherwise(200).alias("status_code"), F.when(o % 11 == 5, "application/pdf").otherwise("text/html").alias("content_type"), F.when(o % 5 == 0, F.concat("url", F.lit("/moved"))).alias("final_url")]
+    rows = p.select("url", *answer, page(F.concat(at(20), at(40), F.lit('<a href="/login">l</a><a href="/x.png">i</a>'))).alias("html"), none.alias("error"))
+    homes = p.groupBy("site_id").agg(F.min("ord").alias("ord")).select(F.concat("site_id", F.lit("/")).alias("url"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), none.alias("final_url"), page(at(0)).alias("html"), none.alias("error"))
     sites = p.select("site_id").distinct()
-    rules = sites.select("site_id", F.lit(False).alias("fetched"), *[F.array().cast("array<string>").alias(c) for c in ("disallow", "allow", "sitemaps")])
+    rules = sites.select("site_id", F.lit(True).alias("fetched"), F.array(F.lit("/*60$")).alias("disallow"), *[F.array().cast("array<string>").alias(c) for c in ("allow", "sitemaps")])
     maps = spark.createDataFrame([], "site_id string, sitemap_url string, ok boolean, body string")
-    r = frontier.run(sites, rules, maps, rows.union(homes), frontier.Limits(max_pages=12, max_depth=5, concurrency=4))
+    r = frontier.run(sites, rules, maps, rows.union(homes))
     n = lambda df, name: df.groupBy("site_id").agg(F.count(F.lit(1)).alias(name))
-    return sites.join(n(r.crawled, "crawled"), "site_id", "left").join(n(r.failed, "failed"), "site_id", "left").join(n(r.pre_excluded, "pre_excluded"), "site_id", "left").join(r.discovered(), "site_id", "left").fillna(0)
+    gone = n(r.failed.where("error in ('HTTP 404', 'no response')"), "not_there")
+    return sites.join(n(r.crawled, "crawled"), "site_id", "left").join(n(r.failed, "failed"), "site_id", "left").join(n(r.pre_excluded, "pre_excluded"), "site_id", "left").join(r.discovered(), "site_id", "left").join(gone, "site_id", "left").fillna(0)
 
 
-@query("SELECT site_id, type, count(*) AS n FROM (SELECT event_type AS site_id, CASE WHEN event_id % 3 = 0 THEN 'changed' ELSE 'added' END AS type FROM events) GROUP BY ALL")
+@query("SELECT site_id, day, type, count(*) AS n FROM (SELECT event_type AS site_id, CAST(ts AS DATE) AS day, CASE WHEN event_id % 3 = 0 THEN 'changed' ELSE 'added' END AS type FROM events) GROUP BY ALL")
 def change_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("site_id"), F.when(F.col("event_id") % 3 == 0, "changed").otherwise("added").alias("type"))
-    return e.groupBy("site_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    from corpusloom.streaming import monitor
+
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("site_id"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 3 == 0, "changed").otherwise("added").alias("type"))
+    return monitor.change_counts(e).select("site_id", F.col("window.start").cast("date").alias("day"), "type", "n")

@@ -2,7 +2,11 @@
 
 A round takes, of each site, the first URLs by priority, then by the order in which they were found; joins them to their
 responses; extracts those that are HTML; and sends their links through normal form, site, asset and seen checks, robots rules and
-URL shapes. What a URL was found with first (depth, priority) stays. Each round's tables are written to the shared folder.
+URL shapes. What a URL was found with first (depth, priority) stays. Each round appends what it found and what it got to tables in the shared
+folder; nothing is written twice. What waits is what was found and not yet asked for.
+
+Defined cases: without sites, or where no site has a URL to begin with, the result has no rows; a URL without a response fails; rows of
+responses that share a URL should not be (sources.responses.fetched gives one each).
 """
 
 from __future__ import annotations
@@ -13,10 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import js, urls
-from corpusloom.plans.shared import stored
+from corpusloom.plans.shared import Appended, stored
 from corpusloom.sources import html, robots, sitemap
 
-ENTRY = "site_id string, url string, depth int, priority double, seq array<long>"
+# The messages of failures.
+HTTP_ERROR, NOT_HTML, NO_RESPONSE = "HTTP %d", "Unsupported content type: %s", "no response"
 
 
 @dataclass(frozen=True)
@@ -57,40 +62,41 @@ def run(sites: DataFrame, rules: DataFrame, sitemaps: DataFrame, responses: Data
     start = sites.select("site_id", F.col("site_id").alias("raw"), F.col("site_id").alias("base"), F.lit(0).alias("depth"), F.lit(None).cast("double").alias("said"), F.array(F.lit(0), F.lit(0)).cast("array<long>").alias("seq"))
     listed = sitemap.discovered(sites.select("site_id", F.col("site_id").alias("origin")), rules, sitemaps)
     listed = listed.select("site_id", F.col("loc").alias("raw"), F.col("site_id").alias("base"), F.lit(0).alias("depth"), F.col("priority").alias("said"), F.array(F.lit(0), F.col("seq")).cast("array<long>").alias("seq"))
-    seen = spark.createDataFrame([], "site_id string, url string")
-    fresh = stored(admitted(start.union(listed), seen, rules), "frontier")
-    seen, out = fresh.select("site_id", "url"), fresh.where("reason is not null")
-    queue = fresh.where("reason is null")
-    spent = sites.select("site_id", F.lit(0).cast("long").alias("spent"))
-    crawled = failed = None
+    found, answers, pages = (Appended(spark, n) for n in ("found", "answers", "pages"))
+    found.add(admitted(start.union(listed), spark.createDataFrame([], "site_id string, url string"), rules), 0)
+    answers.add(_answers(sites.limit(0).select("site_id", F.lit("").alias("url"), F.lit(0).alias("depth"), F.lit(0).alias("rank")), responses, 0), 0)
     done = 0
     while True:
-        place = F.row_number().over(Window.partitionBy("site_id").orderBy(F.col("priority").desc(), "seq"))
-        best = queue.withColumn("rank", place).where(F.col("rank") <= limits.concurrency).join(spent, "site_id")
-        batch = stored(best.where(F.col("rank") <= limits.max_pages - F.col("spent")).select("site_id", "url", "depth", "rank"), "batch")
-        if batch.isEmpty():
-            break
+        taken = answers.read().select("site_id", F.col("asked").alias("url"))
+        waiting = found.read().where("reason is null").join(taken, ["site_id", "url"], "left_anti")
+        spent = taken.groupBy("site_id").agg(F.count(F.lit(1)).alias("spent"))
+        best = ranked(waiting).where(F.col("rank") <= limits.concurrency).join(spent, "site_id", "left")
         done += 1
-        got = batch.withColumnRenamed("url", "asked").join(responses.withColumnRenamed("url", "asked"), "asked", "left")
-        ok = F.coalesce(F.col("status_code").between(200, 299) & F.col("error").isNull(), F.lit(False))
-        is_html = js.text("content_type").contains("html")
-        error = F.when(~ok, F.coalesce("error", F.concat(F.lit("HTTP "), F.col("status_code").cast("string")), F.lit("no response"))).when(~is_html, F.concat(F.lit("Unsupported content type: "), js.or_else(F.col("content_type"), F.lit("unknown"))))
-        got = got.withColumns({"error": error, "round": F.lit(done)})
-        bad = got.where("error is not null").select("site_id", F.col("asked").alias("url"), "error", "status_code")
-        pages = got.where("error is null").select("site_id", F.coalesce("final_url", "asked").alias("url"), "asked", "html", "depth", "status_code", "content_type", (F.col("round") * F.lit(1000) + F.col("rank")).cast("long").alias("ord"))
-        pages = stored(html.extracted(pages).drop("html"), "crawled")
-        crawled = pages if crawled is None else crawled.unionByName(pages)
-        failed = bad if failed is None else failed.unionByName(bad)
-        spent = stored(spent.join(batch.groupBy("site_id").agg(F.count(F.lit(1)).alias("n")), "site_id", "left").select("site_id", (F.col("spent") + F.coalesce("n", F.lit(0))).alias("spent")), "spent")
-        links = pages.where(F.col("depth") < limits.max_depth).select("site_id", "asked", "depth", "ord", F.posexplode("internal_links").alias("i", "raw"))
-        found = links.select("site_id", "raw", F.col("asked").alias("base"), (F.col("depth") + 1).alias("depth"), F.lit(None).cast("double").alias("said"), F.array(F.col("ord"), F.col("i")).cast("array<long>").alias("seq"))
-        fresh = stored(admitted(found, seen, rules), "frontier")
-        seen = stored(seen.union(fresh.select("site_id", "url")), "seen")
-        out = out.unionByName(fresh.where("reason is not null"))
-        queue = stored(queue.join(batch.select("site_id", "url"), ["site_id", "url"], "left_anti").unionByName(fresh.where("reason is null")), "queue")
-    if crawled is None:
-        raise ValueError("no site has a URL to begin with")
-    return Result(crawled.drop("asked"), failed, out.select("site_id", "url", "reason", "depth", "path", "seq"), seen)
+        got = answers.add(_answers(best.where(F.col("rank") <= limits.max_pages - F.coalesce("spent", F.lit(0))), responses, done), done)
+        new = pages.add(html.extracted(got.where("error is null").select("site_id", F.coalesce("final_url", "asked").alias("url"), "asked", "html", "depth", "status_code", "content_type", "ord")).drop("html"), done)
+        if got.isEmpty():
+            break
+        links = new.where(F.col("depth") < limits.max_depth).select("site_id", "asked", "depth", "ord", F.posexplode("internal_links").alias("i", "raw"))
+        linked = links.select("site_id", "raw", F.col("asked").alias("base"), (F.col("depth") + 1).alias("depth"), F.lit(None).cast("double").alias("said"), F.array(F.col("ord"), F.col("i")).cast("array<long>").alias("seq"))
+        found.add(admitted(linked, found.read().select("site_id", "url"), rules), done)
+    failed = answers.read().where("error is not null").select("site_id", F.col("asked").alias("url"), "error", "status_code")
+    left_out = found.read().where("reason is not null").select("site_id", "url", "reason", "depth", "path", "seq")
+    return Result(pages.read().drop("asked"), failed, left_out, found.read().select("site_id", "url"))
+
+
+def ranked(waiting: DataFrame) -> DataFrame:
+    """waiting (site_id, priority, seq, …) with rank: 1, 2, … in each site by priority, then by the order in which URLs were found."""
+    return waiting.withColumn("rank", F.row_number().over(Window.partitionBy("site_id").orderBy(F.col("priority").desc(), "seq")))
+
+
+def _answers(batch: DataFrame, responses: DataFrame, done: int) -> DataFrame:
+    """A round's URLs (asked) with their responses and, where a page was not got, the error."""
+    got = batch.withColumnRenamed("url", "asked").join(responses.withColumnRenamed("url", "asked"), "asked", "left")
+    ok = F.coalesce(F.col("status_code").between(200, 299) & F.col("error").isNull(), F.lit(False))
+    error = F.when(~ok, F.coalesce("error", F.format_string(HTTP_ERROR, "status_code"), F.lit(NO_RESPONSE))).when(~js.text("content_type").contains("html"), F.format_string(NOT_HTML, js.or_else(F.col("content_type"), F.lit("unknown"))))
+    # format_string gives text for a null status too
+    error = F.when(~ok & F.col("error").isNull() & F.col("status_code").isNull(), F.lit(NO_RESPONSE)).otherwise(error)
+    return got.select("site_id", "asked", "final_url", "html", "depth", "status_code", "content_type", error.alias("error"), (F.lit(done) * F.lit(1000) + F.col("rank")).cast("long").alias("ord"))
 
 
 def blocked_samples(pre_excluded: DataFrame, most: int = 10) -> DataFrame:

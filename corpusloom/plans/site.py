@@ -27,11 +27,12 @@ def crawled_pages(responses: DataFrame) -> DataFrame:
 
 
 def analyzed(crawled: DataFrame, state: DataFrame, inbound: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """Working pages after classification, descriptions, outside verdicts, scores and content filters. What filters read is written
+    """Working pages after classification, descriptions, outside verdicts (as refine.valid_verdicts takes them), scores and content filters. What filters read is written
     first: conditions on long expressions would be copied with them down the plan."""
     w = refine.without_generic_descriptions(stored(refine.classified(crawled, state), "classified"))
     if verdicts is not None:
-        w = refine.with_verdicts(w, verdicts.join(w.where("may_ask").select("site_id", "url").distinct(), ["site_id", "url"], "left_semi"))
+        asked = w.where("may_ask").select("site_id", "url", "ord")
+        w = refine.with_verdicts(w, refine.valid_verdicts(verdicts, asked))
     return filters.with_reasons(stored(refine.scored(w, inbound), "scored"))
 
 
@@ -152,6 +153,13 @@ def crawl_again(sites: DataFrame, now: Column) -> DataFrame:
     return sites.where(F.col("monitoring_enabled") & (F.col("next_scheduled_crawl_at") <= now))
 
 
+def crawl_created(crawls: DataFrame, sites: DataFrame, trigger: str, now: Column) -> DataFrame:
+    """crawls with a new one of each site, numbered on from its last."""
+    last = crawls.groupBy("site_id").agg(F.max("crawl_id").alias("__last"))
+    new = sites.select("site_id").distinct().join(last, "site_id", "left").select("site_id", (F.coalesce("__last", F.lit(0)) + 1).cast("long").alias("crawl_id"), F.lit(trigger).alias("trigger"), F.lit("running").alias("status"), F.lit("queued").alias("stage"), now.alias("started_at"))
+    return crawls.unionByName(new, allowMissingColumns=True)
+
+
 def touched(sites: DataFrame, crawled: DataFrame, now: Column) -> DataFrame:
     """Sites after a crawl: crawled (site_id, site_name, summary) names those that were crawled."""
     c = crawled.select("site_id", F.col("site_name").alias("__name"), F.col("summary").alias("__said"), F.lit(True).alias("__done"))

@@ -255,9 +255,3 @@ def extracted(responses: DataFrame, html: str = "html", url: str = "url") -> Dat
         }
     )
     return p.drop("__p", "__main", "__para")
-
-
-def first_markup(html: Column, tag: str) -> Column:
-    """Cleaned text of the first element of a kind, by pattern; for elements without others of their kind inside."""
-    inner = F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
-    return js.clean(F.regexp_replace(inner, "<[^>]*>", ""))

@@ -156,3 +156,24 @@ def test_versions(spark):
     files = spark.createDataFrame([("a", 1), ("a", 4)], "site_id string, version int")
     new = spark.createDataFrame([("a", "x"), ("b", "y")], "site_id string, content string")
     assert {r.site_id: r.version for r in lifecycle.appended_versions(files, new).collect()} == {"a": 5, "b": 1}
+
+
+def test_prompt(spark):
+    rows = [("s", i, f"https://s.com/{i}", f"t{i}" if i else "", None if i else "said", ["h1", "h2"] if i else [], "x" * 900 if i else "") for i in range(14)]
+    got = {r.batch: r.request for r in refine.prompt(spark.createDataFrame(rows, "site_id string, ord long, url string, title string, description string, headings array<string>, content_excerpt string")).collect()}
+    assert set(got) == {0, 1} and got[0].count("### Page ") == 12 and got[1].startswith("### Page 1\nURL: https://s.com/12\nTitle: t12\nDescription: (none)\nHeadings: h1, h2\nContent excerpt:\n" + "x" * 800 + "\n\n### Page 2")
+    assert got[0].startswith("### Page 1\nURL: https://s.com/0\nTitle: (none)\nDescription: said\nHeadings: (none)\nContent excerpt:\n(empty)\n\n### Page 2\n")
+
+
+def test_renamed_section(spark):
+    rows = spark.createDataFrame([("s", "a", "Guides"), ("s", "b", "Docs"), ("t", "c", "Guides")], "site_id string, url string, section string")
+    got = lifecycle.renamed_section(rows, "s", "Guides", "How to").collect()
+    assert [(r.site_id, r.url, r.section, r.description, r.included) for r in got] == [("s", "a", "How to", None, None)]
+
+
+def test_an_unchanged_description_is_no_edit(spark):
+    names = [c.split() for c in lifecycle.STATE.split(", ")]
+    row = {"site_id": "s", "url": "a", "description": "same", "included": True, "manual_edit": False}
+    state = spark.createDataFrame([tuple(row.get(n[0]) for n in names)], lifecycle.STATE)
+    edit = lambda d, i=None: spark.createDataFrame([("s", "a", d, None, False, i)], "site_id string, url string, description string, section string, clear_section boolean, included boolean")
+    assert [lifecycle.edited(state, e).first().manual_edit for e in (edit("same"), edit("other"), edit("same", True))] == [False, True, True]

@@ -1,13 +1,15 @@
 """The crawl loop against a plain model, streams, and the catalog against its SQL."""
 
 import os
+import time
 from datetime import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import lifecycle
-from corpusloom.plans import catalog, frontier
+from corpusloom.plans import api, catalog, frontier, site
 from corpusloom.streaming import monitor
 
 SF = "/root/testdata/sf0.001"
@@ -49,11 +51,17 @@ def test_crawl_order_and_budget(spark):
     assert frontier.blocked_samples(r.pre_excluded).first().robots_blocked_samples == ["/private/x"]
 
 
-def snapshot(spark, n, pages):
+def test_crawl_of_nothing(spark):
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    r = frontier.run(none("site_id string"), none("site_id string, fetched boolean, disallow array<string>, allow array<string>, sitemaps array<string>"), none("site_id string, sitemap_url string, ok boolean, body string"), none("url string, status_code int, content_type string, final_url string, html string, error string"))
+    assert [x.collect() for x in (r.crawled, r.failed, r.pre_excluded, r.seen)] == [[]] * 4 and "title" in r.crawled.columns
+
+
+def snapshot(spark, n, pages, site="s"):
     names = [c.strip().split()[0] for c in monitor.SNAPSHOT.split(",") if c.strip()]
     rows = []
     for i, (u, h) in enumerate(pages.items()):
-        row = {"site_id": "s", "url": u, "ord": i, "content_hash": h, "included": True, "reused": False, "crawled_at": datetime(2024, 1, n), "title": u}
+        row = {"site_id": site, "url": u, "ord": i, "content_hash": h, "included": True, "reused": False, "crawled_at": n if isinstance(n, datetime) else datetime(2024, 1, n), "title": u}
         rows.append(tuple(row.get(c) for c in names))
     return spark.createDataFrame(rows, monitor.SNAPSHOT)
 
@@ -64,15 +72,98 @@ def test_stream_of_snapshots(spark, tmp_path):
         snapshot(spark, n, pages).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         q = monitor.watch_snapshots(spark, f"{tmp_path}/in", table, f"{tmp_path}/cp")
         q.awaitTermination()
-    assert table.versions() == [1, 2, 3]
+    assert table.versions() == [2, 3]  # the last two are kept
     got = sorted((r.url, r.type) for r in table.events().collect())
-    assert got == [("a", "added"), ("a", "changed"), ("a", "changed"), ("b", "added"), ("b", "removed")] or got == [("a", "added"), ("a", "changed"), ("b", "added"), ("b", "removed")]
+    assert got == [("a", "added"), ("a", "changed"), ("b", "added"), ("b", "removed")]
     assert {r.url: r.removed_at is not None for r in table.read().collect()} == {"a": False, "b": True}
     table.apply(snapshot(spark, 1, {"x": "1"}), 9)  # older than the state
     assert {r.url for r in table.read().collect()} == {"a", "b"}
     assert table.read().columns == [c.split()[0] for c in lifecycle.STATE.split(", ")]
 
 
+def test_each_site_has_its_own_time(spark, tmp_path):
+    """Sites of one batch, and several snapshots of one site; a site's older snapshot is not newer because another site was later."""
+    table = monitor.StateTable(spark, f"file://{tmp_path}/t", buckets=4)
+    at = lambda h: datetime(2024, 1, 1, h)
+    table.apply(snapshot(spark, at(10), {"a": "1"}, "A").union(snapshot(spark, at(12), {"b": "1"}, "B")), 1)
+    seen = {r.site_id: r.last_seen_at for r in table.read().collect()}
+    assert seen == {"A": at(10), "B": at(12)}
+    table.apply(snapshot(spark, at(11), {"a": "2", "a2": "1"}, "A"), 2)
+    assert {(r.site_id, r.url): r.last_seen_at for r in table.read().collect()} == {("A", "a"): at(11), ("A", "a2"): at(11), ("B", "b"): at(12)}
+    # a page that two snapshots in a row miss is first noted, then removed; and comes back
+    batch = snapshot(spark, at(13), {"a": "2"}, "A").union(snapshot(spark, at(14), {"a": "2"}, "A")).union(snapshot(spark, at(15), {"a": "2", "a2": "1"}, "A")).union(snapshot(spark, at(9), {"x": "1"}, "A"))
+    table.apply(batch, 3)
+    events = [(r.url, r.type, r.created_at) for r in table.events().where("site_id = 'A'").orderBy("created_at", "url").collect()]
+    assert events == [("a", "added", at(10)), ("a", "changed", at(11)), ("a2", "added", at(11)), ("a2", "removed", at(14)), ("a2", "added", at(15))]
+    assert {r.url: r.removed_at for r in table.read().where("site_id = 'A'").collect()} == {"a": None, "a2": None}
+    table.apply(snapshot(spark, at(16), {}, "A"), 4)  # an empty batch
+    table.apply(snapshot(spark, at(20), {"x": "1"}, "A"), 4)  # a version that is there
+    assert table.versions() == [3, 4] and table.read().count() == 3
+    assert table.listed(4) == table.listed(3)
+
+
+def test_one_failing_site_takes_no_other_with_it(spark, tmp_path):
+    ran = []
+
+    def run(due):
+        ids = [r.site_id for r in due.collect()]
+        if "s7" in ids:
+            raise ValueError("seven")
+        ran.extend(ids)
+
+    due = spark.createDataFrame([(f"s{i}",) for i in range(20)], "site_id string")
+    assert monitor.run_due(due, run) == [("s7", "seven")] and sorted(ran) == sorted(f"s{i}" for i in range(20) if i != 7)
+    assert monitor.run_due(due.limit(0), run) == []
+    told, sites = [], spark.createDataFrame([("s7", True, datetime(2024, 1, 1)), ("s1", True, datetime(2024, 1, 1)), ("s2", False, datetime(2024, 1, 1))], "site_id string, monitoring_enabled boolean, next_scheduled_crawl_at timestamp")
+    ran.clear()
+    q = monitor.poll_due(spark, lambda: sites, run, f"{tmp_path}/cp", seconds=1, failed=told.extend)
+    until = time.monotonic() + 60
+    while not told and time.monotonic() < until:
+        time.sleep(0.2)
+    q.stop()
+    assert told[0] == ("s7", "seven") and set(ran) == {"s1"}
+
+
+def test_change_counts(spark):
+    rows = [("s", datetime(2024, 1, 1, 5), "added"), ("s", datetime(2024, 1, 1, 9), "added"), ("s", datetime(2024, 1, 2), "changed"), ("t", datetime(2024, 1, 1), "removed")]
+    got = monitor.change_counts(spark.createDataFrame(rows, "site_id string, created_at timestamp, type string")).collect()
+    assert {(r.site_id, r.window.start.day, r.type): r.n for r in got} == {("s", 1, "added"): 2, ("s", 2, "changed"): 1, ("t", 1, "removed"): 1}
+
+
+WEB = "site_id string, base_url string, site_name string, site_description string, monitoring_enabled boolean, monitoring_frequency string, last_crawled_at timestamp, next_scheduled_crawl_at timestamp, created_at timestamp, updated_at timestamp"
+T0, T1 = datetime(2024, 1, 1), datetime(2024, 2, 1)
+
+
+def websites(spark, *ids):
+    return spark.createDataFrame([(i, i, None, None, False, "daily", None, None, T0, datetime(2024, 1, 1, 0, n)) for n, i in enumerate(ids)], WEB)
+
+
+def test_settings_and_reads(spark):
+    w, now = websites(spark, "https://a.com", "https://b.com", "https://c.com"), F.lit(T1)
+    s = spark.createDataFrame([("https://a.com", True, "hourly"), ("https://b.com", True, "manual"), ("https://c.com", None, "weekly")], "site_id string, enabled boolean, frequency string")
+    got = {r.site_id: (r.monitoring_enabled, r.monitoring_frequency, r.next_scheduled_crawl_at) for r in api.monitored(w, s, now).collect()}
+    assert got == {"https://a.com": (True, "daily", datetime(2024, 2, 2)), "https://b.com": (True, "manual", None), "https://c.com": (False, "weekly", None)}
+    inputs = spark.createDataFrame([("d.com",), ("https://d.com/x",), ("a.com",), ("not a url",), (None,)], "raw string")
+    made = api.created(w, inputs, now).collect()
+    assert sorted(r.site_id for r in made) == ["https://a.com", "https://b.com", "https://c.com", "https://d.com"] and {r.created_at for r in made if r.site_id == "https://d.com"} == {T1}
+    files = spark.createDataFrame([("https://a.com", 1, "old", "{}", T0), ("https://a.com", 2, "new", "{}", T1), ("https://c.com", 1, "c", "{}", T0)], "site_id string, version int, content string, stats string, created_at timestamp")
+    assert [(r.site_id, r.content) for r in api.files_of_recent_websites(w, files, 2).collect()] == [("https://c.com", "c")]
+    crawls = spark.createDataFrame([("https://a.com", 1, "completed", "done", T0), ("https://a.com", 2, "running", "crawling", T1), ("https://c.com", 1, "completed", "done", T0)], "site_id string, crawl_id long, status string, stage string, started_at timestamp")
+    st = {r.site_id: (r.status, r.content) for r in api.status(w, crawls, files).collect()}
+    assert st == {"https://a.com": ("running", None), "https://b.com": (None, None), "https://c.com": ("completed", "c")}
+    events = spark.createDataFrame([("s", f"u{i}", "added", None, datetime(2024, 1, 1 + i % 3)) for i in range(9)] + [("t", "x", "added", None, T1)], "site_id string, url string, type string, title string, created_at timestamp")
+    assert [r.url for r in api.changes(events, "s", 4).collect()] == ["u2", "u5", "u8", "u1"]
+    more = site.crawl_created(crawls, w, "scheduled", now)
+    assert {(r.site_id, r.crawl_id) for r in more.where("trigger = 'scheduled'").collect()} == {("https://a.com", 3), ("https://b.com", 1), ("https://c.com", 2)} and more.count() == 6
+
+
+def test_touched_sites(spark):
+    w = websites(spark, "a", "b").withColumns({"monitoring_enabled": F.lit(True), "monitoring_frequency": F.lit("weekly"), "site_description": F.lit("old")})
+    done = spark.createDataFrame([("a", "Name", None)], "site_id string, site_name string, summary string")
+    got = {r.site_id: (r.site_name, r.site_description, r.last_crawled_at, r.next_scheduled_crawl_at) for r in site.touched(w, done, F.lit(T1)).collect()}
+    assert got == {"a": ("Name", "old", T1, datetime(2024, 2, 8)), "b": (None, "old", None, None)}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_catalog(spark, name):

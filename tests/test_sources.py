@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.sources import html, robots, sitemap
+from corpusloom.sources import html, responses, robots, sitemap
 
 PAGE = """<!DOCTYPE html><html><head><title> My  Page </title><meta property="og:title" content=""><meta name="description" content="Said so">
 <link rel="canonical" href="/canon"><link rel="alternate" type="text/markdown" href="a.md"></head>
@@ -62,3 +62,49 @@ def test_sitemaps(spark):
 def test_agent_is_case_blind(spark):
     df = spark.createDataFrame([("User-Agent: CORPUSLOOMBOT/2\nDisallow: /z",)], "b string")
     assert df.select(robots.parsed(F.col("b")).alias("r")).first().r.disallow == ["/z"]
+
+
+ROWS = "url string, status_code int, location string, content_type string, content_length long, body binary, error string"
+
+
+def test_fetched(spark):
+    """Redirects, safety at every hop (by name and by address), lengths, bounds, failures."""
+    rows = [
+        ("https://a.com/", 200, None, "text/html", None, b"\xc3\xa9" * 6, None),
+        ("https://b.com/", 301, "/x", None, None, None, None),
+        ("https://b.com/x", 302, "https://evil.com/y", None, None, None, None),
+        ("https://evil.com/y", 200, None, "text/html", None, b"never read", None),
+        ("https://c.com/", 302, None, None, None, None, None),
+        ("https://d.com/", 200, None, "text/html", 99, b"said too long", None),
+        ("https://e.com/", None, None, None, None, None, "Request timed out"),
+        ("https://f.com/", 302, "https://f.com/", None, None, None, None),
+        ("https://g.com/", 404, None, "text/html", None, None, None),
+    ]
+    names = [r[0] for r in rows if "evil" not in r[0] and not r[0].endswith("x")] + ["https://h.com/", "ftp://i.com/", "http://10.0.0.1/"]
+    hosts = [(n.split("/")[2], "93.184.216.34") for n in names if n.startswith("https")] + [("evil.com", "10.1.1.1")]
+    asked = spark.createDataFrame([(n,) for n in names], "url string")
+    got = {r.url: r for r in responses.fetched(asked, spark.createDataFrame(rows, ROWS), 9, 5, spark.createDataFrame(hosts, "host string, ip string")).collect()}
+    assert set(got) == set(names) and [n for n in names if got[n].ok] == ["https://a.com/"]
+    assert got["https://a.com/"].truncated and got["https://a.com/"].body == "éééé\ufffd"
+    assert got["https://b.com/"].final_url == "https://evil.com/y" and "10.1.1.1" in got["https://b.com/"].error and got["https://b.com/"].error.startswith("Blocked for safety")
+    assert got["https://c.com/"].error == "Redirect (302) with no Location header" and got["https://d.com/"].error == "Response too large" and got["https://d.com/"].body == ""
+    assert got["https://e.com/"].error == "Request timed out" and got["https://f.com/"].error == "Too many redirects"
+    assert (got["https://g.com/"].status_code, got["https://g.com/"].error, got["https://h.com/"].error) == (404, None, "no response")
+    assert got["ftp://i.com/"].error.startswith("Blocked for safety") and got["http://10.0.0.1/"].status_code == 0
+    assert responses.fetched(asked.limit(0), spark.createDataFrame(rows, ROWS)).collect() == []
+
+
+def test_rendered_pages_take_the_place_of_shells(spark):
+    pages = spark.createDataFrame([("a", "<shell>", True), ("b", "<full>", False), ("c", "<shell>", True), ("d", "<shell>", True)], "url string, html string, empty_shell boolean")
+    made = spark.createDataFrame([("a", "<made>"), ("b", "<made>"), ("d", "")], "url string, html string")
+    got = {r.url: (r.html, r.was_rendered) for r in responses.with_rendered(pages, made).collect()}
+    assert got == {"a": ("<made>", True), "b": ("<full>", False), "c": ("<shell>", False), "d": ("<shell>", False)}
+
+
+def test_downloads(spark, tmp_path):
+    files = spark.createDataFrame([("https://a.com", 1, "old"), ("https://a.com", 2, "# New\n\nline\n"), ("b", 1, "# B")], "site_id string, version int, content string")
+    got = {r.site_id: (r.content, r.file_name, r.content_type) for r in responses.downloads(files).collect()}
+    assert got == {"https://a.com": ("# New\n\nline\n", "llms.txt", "text/markdown; charset=utf-8"), "b": ("# B", "llms.txt", "text/markdown; charset=utf-8")}
+    responses.write_downloads(files, f"file://{tmp_path}/out")
+    texts = {p.parent.name: p.read_text() for p in (tmp_path / "out").glob("site=*/part-*")}
+    assert texts == {"site=https_a.com": "# New\n\nline\n", "site=b": "# B\n"}
