@@ -2,6 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's docs.
 All but the last return the columns of documents.
+
+Defined cases: an empty table gives an empty result; a null text has no words and is rejected by the first stage, but stages that get one keep
+it; rows with a null doc_id pass near-dedup and decontamination, and rows that share a doc_id stay or go together there; columns that
+documents have besides are kept.
 """
 
 from __future__ import annotations

@@ -1,13 +1,14 @@
-"""Shared pieces of the training-data operators: the shared folder, Arrow maps, bounded look-ups."""
+"""Shared pieces of the training-data operators: Arrow maps, bounded look-ups, samples, and the shared folder of the rest of the library.
+
+Defined cases: maps take rows as they are, repeated ones as often as they stand there; a null text is empty, a null key stays null; an
+empty table gives no batch, so that what a map tells at a task's end is told of none; sample_rows takes all rows that share a key, or none."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import threading
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,35 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from corpusloom.plans.shared import numbered, scratch, shared_root, stored  # noqa: F401 (operators take them from here)
+
 # White space as in Unicode-aware patterns of the tokenizers (\s), which leaves out \x1c-\x1f.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Rows in one Arrow batch; a batch of long texts stays small enough for a Python worker.
 ROWS_PER_BATCH = 500
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing else writes there."""
-    return f"{shared_root(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def joined_anew(totals: DataFrame, key: str) -> DataFrame:
     """totals, which are aggregated by a whole-number key, with the key computed again (its complement twice): a join back by it then shuffles both sides, and
     Spark can split a hot key's rows of the other side over tasks. Without that it takes the totals as they lie, and can not."""

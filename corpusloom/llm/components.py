@@ -13,7 +13,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Large star and small star by turns: every id's larger neighbours are tied to its smallest neighbour, then every id's
     smaller ones. Minima are aggregated before the shuffle and joined back so that a hub's links can be split over tasks.
-    Each turn is written to the shared folder; the loop ends when a turn changes nothing. No links: an empty table."""
+    Each turn is written to the shared folder; the loop ends when a turn changes nothing. No links: an empty table. A link
+    that is there twice counts once, and its ends may stand in either order."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y"))
     edges = stored(edges.where("x and y and u > v").select("u", "v").distinct(), "links")
     last = None

@@ -87,7 +87,19 @@ def quotes_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(with_quotes(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {"quotes_linked": quotes_linked, "op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_minhash": op5_minhash, "op6_compaction": op6_compaction, "op7_hmm": op7_hmm, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_quotes": op10_quotes}
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 tells of the base kinds, which SQL can say too; the field's spans it can't."""
+    return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def hmm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 tells beside the model's score."""
+    from pyspark.sql import functions as F
+
+    return op7_hmm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+QUERIES = {"quotes_linked": quotes_linked, "secrets_base": secrets_base, "hmm_base": hmm_base, "op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_minhash": op5_minhash, "op6_compaction": op6_compaction, "op7_hmm": op7_hmm, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_quotes": op10_quotes}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -201,6 +213,35 @@ j AS (SELECT p.conv_id, p.turn, p.role, p.text, CAST(len(list_filter(l, lambda x
 SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY root NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text) - 1 AS position FROM j
 """
 
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: Places of matches are sums of the lengths of what stands between them and of the matches before them.
+BASE_SECRETS_SQL = rf"""
+WITH pat AS (SELECT '({_either('password')}|{_either('passwd')}|{_either('secret')}|{_either('token')}|{_either('api')}_?{_either('key')})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS p0, 'AKIA[A-Z0-9]+' AS p1, '[0-9a-f]+' AS p2),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT rid, 0 AS o, 'assign' AS k, regexp_split_to_array(t, p0) AS gap, regexp_extract_all(t, p0, 0) AS hit, list_transform(regexp_extract_all(t, p0, 2), lambda x: length(x) >= 12) AS ok FROM d, pat
+  UNION ALL SELECT rid, 1, 'access', regexp_split_to_array(t, p1), regexp_extract_all(t, p1, 0), list_transform(regexp_extract_all(t, p1, 0), lambda x: length(x) >= 18) FROM d, pat
+  UNION ALL SELECT rid, 2, 'hex', regexp_split_to_array(t, p2), regexp_extract_all(t, p2, 0), list_transform(regexp_extract_all(t, p2, 0), lambda x: length(x) >= 16) FROM d, pat),
+m AS (SELECT rid, o, k, unnest(range(1, len(hit) + 1)) AS i, gap, hit, ok FROM k),
+l AS (SELECT rid, o, k, ok[i] AS ok, length(hit[i]) AS n, sum(length(gap[i])) OVER w AS gaps, coalesce(sum(length(hit[i])) OVER (PARTITION BY rid, o ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hits FROM m WINDOW w AS (PARTITION BY rid, o ORDER BY i ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT rid, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+  string_agg(concat(k, ':', CAST(gaps + hits AS BIGINT), ':', CAST(gaps + hits + n AS BIGINT)), ',' ORDER BY gaps + hits, o) AS spans FROM l WHERE ok GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN s USING (rid)
+"""
+
+BASE_HMM_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> ''), ' ') AS ws,
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM documents),
+h AS (SELECT rid, doc_id, ws, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([1, 2, 3, 4, 5, 6, 7, 8] AS BIGINT[])), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 7 = 2 AS held_out FROM d),
+t AS (SELECT rid, held_out, unnest(ws) AS w FROM h),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c),
+s AS (SELECT rid, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 1) / (n + v + 1))) AS base_score FROM t LEFT JOIN c USING (w), n GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, CAST(n AS BIGINT) AS train_tokens, round(base_score, 4) AS base_score FROM h JOIN s USING (rid), n
+"""
+
 #: The same over messages that quote each other, as with_quotes() has them.
 QUOTED_SQL = OP10_SQL.replace("FROM conversations)", "FROM quoted)", 1).replace("WITH RECURSIVE ", r"""WITH RECURSIVE one AS (SELECT conv_id, turn, min(text) AS t FROM conversations GROUP BY ALL),
 src AS (SELECT c.*, a.t AS t1, b.t AS t2, z.t AS t0 FROM conversations c LEFT JOIN one a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1
@@ -211,4 +252,4 @@ quoted AS (SELECT conv_id, turn, role, CASE WHEN turn = 0 THEN CASE WHEN conv_id
   WHEN (conv_id + turn) % 4 = 1 THEN q1 WHEN (conv_id + turn) % 4 = 2 THEN q2 || q1 WHEN (conv_id + turn) % 4 = 3 THEN q2 ELSE '' END || coalesce(text, '') AS text FROM lead),
 """, 1)
 
-SQL = {"op8_warc": OP8_SQL, "quotes_linked": QUOTED_SQL, "op6_compaction": OP6_SQL, "op10_quotes": OP10_SQL, "op4_decontaminate": OP4_SQL.replace("[UNITS]", str(UNITS)), "op5_minhash": OP5_SQL, "op1_quality": OP1_SQL}
+SQL = {"secrets_base": BASE_SECRETS_SQL, "hmm_base": BASE_HMM_SQL, "op8_warc": OP8_SQL, "quotes_linked": QUOTED_SQL, "op6_compaction": OP6_SQL, "op10_quotes": OP10_SQL, "op4_decontaminate": OP4_SQL.replace("[UNITS]", str(UNITS)), "op5_minhash": OP5_SQL, "op1_quality": OP1_SQL}

@@ -18,10 +18,10 @@ place in the order, told apart by role and text; an empty table gives an empty r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import numbered, stored
 
 #: Words that a message must share with one of another conversation to be linked with it.
 LEAST_WORDS = 5
@@ -80,16 +80,6 @@ def _roots(replies: DataFrame) -> DataFrame:
         up = stored(up.join(over, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "replies")
 
 
-def _numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """rows with position: 0, 1, … within each key. The sort is dealt by ranges, so a key's rows may lie in many tasks; only counts of a key in a task are windowed."""
-    placed = stored(rows.orderBy(key, *order).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)), "ordered")
-    parts = placed.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__low"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.select(F.col(key).alias("__key"), F.col("__part").alias("__of"), (before - F.col("__low")).alias("__shift"))
-    out = placed.join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__of")))
-    return out.withColumn("position", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__key", "__of", "__shift")
-
-
 def reply_ordered(messages: DataFrame, time: str | None = None) -> DataFrame:
     """One row for each message: conv_id, turn, role, text without quotes, quoted_lines, quote_levels, reply_to, linked_conv, linked_turn, root, depth, position.
     time: a column that tells when a message was written; it decides which conversation a passage comes from."""
@@ -107,7 +97,7 @@ def reply_ordered(messages: DataFrame, time: str | None = None) -> DataFrame:
     out = p.select("conv_id", "turn", "role", F.col("body").alias("text"), count.alias("quoted_lines"), most.alias("quote_levels"))
     out = out.join(replies.select("conv_id", "turn", F.when(F.col("to_conv") == F.col("conv_id"), F.col("to_turn")).alias("reply_to"), F.col("to_conv").alias("linked_conv"), F.col("to_turn").alias("linked_turn")), ["conv_id", "turn"], "left")
     out = out.join(roots, ["conv_id", "turn"], "left").withColumns({"root": F.coalesce("root", "turn"), "depth": F.coalesce("depth", F.lit(0).cast("long"))})
-    return _numbered(out, "conv_id", ["root", "turn", "role", "text"])
+    return numbered(out, "conv_id", ["root", "turn", "role", "text"], "position")
 
 
 def chat_lines(messages: DataFrame) -> DataFrame:

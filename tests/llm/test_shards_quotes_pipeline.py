@@ -235,6 +235,18 @@ def test_pipeline(spark, tmp_path):
         assert (stage.columns == docs.columns) == (k < 4)
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, nulls, repeated rows, and columns of other names."""
+    wide = DDL + ", ids string, text2 string, __gone int, component_id long"
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for name, rows in (("none", []), ("odd", [(None, prose(1)), (None, prose(1)), (5, None), (7, prose(2)), (7, prose(2)), (8, prose(2))])):
+        spark.createDataFrame([(i, t, "en", None, None, "x", "y", 1, 2) for i, t in rows], wide).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert sorted((r.doc_id for r in got), key=str) == ([] if name == "none" else [7, 7, None, None])
+        assert all(len(r.ids) > 50 and r.component_id == 2 for r in got)
+
+
 def test_encoding_is_decoded(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "plain é 日本 text", "en", "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0)], DDL)
     assert {r.doc_id: len(r.ids) > 0 for r in corpus_pipeline.encode(spark, docs, "").collect()} == {1: True, 2: False, 3: False}
