@@ -12,9 +12,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import decode_documents, encode_documents
+from corpusloom.llm.bpe import encode_documents
 from corpusloom.llm.common import stored
 from corpusloom.llm.decontaminate import decontaminate
 from corpusloom.llm.minhash import near_dedup
@@ -47,10 +46,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the ids of their text, which are decoded again; an id list that does not give its text back is an error."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = decode_documents(encode_documents(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN, output="__decoded")
-    same = F.col("__decoded") == F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
-    return out.withColumn("ids", F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("ids do not decode to their text")))).drop("__decoded")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, check=True)
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", dedup), ("decontamination", clean_of_benchmark), ("secret_scan", without_secrets), ("bpe", encode)]

@@ -3,7 +3,11 @@
 A pre-token's bytes form a linked list. Each merge rank has a bucket of list positions; a bitmap of two levels
 marks the buckets that are not empty, and find-first-set gives the next rank. An entry whose pair has changed since
 it was filed is stale and is skipped. Every operation costs a constant number of word operations (and the log of a
-bucket), so a pre-token of n bytes takes O(n log n), not O(n²). Ids of short chunks are remembered, within a bound.
+bucket), so a pre-token of n bytes takes O(n log n), not O(n²).
+
+Short pre-tokens share one queue, a batch of them at a time: their lists lie in one array, and a bucket's positions are merged
+in vectors, of each pre-token the leftmost only, so that each is merged in its own order. A long pre-token has a queue for
+itself. Ids of short chunks are remembered within a bound until the task ends.
 
 A text is first cut into chunks whose pre-tokens do not depend on what stands around them: before each space where no
 white space follows a space; else runs of characters that are no white space with at most one space before, and the
@@ -20,18 +24,23 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE, Memo, bytes_text, map_rows, small_batches
+from corpusloom.llm.common import SPACE, arrow_schema, bytes_text, release, small_batches
 
 # Fixed value: the pattern of pre-tokens for which texts may be cut into chunks first.
 CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks and pre-tokens up to this length are remembered: in each worker the last so many, and as many older ones.
-REMEMBER_CHARS, REMEMBER, PAIRS = 48, 300_000, 100_000
+#: Chunks and pre-tokens up to this length are remembered, so many of them; pairs of ids whose merge is remembered.
+REMEMBER_CHARS, REMEMBER, PAIRS = 48, 100_000, 100_000
+#: Pre-tokens of more bytes have a queue for themselves, so many others share one; bytes of text, about, that are encoded together.
+SHORT_BYTES, SHARE, TOGETHER_BYTES = 64, 1 << 17, 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,14 +57,17 @@ class RankQueue:
         self.bit = [1 << k for k in range(max(256, len(self.low)))]
         self.buckets: dict[int, int | list[int]] = {}
 
+    def mark(self, rank: int) -> None:
+        a = rank >> 8
+        if not self.low[a]:
+            self.top |= self.bit[a]
+        self.low[a] |= self.bit[rank & 255]
+
     def push(self, rank: int, at: int) -> None:
         buckets = self.buckets
         if rank not in buckets:
             buckets[rank] = at
-            a = rank >> 8
-            if not self.low[a]:
-                self.top |= self.bit[a]
-            self.low[a] |= self.bit[rank & 255]
+            self.mark(rank)
         elif isinstance(bucket := buckets[rank], int):
             buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
         else:
@@ -82,8 +94,39 @@ class RankQueue:
         return rank, at
 
 
+class RankQueues(RankQueue):
+    """The same of many lists at once: a bucket holds arrays of positions, and is taken whole."""
+
+    def file(self, ranks: np.ndarray, at: np.ndarray) -> None:
+        """Positions with their ranks; those of rank -1 have none."""
+        has = ranks >= 0
+        ranks, at = ranks[has], at[has]
+        order = np.argsort(ranks, kind="stable")
+        ranks, at = ranks[order], at[order]
+        begin = 0
+        for end in [*(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(at)] if len(at) else ():
+            rank = int(ranks[begin])
+            if rank in self.buckets:
+                self.buckets[rank].append(at[begin:end])
+            else:
+                self.buckets[rank] = [at[begin:end]]
+                self.mark(rank)
+            begin = end
+
+    def take(self) -> tuple[int, np.ndarray]:
+        """The lowest rank and its positions in their order, each once; only while top is not 0."""
+        a = (self.top & -self.top).bit_length() - 1
+        first = self.low[a] & -self.low[a]
+        rank = (a << 8) + first.bit_length() - 1
+        self.low[a] ^= first
+        if not self.low[a]:
+            self.top &= self.top - 1
+        parts = self.buckets.pop(rank)
+        return rank, parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
 class Tokenizer:
-    """Ranks and the pattern of pre-tokens, with what a worker remembers."""
+    """Ranks and the pattern of pre-tokens, with what a task remembers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -94,8 +137,16 @@ class Tokenizer:
         self.pretokens = found.findall if self.cut else lambda text: [m.group() for m in found.finditer(text)]
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]").findall
         self.space_space = re.compile(f" [{SPACE}]").search
-        self.memo = Memo(REMEMBER)
+        self.odd = f" [{SPACE}]|\\x00"
+        self.memory: dict[str, bytes] = {}
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.two = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
+        self.vocabulary = pa.array([self.bytes_of.get(i) for i in range(max(ranks.values(), default=-1) + 1)], pa.binary())
+
+    def forget(self) -> None:
+        """To be called when a task ends: its memory goes back to the system."""
+        self.memory, self.pairs = {}, {}
+        release()
 
     def pair(self, a: int, b: int) -> int:
         r = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
@@ -152,38 +203,116 @@ class Tokenizer:
             i = after[i]
         return out
 
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each of some pre-tokens of a byte or more, as little-endian unsigned 32-bit integers."""
+        if len(pieces) > SHARE:
+            return [x for i in range(0, len(pieces), SHARE) for x in self.merge_many(pieces[i : i + SHARE])]
+        if not pieces:
+            return []
+        queue = RankQueues(max(len(self.vocabulary), 1))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32)
+        n, ends = len(data), np.cumsum(lengths)
+        of = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        # Position n stands behind and before all lists.
+        ids = np.append(np.array([-1 if x is None else x for x in self.single], np.int32)[data], np.int32(0))
+        after, before, filed = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32), np.full(n + 1, -1, np.int32)
+        after[ends - 1] = before[ends - lengths] = n
+        filed[: n - 1] = self.two[data[:-1] << 8 | data[1:]]
+        filed[ends - 1] = -1
+        alive = np.ones(n, bool)
+        queue.file(filed[:n], np.arange(n, dtype=np.int32))
+        while queue.top:
+            rank, at = queue.take()
+            at = at[filed[at] == rank]  # the others are stale
+            own = of[at]
+            first = np.append(True, own[1:] != own[:-1])[: len(at)]
+            if not first.all():
+                queue.file(np.full(len(at) - int(first.sum()), rank), at[~first])
+                at = at[first]
+            j = after[at]
+            k = after[j]
+            ids[at], filed[j], alive[j], after[at], before[k] = rank, -1, False, k, at
+            h = before[at]
+            right, left = k < n, h < n
+            filed[at] = -1
+            moved = np.concatenate([at[right], h[left]])
+            filed[moved] = found = self._ranks(np.concatenate([ids[at[right]], ids[h[left]]]), np.concatenate([ids[k[right]], ids[at[left]]]))
+            queue.file(found, moved)
+        kept = ids[:n][alive].astype("<u4")
+        stops = np.cumsum(np.bincount(of[alive], minlength=len(pieces))) * 4
+        raw = kept.tobytes()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, or -1."""
+        keys, which = np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)
+        known, pair = self.pairs.get, self.pair
+        return np.array([pair(k >> 32, k & 0xFFFFFFFF) if (r := known(k)) is None else r for k in keys.tolist()], np.int32)[which]
+
     def piece(self, text: str) -> bytes:
         """Ids of a pre-token as little-endian unsigned 32-bit integers."""
-        got = self.memo.new.get(text)
-        if got is None:
-            got = self.memo.old.get(text) or array("I", self.merge(text.encode("utf-8", "surrogatepass"))).tobytes()
-            if len(text) <= REMEMBER_CHARS:
-                self.memo.new[text] = got
-        return got
-
-    def chunk(self, text: str) -> bytes:
-        """Ids of a chunk. What is remembered of a pre-token and of a chunk that reads the same is the same."""
-        got = self.memo.old.get(text)
-        if got is None:
-            pieces = self.pretokens(text)
-            if len(pieces) == 1:
-                return self.piece(text)
-            got = b"".join(map(self.piece, pieces))
-        if "\n" not in text and len(text) <= REMEMBER_CHARS:
-            self.memo.new[text] = got
-        return got
+        got = self.memory.get(text)
+        return array("I", self.merge(text.encode("utf-8", "surrogatepass"))).tobytes() if got is None else got
 
     def encode(self, text: str) -> bytes:
-        self.memo.begin()
-        if not self.cut:
-            return b"".join(map(self.piece, self.pretokens(text)))
-        chunks = self.chunks(text) if "\0" in text or self.space_space(text) else text.replace(" ", "\0 ").split("\0")
-        get, make = self.memo.new.get, self.chunk
-        return b"".join([get(c) or make(c) for c in chunks])
+        """Ids of one text."""
+        return self.encode_column(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode_column(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many there are of each. Chunks are found, told apart and put together in vectors; of those not
+        seen before, new pre-tokens are merged together."""
+        if not self.cut or not len(texts):
+            raw = [b"".join(map(self.piece, self.pretokens(x))) for x in texts.to_pylist()]
+            return np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
+        odd = pc.match_substring_regex(texts, self.odd)
+        lists = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+        if pc.any(odd).as_py():
+            some = pc.indices_nonzero(odd)
+            place = np.arange(len(texts))
+            place[some.to_numpy()] = len(texts) + np.arange(len(some))
+            lists = pa.concat_arrays([lists, pa.array([self.chunks(x) for x in texts.take(some).to_pylist()], lists.type)]).take(pa.array(place))
+        coded = lists.flatten().dictionary_encode()
+        found = pa.array(self._chunks(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
+        offsets = np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1] if len(found) else np.zeros(1, np.int32)
+        ids = np.frombuffer(found.buffers()[2], np.uint8)[: offsets[-1]].view("<u4") if offsets[-1] else np.empty(0, "<u4")
+        stops = offsets[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)] // 4
+        return ids, np.diff(stops.astype(np.int64), prepend=0)
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each of some distinct chunks."""
+        if len(self.memory) > REMEMBER:
+            self.memory = {}
+        memory = self.memory
+        out = [memory.get(c) for c in chunks]
+        new = [i for i, x in enumerate(out) if x is None]
+        parts = [self.pretokens(chunks[i]) for i in new]
+        pieces = list({p for ps in parts for p in ps if p not in memory})
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        short = [k for k, x in enumerate(raw) if len(x) <= SHORT_BYTES]
+        made = dict(zip([pieces[k] for k in short], self.merge_many([raw[k] for k in short]), strict=True))
+        for p in pieces:
+            if p not in made:
+                made[p] = self.piece(p)
+        for i, ps in zip(new, parts, strict=True):
+            out[i] = got = b"".join([made[p] if p in made else memory[p] for p in ps])
+            if len(chunks[i]) <= REMEMBER_CHARS:
+                made[chunks[i]] = got  # a chunk that reads like a pre-token has its ids
+        memory.update({c: x for c, x in made.items() if len(c) <= REMEMBER_CHARS})
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_column(self, ids: np.ndarray, n: np.ndarray) -> pa.BinaryArray:
+        """The bytes of each list of ids, which lie behind each other, n of each."""
+        if len(ids) and (ids.max() >= len(self.vocabulary) or self.vocabulary.null_count and self.vocabulary.take(pa.array(ids)).null_count):
+            raise KeyError("an id that the vocabulary does not have")
+        pieces = self.vocabulary.take(pa.array(ids, pa.int64()))
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
+        stops = np.concatenate([[0], offsets[np.cumsum(n)]]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(stops), pieces.buffers()[2] or pa.py_buffer(b"")])
+
 
 #: Tokenizers of this process, with what they remember: a Python worker keeps them from task to task.
 _HELD: dict[tuple[str, str], Tokenizer] = {}
@@ -202,41 +331,80 @@ def ids_of(raw: bytes) -> array:
     return ids
 
 
+def _together(batches: Iterator, size) -> Iterator[list]:
+    """Batches in groups of TOGETHER_BYTES, about: the more texts together, the fewer chunks are distinct."""
+    waiting, held = [], 0
+    for b in batches:
+        waiting.append(b)
+        held += size(b)
+        if held >= TOGETHER_BYTES:
+            yield waiting
+            waiting, held = [], 0
+    if waiting:
+        yield waiting
+
+
 def encode_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row for each document: ids counted and digested, and the digest of the bytes to which they decode."""
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = arrow_schema(ddl)
+    small_batches(docs.sparkSession)
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
-
-        def batch(rows):
-            raw = [t.encode(x) for x in rows["text"]]
-            sha = lambda b: hashlib.sha256(b).hexdigest()
-            return {"doc_id": rows["doc_id"], "n_tokens": [len(x) // 4 for x in raw], "ids_sha256": list(map(sha, raw)), "decoded_sha256": [sha(t.decode(ids_of(x))) for x in raw]}
-
-        return batch
-
-    return map_rows(bytes_text(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", start)
-
-
-def encode_documents(docs: DataFrame, path: str, pattern: str, output: str = "ids") -> DataFrame:
-    """The documents with a column of ids (array<int>), in place of any column of that name."""
+        for group in _together(batches, lambda b: b.column("text").nbytes):
+            table = pa.Table.from_batches(group).combine_chunks()
+            names, texts = (table.column(k).combine_chunks() for k in ("doc_id", "text"))
+            ids, n = t.encode_column(texts)
+            stops = np.cumsum(n)
+            sha = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip((stops - n).tolist(), stops.tolist(), strict=True)]
+            decoded = t.decode_column(ids, n)
+            back = [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded]
+            yield pa.RecordBatch.from_arrays([names, pa.array(n), pa.array(sha, pa.string()), pa.array(back, pa.string())], schema=schema)
+            group = table = texts = ids = decoded = None
+            release()
+        t.forget()
+
+    return bytes_text(docs).mapInArrow(run, ddl)
+
+
+def checked(t: Tokenizer, texts: pa.StringArray, ids: np.ndarray, n: np.ndarray) -> None:
+    """Raises where the ids of some text do not decode to it."""
+    if not t.decode_column(ids, n).equals(texts.cast(pa.binary())):
+        raise ValueError("ids do not decode to their text")
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, output: str = "ids", check: bool = False) -> DataFrame:
+    """The documents with a column of ids (array<int>), in place of any column of that name. check: the same task decodes them and compares the bytes."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<int>")
-    def encode(texts):
+    @F.arrow_udf("array<int>")
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = tokenizer(path, pattern)
-        return texts.map(lambda x: ids_of(t.encode(x)).tolist())
+        for group in _together(texts, lambda b: b.nbytes):
+            texts_now = pa.concat_arrays(group)
+            ids, n = t.encode_column(texts_now)
+            if check:
+                checked(t, texts_now, ids, n)
+            offsets, at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32), 0
+            every = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))
+            for b in group:
+                yield every.slice(at, len(b))
+                at += len(b)
+            group = texts_now = ids = every = b = None
+            release()
+        t.forget()
 
     return docs.withColumn(output, encode(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
-    """The documents with the bytes to which their ids decode."""
+    """The documents with the bytes to which their ids decode; of null ids none."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("binary")
-    def decode(lists):
-        t = tokenizer(path, pattern)
-        return lists.map(lambda x: b"" if x is None else t.decode(x.tolist() if hasattr(x, "tolist") else x))
+    @F.arrow_udf("binary")
+    def decode(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return tokenizer(path, pattern).decode_column(flat, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
 
     return docs.withColumn(output, decode(F.col(ids)))

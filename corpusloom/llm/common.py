@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import threading
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +38,13 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
+def release() -> None:
+    """To be called when a task ends: what its Python worker has freed goes back to the system, for the worker stays and other stages need the memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, ddl: str, start: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """mapInArrow over columns as Python lists. start() runs once in each task and returns the function of a batch;
     strings arrive as they are, binary as bytes."""
@@ -52,6 +57,8 @@ def map_rows(df: DataFrame, ddl: str, start: Callable[[], Callable[[dict[str, li
             f = f or start()
             out = f({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)})
             yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in schema], schema=schema)
+        f = out = b = None
+        release()
 
     return df.mapInArrow(run, ddl)
 
@@ -61,33 +68,6 @@ def bytes_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-class Memo:
-    """What a Python worker remembers from task to task: the last `most` entries and as many older ones. A worker that has not
-    asked for a while forgets all, so that its memory is there for other operators."""
-
-    IDLE_SECONDS = 4
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-        self.asked, self.watch = 0.0, None
-
-    def begin(self) -> None:
-        """To be called before a batch; new and old are not replaced before the next call."""
-        self.asked = time.monotonic()
-        if self.watch is None:
-            self.watch = threading.Thread(target=self._forget, daemon=True)
-            self.watch.start()
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-
-    def _forget(self) -> None:
-        while (left := self.asked + self.IDLE_SECONDS - time.monotonic()) > 0:
-            time.sleep(left)
-        self.new, self.old, self.watch = {}, {}, None
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
-
-
 def sample_rows(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
     """About `rows` rows, chosen by a hash of the key, so that every run chooses the same; all rows of a small table."""
     total = df.count()

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_schema, bytes_text, map_rows, small_batches, stored
+from corpusloom.llm.common import arrow_schema, bytes_text, map_rows, release, small_batches, stored
 
 STATES, ROUNDS = 6, 4
 #: Buckets of words; of them, classes of their own at most; classes of the rest. FINE is a multiple of TIED.
@@ -254,6 +254,8 @@ def read_texts(docs: DataFrame, held_out: int) -> tuple[DataFrame, DataFrame]:
                 yield counts()
                 words, total = Words(), np.zeros(1, np.int64)
         yield counts()
+        words = total = None
+        release()
 
     small_batches(docs.sparkSession)
     found = stored(bytes_text(docs).mapInArrow(run, ddl), "training")
@@ -305,6 +307,8 @@ def baum_welch(texts: DataFrame, of: np.ndarray, per_class: np.ndarray, rounds:
             if not isinstance(total, float):
                 some = np.flatnonzero(total > 1e-9)
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], schema=schema)
+            waiting = []
+            release()
 
         sums = texts.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum(F.col("x").cast("decimal(30,9)")).cast("double").alias("x")).toPandas()
         flat = np.zeros(states + states * states + size * states)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_schema, bytes_text, joined_anew, map_rows, stored
+from corpusloom.llm.common import arrow_schema, bytes_text, joined_anew, map_rows, release, stored
 from corpusloom.llm.components import connected_components
 
 PERMUTATIONS, BAND = 120, 3
@@ -249,6 +249,8 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
                 sigs.append(v)
         if len(ids) > 1:
             yield done()
+        ids, sets, sigs = [], [], []
+        release()
 
     return members.repartition("g").sortWithinPartitions("g").select("g", "id", "set", "sig").mapInArrow(run, "a long, b long")
 

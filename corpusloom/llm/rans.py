@@ -17,8 +17,6 @@ rows of one doc_id by their ids' bytes; an empty table makes no file; extra colu
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import json
 import os
 import re
@@ -36,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE, arrow_schema, bytes_text, map_rows, scratch, small_batches, stored
+from corpusloom.llm.common import SPACE, arrow_schema, bytes_text, map_rows, release, scratch, small_batches, stored
 
 MAGIC, TABLE_MAGIC, TABLE_NAME = b"RANS0002", b"RANSFREQ", "table.freq"
 LANES, SCALE_BITS, BLOCK_IDS, POINTS = 512, 20, 1 << 18, 4
@@ -342,8 +340,7 @@ class WordTokenizer:
     def forget(self) -> None:
         """To be called when a task ends: its memory goes back to the system."""
         self.memory = {}
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words that are not plain."""
@@ -534,6 +531,7 @@ def write_files(ids: DataFrame, kind: str, freq: np.ndarray, path: str, files: i
         n = len(made)
         columns = [[TaskContext.get().partitionId()] * n, [name] * n, range(n), *zip(*made, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), x.type) for c, x in zip(columns, schema, strict=True)], schema=schema)
+        release()
 
     dealt = ids.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     dealt.select("doc_id", "ids").mapInArrow(run, ddl).write.parquet(f"{path}/sections")

@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -58,6 +59,23 @@ def test_ids_are_the_library_s(reference):
         assert t.decode(ids) == text.encode()
 
 
+def test_texts_together(reference):
+    """Many texts in one queue, with words that share ranks, repeat pairs, and are long."""
+    t, rng = bpe.Tokenizer(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN), random.Random(5)
+    words = ["".join(rng.choice("abesht") for _ in range(rng.randint(1, 70))) for _ in range(3000)] + ["a" * k for k in range(1, 70)] + ["ab" * k for k in range(1, 40)] + ["é" * k for k in range(1, 40)]
+    texts = [x or "" for x in TEXTS] + fuzz(500, 9) + [" ".join(rng.choice(words) for _ in range(30)) for _ in range(300)] + ["x\0y \0 z", "\0", " \u3000 a", ""]
+    for _ in range(2):  # the second time all is remembered
+        ids, n = t.encode_column(pa.array(texts))
+        want = [reference.encode_ordinary(x) for x in texts]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert t.decode_column(ids, n).to_pylist() == [x.encode() for x in texts]
+    assert t.merge_many([w.encode() for w in words]) == [np.array(t.merge(w.encode()), "<u4").tobytes() for w in words]
+    t.forget()
+    assert t.encode_column(pa.array([], pa.string()))[0].tolist() == [] and t.merge_many([]) == []
+    with pytest.raises(KeyError):
+        t.decode_column(np.array([1 << 20]), np.array([1]))
+
+
 def test_queue_pops_by_rank_then_place():
     q, rng = bpe.RankQueue(70_000), random.Random(3)
     items = [(rng.randrange(70_000), rng.randrange(1000)) for _ in range(2000)] + [(5, k) for k in (3, 1, 2)]

@@ -247,13 +247,19 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         assert all(len(r.ids) > 50 and r.component_id == 2 for r in got)
 
 
-def test_encoding_is_decoded(spark, monkeypatch):
+def test_encoding_is_decoded(spark):
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    from corpusloom.llm import bpe
+
     docs = spark.createDataFrame([(1, "plain é 日本 text", "en", "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0)], DDL)
     assert {r.doc_id: len(r.ids) > 0 for r in corpus_pipeline.encode(spark, docs, "").collect()} == {1: True, 2: False, 3: False}
-    whole = corpus_pipeline.encode_documents
-    monkeypatch.setattr(corpus_pipeline, "encode_documents", lambda *a: whole(*a).selectExpr("* except (ids)", "slice(ids, 1, 1) ids"))
-    with pytest.raises(Exception, match="do not decode"):
-        corpus_pipeline.encode(spark, docs, "").collect()
+    t, texts = bpe.Tokenizer(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN), pa.array(["plain é 日本 text", ""])
+    ids, n = t.encode_column(texts)
+    bpe.checked(t, texts, ids, n)
+    with pytest.raises(ValueError, match="do not decode"):
+        bpe.checked(t, texts, ids[1:], n - [1, 0])
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
