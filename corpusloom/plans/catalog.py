@@ -718,9 +718,11 @@ m AS (SELECT * EXCLUDE (rn), CAST(NULL AS VARCHAR) AS section_override FROM w3 W
 
 @query(
     over(
-        """, cw AS (SELECT site_id, count(*) AS crawled, count(*) FILTER (ord % 11 = 0) AS added, count(*) FILTER (ord % 11 <> 0 AND ord % 7 = 0) AS changed FROM w0 GROUP BY 1), ci AS (SELECT site_id, count(*) AS n FROM l GROUP BY 1)
-SELECT rd.site_id, content, TRUE AS valid, CAST(len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(trim(x, E' \\t\\r'), '^-\\s+\\[[^\\]]+\\]\\([^)\\s]+\\)(:\\s*.*)?$'))) AS BIGINT) AS link_count, d.n AS discovered, crawled, ci.n AS included, d.n - ci.n AS excluded, added, changed, CAST(0 AS BIGINT) AS removed
-FROM rd JOIN cw USING (site_id) JOIN ci USING (site_id) JOIN (SELECT site_id, count(*) AS n FROM b GROUP BY 1) d USING (site_id)""",
+        """, cw AS (SELECT site_id, count(*) AS crawled, count(*) FILTER (ord % 11 = 0) AS added, count(*) FILTER (ord % 11 <> 0 AND ord % 7 = 0) AS changed FROM w0 GROUP BY 1), ci AS (SELECT site_id, count(*) AS n FROM l GROUP BY 1),
+ct AS (SELECT d.site_id, d.n, coalesce(ci.n, 0) AS listed, coalesce(rd.content, '# ' || d.site_id || '.example.com' || chr(10) || chr(10) || '> A curated map of the most useful pages on ' || d.site_id || '.example.com for AI agents.' || chr(10)) AS content
+  FROM (SELECT site_id, count(*) AS n FROM b GROUP BY 1) d LEFT JOIN rd USING (site_id) LEFT JOIN ci USING (site_id))
+SELECT ct.site_id, content, CAST(len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(trim(x, E' \\t\\r'), '^-\\s+\\[[^\\]]+\\]\\([^)\\s]+\\)(:\\s*.*)?$'))) AS BIGINT) AS link_count, n AS discovered, crawled, listed AS included, n - listed AS excluded, added, changed, CAST(0 AS BIGINT) AS removed
+FROM ct JOIN cw USING (site_id)""",
         SECOND.strip(),
         corpus.SECTIONS_SQL,
         RENDER,
@@ -736,7 +738,7 @@ def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     pre = p.where("ord % 13 = 0").select("site_id", "url", F.lit("auth").alias("reason"), "depth")
     found = p.groupBy("site_id").agg(F.count(F.lit(1)).alias("discovered"))
     c = site.crawl(p.where("ord % 13 <> 0"), pre, p.limit(0).select("site_id"), found, sites, stored(_stored(spark, sf_dir), "state"), _now())
-    return c.files.select("site_id", "content", "valid", "link_count").join(c.stats.select("site_id", "discovered", "crawled", "included", "excluded", "added", "changed", "removed"), "site_id")
+    return c.files.select("site_id", "content", "link_count").join(c.stats.select("site_id", "discovered", "crawled", "included", "excluded", "added", "changed", "removed"), "site_id")
 
 
 @query(
