@@ -176,3 +176,15 @@ def test_catalog(spark, name):
     for t in TABLES:
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert rows == sorted(map(repr, c.sql(f"select {', '.join(df.columns)} from ({catalog.SQL[name]})").fetchall()))
+
+
+CUT_PAGES = [(i, f"https://e.com/{i}", f"<html><head><title>{t}</title></head><body><article><h1>{t}</h1><p>{t}</p></article></body></html>") for i, t in enumerate(("a&amp;b &amp", "a &lt", "a &#x2", "a &#x27", "a &am", "a &#x27;&quot;&gt;", "a &amp;amp", "&"))]
+
+
+@pytest.mark.parametrize("name", ["extract_main"])
+def test_references_cut_short(spark, tmp_path, name):
+    spark.createDataFrame(CUT_PAGES, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, c.sql(f"select {', '.join(df.columns)} from ({catalog.SQL[name]})").fetchall()))
