@@ -181,7 +181,7 @@ def test_catalog(spark, name):
 CUT_PAGES = [(i, f"https://e.com/{i}", f"<html><head><title>{t}</title></head><body><article><h1>{t}</h1><p>{t}</p></article></body></html>") for i, t in enumerate(("a&amp;b &amp", "a &lt", "a &#x2", "a &#x27", "a &am", "a &#x27;&quot;&gt;", "a &amp;amp", "&"))]
 
 
-@pytest.mark.parametrize("name", ["extract_main"])
+@pytest.mark.parametrize("name", ["extract_main", "extract_metadata"])
 def test_references_cut_short(spark, tmp_path, name):
     spark.createDataFrame(CUT_PAGES, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     df = catalog.QUERIES[name](spark, str(tmp_path))
