@@ -188,3 +188,10 @@ def test_references_cut_short(spark, tmp_path, name):
     c = duckdb.connect()
     c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, c.sql(f"select {', '.join(df.columns)} from ({catalog.SQL[name]})").fetchall()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["sections_curated_out", "exclusion_breakdown", "section_manual_override", "crawl_stats", "thin_nav_filter", "sections_curated"])
+def test_texts_are_read_once(spark, name):
+    """Whole texts are read by the write of short rows, and no more by what the query runs."""
+    assert not [f for f in catalog.QUERIES[name](spark, SF).inputFiles() if "documents" in f]
