@@ -330,13 +330,14 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if lowest is None else step >= lowest).select("key", "c")
 
 
-def scores(docs: DataFrame, held_out: int = 2, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
-    """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def scores(docs: DataFrame, held_out: int = 2, rounds: int = ROUNDS, states: int = STATES, hidden: bool = True) -> DataFrame:
+    """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Without hidden no model is trained
+    and score is null; no other column depends on the model."""
     spark = docs.sparkSession
     counts, training = read_texts(docs, held_out)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     of, per_class = classes_of(counts)
-    model = baum_welch(training, of, per_class, rounds, states)
+    model = baum_welch(training, of, per_class, rounds, states) if hidden else None
     share = np.log10(per_class.sum(1) + 1)  # of a class: its tokens, one more for each, and one for the unknown
     common = most_frequent(counts, COMMON).toPandas().sort_values("key")
     shared = spark.sparkContext.broadcast((model, of, share, common["key"].to_numpy(np.int64), np.log10(common["c"].to_numpy(float) + 1)))
@@ -369,7 +370,7 @@ def scores(docs: DataFrame, held_out: int = 2, rounds: int = ROUNDS, states: int
                 out["logs"].append(float(a[~absent].sum()))
                 out["inner"].append(float(of_class[classes[x]].sum()))
                 out["rare"].append([{"key": words.keys[w], "n": c} for w, c in zip(which.tolist(), n.tolist(), strict=True)])
-            out["hidden"] = (log_likelihoods([classes[x] for x in texts], m) / math.log(10)).tolist()
+            out["hidden"] = (log_likelihoods([classes[x] for x in texts], m) / math.log(10)).tolist() if hidden else [None] * len(texts)
             return out
 
         return batch

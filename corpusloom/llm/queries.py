@@ -93,10 +93,12 @@ def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hmm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What op7 tells beside the model's score."""
+    """What op7 tells beside the model's score, for which no model need be trained."""
     from pyspark.sql import functions as F
 
-    return op7_hmm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+    from corpusloom.llm.hmm import scores
+
+    return scores(table(spark, sf_dir, "documents"), held_out=2, hidden=False).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
 QUERIES = {"quotes_linked": quotes_linked, "secrets_base": secrets_base, "hmm_base": hmm_base, "op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_minhash": op5_minhash, "op6_compaction": op6_compaction, "op7_hmm": op7_hmm, "op8_warc": op8_warc, "op9_token_files": op9_token_files, "op10_quotes": op10_quotes}
@@ -232,7 +234,8 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 BASE_HMM_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> ''), ' ') AS ws,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> ''), ' ') AS ws,
     list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM documents),
 h AS (SELECT rid, doc_id, ws, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([1, 2, 3, 4, 5, 6, 7, 8] AS BIGINT[])), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 7 = 2 AS held_out FROM d),
 t AS (SELECT rid, held_out, unnest(ws) AS w FROM h),

@@ -90,8 +90,11 @@ def ranked(waiting: DataFrame) -> DataFrame:
 
 
 def _answers(batch: DataFrame, responses: DataFrame, done: int) -> DataFrame:
-    """A round's URLs (asked) with their responses and, where a page was not got, the error."""
-    got = batch.withColumnRenamed("url", "asked").join(responses.withColumnRenamed("url", "asked"), "asked", "left")
+    """A round's URLs (asked) with their responses and, where a page was not got, the error. The URLs are written first: where they are few,
+    Spark knows so and sends them to the responses, which it would else deal out whole in each round."""
+    batch = stored(batch.select("site_id", F.col("url").alias("asked"), "depth", "rank"), "batch")
+    replies = responses.withColumnRenamed("url", "asked")
+    got = batch.join(replies.join(batch.select("asked"), "asked", "left_semi"), "asked", "left")
     ok = F.coalesce(F.col("status_code").between(200, 299) & F.col("error").isNull(), F.lit(False))
     error = F.when(~ok, F.coalesce("error", F.format_string(HTTP_ERROR, "status_code"), F.lit(NO_RESPONSE))).when(~js.text("content_type").contains("html"), F.format_string(NOT_HTML, js.or_else(F.col("content_type"), F.lit("unknown"))))
     # format_string gives text for a null status too
