@@ -174,3 +174,15 @@ def test_archives_are_checked():
             list(warc.read_archive(archive([good])[:-cut]))
     with pytest.raises(warc.WarcError):
         list(warc.read_archive(archive([good]) + b"trailing"))
+
+
+def test_base_trains_no_model(spark, monkeypatch):
+    from corpusloom.llm import hmm as module
+
+    def trained(*_):
+        raise AssertionError("a model was trained")
+
+    monkeypatch.setattr(module, "baum_welch", trained)
+    docs = spark.createDataFrame([(i, f"a b{i} c a") for i in range(9)], "doc_id long, text string")
+    got = module.scores(docs, hidden=False).collect()
+    assert len(got) == 9 and all(r.score is None and r.n_tokens == 5 and r.base_score < 0 for r in got)
