@@ -22,7 +22,8 @@ def classified(crawled: DataFrame, stored: DataFrame) -> DataFrame:
     keep = ("markdown_url", "title", "description", "category", "importance_score", "included", "exclude_reason", "analysis_source", "content_hash", "manual_edit")
     old = stored.where("removed_at is null").select(F.col("site_id").alias("__site"), F.col("url").alias("__url"), *[F.col(c).alias(f"__{c}") for c in keep])
     p = crawled.withColumns({"title": js.text("title"), "description": js.text("description"), "main_content": js.text("main_content")})
-    p = p.withColumn("content_hash", text.content_hash(F.col("title"), F.col("description"), F.col("main_content")))
+    # what is read of the main text is made before the join, so that whole texts need not be dealt out
+    p = p.withColumns({"content_hash": text.content_hash(F.col("title"), F.col("description"), F.col("main_content")), "content_excerpt": text.excerpt(F.col("main_content"))})
     j = p.join(old, (F.col("site_id") == F.col("__site")) & (F.col("url") == F.col("__url")), "left")
     same = F.coalesce(F.col("__content_hash") == F.col("content_hash"), F.lit(False))
     edited = F.coalesce("__manual_edit", F.lit(False))
@@ -33,7 +34,6 @@ def classified(crawled: DataFrame, stored: DataFrame) -> DataFrame:
         "reused": F.col("__known") & same,
         "manual_edit": F.col("__known") & edited,
         "may_ask": ~F.col("__known") & F.col("__rule").isNull(),
-        "content_excerpt": text.excerpt(F.col("main_content")),
         "markdown_url": either(F.col("__markdown_url"), F.col("markdown_url") if "markdown_url" in crawled.columns else F.lit(None).cast("string")),
         "category": either(js.or_else(F.col("__category"), F.lit("Resources")), F.coalesce("__rule", F.lit("Resources"))),
         "importance_score": either(F.col("__importance_score"), F.lit(0.0)),

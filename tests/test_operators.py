@@ -89,6 +89,35 @@ def test_inbound(spark):
     assert {r.url: r.inbound_links for r in links.inbound_counts(df).collect()} == {"https://e.com/b": 2, "https://e.com/c": 2}
 
 
+ODD_LINKS = ["/b", "/b#x", "/d/c", "c", "../b", "?q=1", "#top", "//e.com/b", "https://e.com/d/c", "HTTP://E.com:80/b/", "http://e.com/b", "http:b", "/\\t/e.com/b", "/\\e.com/b", " /b", "/für", "/a b", "/./b", "mailto:x@e.com", "javascript:;", "", None]
+ODD_PAGES = ["https://e.com/", "https://e.com/b", "https://e.com/d/c", "http://e.com/b", "http://e.com/d/c", "https://e.com/f%C3%BCr", "https://e.com/?q=1", "http://[::1]/b", None]
+
+
+def test_inbound_against_each_link_by_itself(spark, monkeypatch):
+    from corpusloom.functions import urls
+
+    rng, rows = random.Random(12), []
+    for site in ("s", "t"):
+        rows += [(site, u, None if rng.random() < 0.1 else [rng.choice(ODD_LINKS) for _ in range(rng.randrange(25))]) for u in ODD_PAGES for _ in range(2)]
+    known, want = {(s, u) for s, u, _ in rows if u}, {}
+    for s, u, hrefs in rows:
+        for h in hrefs or ():
+            t = urls.normal_form(h, u) if u and h is not None else None
+            if (s, t) in known and t != u:
+                want[s, t] = want.get((s, t), 0) + 1
+    df = spark.createDataFrame(rows, "site_id string, url string, internal_links array<string>")
+    assert len(want) > 9 and {(r.site_id, r.url): r.inbound_links for r in links.inbound_counts(df).collect()} == want
+
+
+def test_what_all_pages_link_to_is_parsed_once(spark, monkeypatch):
+    parsed = []
+    monkeypatch.setattr(links, "stored", lambda df, name: parsed.append(df.count()) or df, raising=False)
+    rows = [("s", f"https://e.com/{i}", ["/a", "https://e.com/0", f"/{i}"]) for i in range(40)]
+    got = links.inbound_counts(spark.createDataFrame(rows, "site_id string, url string, internal_links array<string>")).collect()
+    assert [(r.url, r.inbound_links) for r in got] == [("https://e.com/0", 39)]
+    assert parsed == [1 + 1 + 40]
+
+
 def test_generic_descriptions(spark):
     rows = [("s", i, "same", "para number " + str(i) if i else "same", False, False, False) for i in range(3)] + [("s", 3, "own", "p", False, False, False), ("s", 4, "same", "p", False, False, True)]
     df = spark.createDataFrame(rows, "site_id string, ord long, description string, first_paragraph string, reused boolean, manual_edit boolean, is_home boolean")

@@ -190,6 +190,18 @@ def test_references_cut_short(spark, tmp_path, name):
     assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, c.sql(f"select {', '.join(df.columns)} from ({catalog.SQL[name]})").fetchall()))
 
 
+def test_urls_are_settled_before_html_is_read(spark, tmp_path, monkeypatch):
+    """URLs are parsed in one pass over short rows; HTML goes into one write, in which no URL is brought to its normal form again."""
+    plans, stored = {}, site.stored
+    monkeypatch.setattr(site, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or stored(df, name))
+    text = "<title>t{0}</title><main><p>" + "some words of page {0} " * 20 + "</p></main>"
+    rows = [(7, "https://e.com/docs/a/"), (3, "https://e.com/docs/a?utm_source=x"), (4, "https://e.com/login"), (5, "https://e.com/b.png"), (2, "https://E.com"), (9, "https://f.com/für"), (8, "https://f.com/z"), (1, None), (None, "https://f.com/")]
+    spark.createDataFrame([(i, u, text.format(i)) for i, u in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    (e, f) = sorted(site.pages_to_indexes(spark.read.parquet(f"{tmp_path}/pages")).collect())
+    assert (e.site_id, e.pages, e.listed, f.pages) == ("https://e.com", 2, 1, 1) and "](https://e.com/docs/a)" in e.content and "# t2\n" in e.content
+    assert [n for n, p in plans.items() if "normalize_odd" in p] == ["urls"] and [n for n, p in plans.items() if "html#" in p] == ["crawled"]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", ["sections_curated_out", "exclusion_breakdown", "section_manual_override", "crawl_stats", "thin_nav_filter", "sections_curated"])
 def test_texts_are_read_once(spark, name):

@@ -32,6 +32,26 @@ def test_extracted(spark):
     assert (c.title, c.description, c.word_count) == ("e.com", "Page from e.com: e.com", 0)
 
 
+def test_texts_are_cleaned_as_by_built_in_functions(spark):
+    from corpusloom.functions import js
+
+    spaces = "".join(map(chr, [*range(1, 33), 0x7F, 0x85, 0xA0, 0x180E, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+    texts = ["", " ", None, spaces, *(f"{c}a{c}{c}b {c}é{c}" for c in spaces), "x" * 7000 + " y", "😀 " * 4000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", js.clean("t").alias("c"), js.word_count("t").alias("n")).collect()
+    for r in rows:
+        assert (html.cleaned(texts[r.i]) or "") == r.c and len(html._words(texts[r.i] or "")) == r.n
+    page = f"<title> a\u00a0 b</title><h1>\ufeffc  d</h1><main>{'😀 ' * 4000}</main>"
+    p = html.page_fields(page)
+    assert (p["title_tag"], p["first_h1"], p["headings"], p["word_count"], p["html_chars"]) == ("a b", "c d", ["c d"], 4000, len(page))
+    assert p["main_content"] == ("😀 " * 3000) and html.page_fields(None)["html_chars"] is None
+
+
+def test_empty_shells(spark):
+    df = spark.createDataFrame([("https://e.com/1", "<p>" + "<b></b>" * 300), ("https://e.com/2", "<p>x"), ("https://e.com/3", None), ("https://e.com/4", "<p>" + "x " * 800)], "url string, html string")
+    for bare in (True, False):
+        assert [r.empty_shell for r in html.extracted(df, bare=bare).collect()] == [True, False, None, False]
+
+
 def test_robots_groups():
     r = robots.parse("User-agent: *\nDisallow: /a\n\nUser-agent: CorpusLoomBot\nUser-agent: x\nAllow: /b # c\nDisallow: /c\nSitemap: https://e.com/s.xml\n")
     assert r == {"fetched": True, "disallow": ["/c"], "allow": ["/b"], "sitemaps": ["https://e.com/s.xml"]}
